@@ -9,13 +9,15 @@ from pyspark.sql import Column, functions as F
 from trainset.functions.text import strip
 from trainset.schema import ROLE_ALIASES
 
-_ALIAS_MAP = F.create_map  # resolved lazily: building a Column needs a live session
+
+def _literal_map(values: dict[str, str]) -> Column:
+    quoted = ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in chain.from_iterable(values.items()))
+    return F.expr(f"map({quoted})")
 
 
 def canonical_role(role: Column) -> Column:
     """One of system/user/assistant/tool, or NULL for an unknown name."""
-    aliases = _ALIAS_MAP(*[F.lit(x) for x in chain.from_iterable(ROLE_ALIASES.items())])
-    return F.try_element_at(aliases, F.lower(strip(role)))
+    return F.try_element_at(_literal_map(ROLE_ALIASES), F.lower(strip(role)))
 
 
 def mapped_role(role: Column, role_map: dict[str, str]) -> Column:
@@ -23,5 +25,4 @@ def mapped_role(role: Column, role_map: dict[str, str]) -> Column:
     name = strip(role)
     if not role_map:
         return name
-    renames = F.create_map(*[F.lit(x) for x in chain.from_iterable(role_map.items())])
-    return F.coalesce(F.try_element_at(renames, name), name)
+    return F.coalesce(F.try_element_at(_literal_map(role_map), name), name)

@@ -72,3 +72,8 @@ def as_json(v: Column) -> Column:
 
 def empty_items() -> Column:
     return F.array().cast("array<variant>")
+
+
+def listed(v: Column, *single: str) -> Column:
+    """Items of a list; an object (or a value of a ``single`` type) counts as a list of one."""
+    return F.when(has_type(v, "OBJECT", *single), F.array(v)).otherwise(items(v))
