@@ -6,6 +6,8 @@ import string
 
 from pyspark.sql import Column, functions as F
 
+from trainset.functions.binding import let
+
 # ---- fixed values: the characters that count as white space when text is trimmed ----
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
@@ -109,9 +111,21 @@ def _tail(c: Column) -> Column:
     return F.substr(c, F.length(_head(c)) + F.lit(len(THINK_CLOSE) + 1))
 
 
+def parse_json(c: Column) -> Column:
+    """VARIANT of a JSON text, NULL if the text is anything but exactly one JSON value.
+
+    The built-in parser ignores what follows the first value; inside brackets it cannot.
+    """
+    inside = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return let(
+        inside,
+        lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant")),
+    )
+
+
 def json_like(c: Column) -> Column:
     """VARIANT of text that looks like a JSON list or object, NULL for other text."""
-    return F.when(lstrip(c).rlike(r"^[\[{]"), F.try_parse_json(c))
+    return F.when(lstrip(c).rlike(r"^[\[{]"), parse_json(c))
 
 
 def parse_reply(reply: Column) -> Column:
@@ -120,7 +134,7 @@ def parse_reply(reply: Column) -> Column:
     fences = F.filter(
         F.transform(
             F.regexp_extract_all(text, F.lit(r"(?s)```(.*?)(?:```|\z)"), F.lit(1)),
-            lambda chunk: F.try_parse_json(
+            lambda chunk: parse_json(
                 strip(
                     F.when(
                         lstrip(chunk).startswith("json") | lstrip(chunk).startswith("JSON"),
@@ -131,5 +145,5 @@ def parse_reply(reply: Column) -> Column:
         ),
         lambda v: v.isNotNull(),
     )
-    brackets = F.try_parse_json(F.regexp_extract(text, r"(?s)^[^\[{]*(\[.*\]|\{.*\})", 1))
-    return F.coalesce(F.try_parse_json(text), F.try_element_at(fences, F.lit(1)), brackets)
+    brackets = parse_json(F.regexp_extract(text, r"(?s)^[^\[{]*(\[.*\]|\{.*\})", 1))
+    return F.coalesce(parse_json(text), F.try_element_at(fences, F.lit(1)), brackets)

@@ -1 +1,117 @@
-"""Registered queries."""
+"""Sources, sinks, sampling at the source, profiles and manifests."""
+
+from trainset.operators.mapping import Mapping
+from trainset.plans.imports import import_reasons
+from trainset.queries.cleaning import _IMPORTED
+from trainset.queries.common import SEED_SQL, F, long, query, table, text_records
+from trainset.session import scratch_path
+from trainset.sources import files
+from trainset.sources.profile import manifest_row, profile_columns
+
+
+@query("scan_with_limit", "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 100")
+def scan_with_limit(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source").orderBy("doc_id").limit(100)
+
+
+@query(
+    "jsonl_round_trip",
+    """SELECT source, count(*) AS records, CAST(sum(length(text)) AS BIGINT) AS chars, min(doc_id) AS first_id
+       FROM documents GROUP BY source""",
+)
+def jsonl_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "documents-jsonl")
+    files.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path, gzip=True)
+    raw = F.col("raw")
+    rows = files.read_objects(spark, path).select(
+        F.variant_get(raw, "$.source", "string").alias("source"),
+        F.variant_get(raw, "$.text", "string").alias("text"),
+        F.variant_get(raw, "$.doc_id", "long").alias("doc_id"),
+    )
+    return rows.groupBy("source").agg(
+        F.count(F.lit(1)).alias("records"), F.sum(F.length("text")).alias("chars"), F.min("doc_id").alias("first_id")
+    )
+
+
+@query("jsonl_append", "SELECT (SELECT count(*) FROM documents) + (SELECT count(*) FROM benchmark) AS lines")
+def jsonl_append(spark, sf_dir):
+    path = scratch_path(spark, "appended-jsonl")
+    files.write_jsonl(table(spark, sf_dir, "documents").select("text"), path)
+    files.append_jsonl(table(spark, sf_dir, "benchmark").select("text"), path)
+    return files.count_lines(spark, path)
+
+
+@query(
+    "jsonl_line_numbers",
+    "SELECT count(*) AS lines, CAST(max(r) AS BIGINT) AS last_line, CAST(sum(r) AS BIGINT) AS line_sum FROM (SELECT row_number() OVER () AS r FROM benchmark)",
+)
+def jsonl_line_numbers(spark, sf_dir):
+    path = scratch_path(spark, "numbered-jsonl")
+    files.write_jsonl(table(spark, sf_dir, "benchmark").coalesce(1), path)
+    return files.read_raw_jsonl(spark, path).agg(
+        F.count(F.lit(1)).alias("lines"), F.max("line").alias("last_line"), F.sum("line").alias("line_sum")
+    )
+
+
+@query(
+    "delimited_round_trip",
+    """SELECT c_mktsegment, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys, max(c_name) AS last_name
+       FROM customer GROUP BY 1""",
+)
+def delimited_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "customer-tsv")
+    table(spark, sf_dir, "customer").write.csv(path, header=True, sep="\t", quote='"', escape='"')
+    rows = files.read_delimited(spark, path, "\t")
+    return rows.groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(rows.c_custkey.cast("long")).alias("keys"), F.max("c_name").alias("last_name")
+    )
+
+
+@query("text_source_rows", "SELECT count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
+def text_source_rows(spark, sf_dir):
+    """Documents written as plain text with an escape for line breaks, read back as a text source."""
+    path = scratch_path(spark, "documents-txt")
+    docs = table(spark, sf_dir, "documents")
+    escaped = F.regexp_replace(F.regexp_replace("text", r"\\", r"\\\\"), "\r", r"\\r")
+    docs.select(F.regexp_replace(escaped, "\n", r"\\n").alias("value")).write.text(path)
+    lines = spark.read.text(path)
+    back = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r"\\\\", "\u0001"), r"\\[nr]", "x"), "\u0001", "x")
+    return lines.agg(F.count(F.lit(1)).alias("files"), F.sum(F.length(back)).alias("chars"))
+
+
+@query(
+    "seeded_source_sample",
+    f"SELECT doc_id, source FROM documents ORDER BY {SEED_SQL(42, 'doc_id')}, doc_id LIMIT 200",
+)
+def seeded_source_sample(spark, sf_dir):
+    return files.read_source(spark, f"{sf_dir}/documents.parquet", max_rows=200, key="doc_id").select("doc_id", "source")
+
+
+_COLUMNS = (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderdate", "timestamp"), ("o_orderpriority", "string"))
+
+
+@query(
+    "profile_source",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{t}' AS \"type\", count(*) AS \"rows\", count(*) - count({c}) AS nulls FROM orders" for c, t in _COLUMNS
+    ),
+)
+def profile_source(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    kinds = F.when(F.col("type").startswith("timestamp"), F.lit("timestamp")).otherwise(F.col("type"))
+    return profile_columns(df).withColumn("type", kinds)
+
+
+@query(
+    "import_manifest",
+    _IMPORTED + """, r AS (SELECT reason, count(*) AS n FROM marked WHERE reason IS NOT NULL GROUP BY 1)
+    SELECT 'documents' AS name, 'local:documents.parquet' AS source, 'unknown' AS license,
+      '{"layout": "text", "text": "text"}' AS mapping, 'explicit mapping' AS mapping_explanation,
+      count(*) AS "read", count(*) FILTER (reason IS NULL) AS records,
+      CAST(sum(chars) FILTER (reason IS NULL) AS BIGINT) AS chars,
+      (SELECT '{' || string_agg('"' || reason || '":' || n, ',' ORDER BY reason) || '}' FROM r) AS rejected FROM marked""",
+)
+def import_manifest(spark, sf_dir):
+    judged = import_reasons(text_records(spark, sf_dir), min_chars=50, max_chars=20000)
+    mapping = Mapping(layout="text", text="text")
+    return manifest_row(judged, "documents", "local:documents.parquet", "unknown", mapping)
