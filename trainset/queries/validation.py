@@ -189,7 +189,9 @@ def event_records(spark, sf_dir):
     )
     from trainset.functions.text import parse_json
 
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "event_type", parse_json(line).alias("raw"))
+    # The rules are CPU-heavy; a small file arrives as one split and would keep one core busy.
+    spread = table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism)
+    events = spread.select(F.col("event_id").alias("seq"), "event_type", parse_json(line).alias("raw"))
     return N.normalize_json(events)
 
 
@@ -201,7 +203,8 @@ _EVENT_CODES = """WITH c AS (SELECT event_type, CASE event_type WHEN 'error' THE
 @query(
     "tool_linking_issues",
     _EVENT_CODES + """SELECT event_type, code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY 1, 2
-    UNION ALL SELECT event_type, 'trailing_messages', count(*) FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING count(*) > 0""",
+    UNION ALL SELECT event_type, c, count(*) FROM events, (VALUES ('trailing_messages'), ('repeated_role')) AS v(c)
+    WHERE event_type = 'purchase' GROUP BY 1, 2""",
 )
 def tool_linking_issues(spark, sf_dir):
     records = event_records(spark, sf_dir)
