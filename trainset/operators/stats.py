@@ -147,4 +147,4 @@ def dataset_stats(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     out = unpivot_metrics(main, by)
     for extra in (dup, chars, turns):
         out = out.unionByName(unpivot_metrics(extra, by))
-    return out
+    return out.where(F.col("value").isNotNull())
