@@ -1 +1,206 @@
-"""Registered queries."""
+"""Tokens, samples, packing and batches."""
+
+from trainset.functions.tokens import token_count, token_ids, token_strings
+from trainset.operators import encode as E
+from trainset.operators import render as R
+from trainset.plans.samples import build_text_samples, build_turn_samples, sample_report
+from trainset.queries.common import SEED_SQL, WS, F, long, query, table
+from trainset.queries.profiling import TOKENS_SQL
+from trainset.queries.rendering import _CUT, _THINK, turns
+
+ID_SQL = "CAST('0x' || substr(md5({t}), 1, 7) AS BIGINT)"
+_END = ID_SQL.format(t="'<|endoftext|>'")
+
+
+def n_tokens(c: str) -> str:
+    return f"len({TOKENS_SQL.format(c=c)})"
+
+
+def checksum(ids):
+    """Order-sensitive sum over a token array: sum of id · (position mod 1000)."""
+    weighted = F.transform(ids, lambda t, i: t.cast("long") * (F.pmod(i, F.lit(1000)) + 1))
+    return F.aggregate(weighted, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+@query(
+    "token_counts",
+    f"SELECT doc_id, {n_tokens('text')} AS tokens FROM documents",
+)
+def token_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("tokens"))
+
+
+@query(
+    "token_ids",
+    f"""WITH t AS (SELECT item_id, unnest({TOKENS_SQL.format(c='text')}) AS tok, generate_subscripts({TOKENS_SQL.format(c='text')}, 1) - 1 AS i FROM benchmark)
+    SELECT item_id, count(*) AS tokens, CAST(sum({ID_SQL.format(t='tok')} * (i % 1000 + 1)) AS BIGINT) AS checksum FROM t GROUP BY item_id""",
+)
+def token_ids_query(spark, sf_dir):
+    coded = table(spark, sf_dir, "benchmark").select("item_id", token_ids(F.col("text")).alias("ids"))
+    return coded.select("item_id", long(F.size("ids")).alias("tokens"), checksum(F.col("ids")).alias("checksum"))
+
+
+@query(
+    "vocabulary",
+    f"""SELECT tok AS token, count(*) AS n FROM (SELECT unnest({TOKENS_SQL.format(c='text')}) AS tok FROM documents)
+        GROUP BY 1 ORDER BY n DESC, token LIMIT 200""",
+)
+def vocabulary(spark, sf_dir):
+    """The most frequent tokens; counts combine on the map side, so hot tokens do not skew."""
+    tokens = table(spark, sf_dir, "documents").select(F.explode(token_strings(F.col("text"))).alias("token"))
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(200)
+
+
+_SFT = _CUT + f""", n AS (SELECT conv_id, CAST(sum({n_tokens("('<|im_start|>' || role || chr(10))")} + {n_tokens('text')} + 7 +
+   CASE WHEN role = 'assistant' AND (lu IS NULL OR turn > lu) THEN {n_tokens("('" + _THINK + "')")} ELSE 0 END) AS BIGINT) AS tokens,
+   CAST(sum(CASE WHEN role = 'assistant' THEN {n_tokens('text')} + 6 ELSE 0 END) AS BIGINT) AS trainable_tokens FROM c GROUP BY conv_id)
+"""
+
+
+@query("encode_sft_counts", _SFT.replace("+ 7 +", "+ 7 +") + "SELECT conv_id, tokens, trainable_tokens, CASE WHEN tokens > 700 THEN 'skipped_long' WHEN trainable_tokens = 0 THEN 'skipped_untrainable' ELSE 'sample' END AS outcome FROM n")
+def encode_sft_counts(spark, sf_dir):
+    return E.sample_outcomes(E.turn_token_counts(R.render_turns(turns(spark, sf_dir), R.CHATML)), 700)
+
+
+@query("encode_sft_samples", _SFT + "SELECT conv_id, tokens, trainable_tokens FROM n WHERE tokens <= 700 AND trainable_tokens > 0")
+def encode_sft_samples(spark, sf_dir):
+    s = build_turn_samples(turns(spark, sf_dir), R.CHATML, 700)
+    return s.select("conv_id", long(F.size("input_ids")).alias("tokens"), E.trainable_tokens(F.col("labels")).alias("trainable_tokens"))
+
+
+@query("encode_sft_truncated")
+def encode_sft_truncated(spark, sf_dir):
+    s = build_turn_samples(turns(spark, sf_dir), R.CHATML, 256, "truncate")
+    return s.select("conv_id", long(F.size("input_ids")).alias("tokens"), E.trainable_tokens(F.col("labels")).alias("trainable_tokens"))
+
+
+@query(
+    "completion_samples",
+    f"""WITH t AS (SELECT item_id, {n_tokens('left(text, 60)')} AS p, {n_tokens('substr(text, 61)')} + 1 AS c FROM benchmark)
+        SELECT item_id, p + c AS tokens, c AS trainable_tokens FROM t WHERE p + c <= 200""",
+)
+def completion_samples(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("prompt"), F.expr("substring(text, 61)").alias("completion"))
+    s = E.encode_completion(rows, "prompt", "completion", R.CHATML, 200, keep=["item_id"])
+    return s.select("item_id", long(F.size("input_ids")).alias("tokens"), E.trainable_tokens(F.col("labels")).alias("trainable_tokens"))
+
+
+@query(
+    "text_chunks",
+    f"""WITH t AS (SELECT doc_id, {n_tokens('text')} + 1 AS n FROM documents), c AS (SELECT doc_id, n, unnest(range(0, n, 512)) AS start FROM t)
+        SELECT doc_id, start, least(512, n - start) AS tokens FROM c WHERE start = 0 OR n - start >= 16""",
+)
+def text_chunks(spark, sf_dir):
+    coded = table(spark, sf_dir, "documents").select("doc_id", E.document_ids(token_ids(F.col("text")), R.CHATML).alias("ids"))
+    return E.chunk_text(coded, "ids", 512, ["doc_id"]).select("doc_id", long(F.col("start")).alias("start"), long(F.size("input_ids")).alias("tokens"))
+
+
+@query("document_markers", f"SELECT doc_id, {n_tokens('text')} + 2 AS tokens, true AS marked FROM documents")
+def document_markers(spark, sf_dir):
+    """Begin and end tokens; adding them twice changes nothing."""
+    once = table(spark, sf_dir, "documents").select("doc_id", E.document_ids(token_ids(F.col("text")), R.TURN_TAG).alias("ids"))
+    twice = once.select("doc_id", "ids", E.document_ids(F.col("ids"), R.TURN_TAG).alias("again"))
+    return twice.select("doc_id", long(F.size("ids")).alias("tokens"), (F.col("ids") == F.col("again")).alias("marked"))
+
+
+_STREAM = f"""WITH d AS (SELECT doc_id, list_append(list_transform({TOKENS_SQL.format(c='text')}, lambda x: {ID_SQL.format(t='x')}), {_END}) AS ids,
+  {SEED_SQL(42, 'doc_id')} AS h FROM documents),
+s AS (SELECT ids, coalesce(sum(len(ids)) OVER (ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d),
+t AS (SELECT unnest(ids) AS id, start + generate_subscripts(ids, 1) - 1 AS at FROM s),
+b AS (SELECT CAST(floor(at / 1024) AS BIGINT) AS block, id, at % 1024 AS i FROM t)
+"""
+
+
+@query(
+    "packed_blocks",
+    _STREAM + "SELECT block, count(*) AS tokens, CAST(sum(id * (i % 1000 + 1)) AS BIGINT) AS checksum FROM b GROUP BY block HAVING count(*) >= 64",
+)
+def packed_blocks(spark, sf_dir):
+    coded = table(spark, sf_dir, "documents").select("doc_id", E.document_ids(token_ids(F.col("text")), R.CHATML).alias("ids"))
+    blocks = E.pack(coded, "ids", "doc_id", 1024)
+    return blocks.select("block", long(F.size("input_ids")).alias("tokens"), checksum(F.col("input_ids")).alias("checksum"))
+
+
+@query(
+    "preference_samples",
+    f"""WITH t AS (SELECT doc_id, {n_tokens("left(text, 80)")} AS p, {n_tokens("substr(text, 81)")} AS c, {n_tokens('source')} AS r FROM documents JOIN labels USING (doc_id))
+        SELECT doc_id, p + c AS chosen_tokens, p + r AS rejected_tokens, c AS chosen_trainable, r AS rejected_trainable FROM t
+        WHERE p + c <= 600 AND p + r <= 600 AND c > 0 AND r > 0""",
+)
+def preference_samples(spark, sf_dir):
+    s = _pairs(spark, sf_dir)
+    return s.select(
+        "doc_id", long(F.size("chosen_ids")).alias("chosen_tokens"), long(F.size("rejected_ids")).alias("rejected_tokens"),
+        E.trainable_tokens(F.col("chosen_labels")).alias("chosen_trainable"), E.trainable_tokens(F.col("rejected_labels")).alias("rejected_trainable"),
+    )
+
+
+def _pairs(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select(
+        "doc_id", token_ids(F.substring("text", 1, 80)).alias("p"), token_ids(F.expr("substring(text, 81)")).alias("c"), token_ids(F.col("source")).alias("r")
+    )
+    return E.pair_samples(rows, "p", "c", "r", 600, ["doc_id"])
+
+
+@query(
+    "preference_batches",
+    f"""WITH t AS (SELECT doc_id, {n_tokens("left(text, 80)")} AS p, {n_tokens("substr(text, 81)")} AS c, {n_tokens('source')} AS r FROM documents JOIN labels USING (doc_id)),
+    k AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY {SEED_SQL(42, 'doc_id')}, doc_id) - 1) / 4) AS BIGINT) AS batch FROM t WHERE p + c <= 600 AND p + r <= 600 AND c > 0 AND r > 0)
+    SELECT batch, count(*) * 2 AS "rows", CAST(ceil(greatest(max(p + c), max(p + r)) / 8.0) * 8 AS BIGINT) AS padded_len, CAST(sum(2 * p + c + r) AS BIGINT) AS real_tokens FROM k GROUP BY batch""",
+)
+def preference_batches(spark, sf_dir):
+    b = E.pad_preference_batches(_pairs(spark, sf_dir), "doc_id", 4)
+    return b.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("rows"), long(F.max(F.size("input_ids"))).alias("padded_len"),
+        F.sum(F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x)).alias("real_tokens"),
+    )
+
+
+@query(
+    "build_sft_samples",
+    f"""WITH t AS (SELECT {n_tokens('text')} + 1 AS n, 1 + doc_id % 3 AS copies FROM documents), c AS (SELECT n, copies, unnest(range(0, n, 512)) AS start FROM t)
+        SELECT CAST(sum(copies) AS BIGINT) AS samples, CAST(sum(copies * least(512, n - start)) AS BIGINT) AS tokens, CAST(sum(copies * least(512, n - start)) AS BIGINT) AS trainable_tokens
+        FROM c WHERE start = 0 OR n - start >= 16""",
+)
+def build_sft_samples(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("repeat", F.pmod("doc_id", F.lit(3)) + 1)
+    return sample_report(build_text_samples(docs, R.CHATML, 512, "sft", "doc_id"))
+
+
+@query(
+    "build_cpt_samples",
+    f"""WITH t AS (SELECT CAST(sum(({n_tokens('text')} + 1) * (1 + doc_id % 3)) AS BIGINT) AS n FROM documents)
+        SELECT CAST(n // 512 + (CASE WHEN n % 512 >= 64 THEN 1 ELSE 0 END) AS BIGINT) AS samples,
+          CAST(n - (CASE WHEN n % 512 >= 64 THEN 0 ELSE n % 512 END) AS BIGINT) AS tokens,
+          CAST(n - (CASE WHEN n % 512 >= 64 THEN 0 ELSE n % 512 END) AS BIGINT) AS trainable_tokens FROM t""",
+)
+def build_cpt_samples(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("repeat", F.pmod("doc_id", F.lit(3)) + 1)
+    return sample_report(build_text_samples(docs, R.CHATML, 512, "cpt", "doc_id"))
+
+
+_BATCH = f"""WITH t AS (SELECT item_id, {n_tokens('text')} AS n FROM benchmark)"""
+
+
+@query(
+    "padded_batches",
+    _BATCH + f""", b AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY {SEED_SQL(42, 'item_id')}, item_id) - 1) / 4) AS BIGINT) AS batch FROM t)
+    SELECT item_id, batch, CAST(ceil(max(n) OVER (PARTITION BY batch) / 8.0) * 8 AS BIGINT) AS padded_len, n AS real_tokens FROM b""",
+)
+def padded_batches(spark, sf_dir):
+    coded = table(spark, sf_dir, "benchmark").select("item_id", token_ids(F.col("text")).alias("input_ids")).withColumn("labels", F.col("input_ids"))
+    padded = E.pad_batches(E.assign_batches(coded, "item_id", 4))
+    return padded.select(
+        "item_id", "batch", long(F.size("labels")).alias("padded_len"),
+        F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("real_tokens"),
+    )
+
+
+@query(
+    "length_batches",
+    f"""WITH t AS (SELECT doc_id, {n_tokens('text')} AS n FROM documents)
+    SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY n, md5(CAST(doc_id AS VARCHAR)), doc_id) - 1) / 16) AS BIGINT) AS batch FROM t""",
+)
+def length_batches(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("n"))
+    return E.length_batches(docs, "n", "doc_id", 16).select("doc_id", "batch")
