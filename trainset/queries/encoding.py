@@ -51,13 +51,13 @@ def vocabulary(spark, sf_dir):
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(200)
 
 
-_SFT = _CUT + f""", n AS (SELECT conv_id, CAST(sum({n_tokens("('<|im_start|>' || role || chr(10))")} + {n_tokens('text')} + 7 +
+_SFT = _CUT + f""", n AS (SELECT conv_id, CAST(sum({n_tokens("('<|im_start|>' || role || chr(10))")} + {n_tokens('text')} + 8 +
    CASE WHEN role = 'assistant' AND (lu IS NULL OR turn > lu) THEN {n_tokens("('" + _THINK + "')")} ELSE 0 END) AS BIGINT) AS tokens,
-   CAST(sum(CASE WHEN role = 'assistant' THEN {n_tokens('text')} + 6 ELSE 0 END) AS BIGINT) AS trainable_tokens FROM c GROUP BY conv_id)
+   CAST(sum(CASE WHEN role = 'assistant' THEN {n_tokens('text')} + 7 ELSE 0 END) AS BIGINT) AS trainable_tokens FROM c GROUP BY conv_id)
 """
 
 
-@query("encode_sft_counts", _SFT.replace("+ 7 +", "+ 7 +") + "SELECT conv_id, tokens, trainable_tokens, CASE WHEN tokens > 700 THEN 'skipped_long' WHEN trainable_tokens = 0 THEN 'skipped_untrainable' ELSE 'sample' END AS outcome FROM n")
+@query("encode_sft_counts", _SFT + "SELECT conv_id, tokens, trainable_tokens, CASE WHEN tokens > 700 THEN 'skipped_long' WHEN trainable_tokens = 0 THEN 'skipped_untrainable' ELSE 'sample' END AS outcome FROM n")
 def encode_sft_counts(spark, sf_dir):
     return E.sample_outcomes(E.turn_token_counts(R.render_turns(turns(spark, sf_dir), R.CHATML)), 700)
 
@@ -106,8 +106,8 @@ def document_markers(spark, sf_dir):
 _STREAM = f"""WITH d AS (SELECT doc_id, list_append(list_transform({TOKENS_SQL.format(c='text')}, lambda x: {ID_SQL.format(t='x')}), {_END}) AS ids,
   {SEED_SQL(42, 'doc_id')} AS h FROM documents),
 s AS (SELECT ids, coalesce(sum(len(ids)) OVER (ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d),
-t AS (SELECT unnest(ids) AS id, start + generate_subscripts(ids, 1) - 1 AS at FROM s),
-b AS (SELECT CAST(floor(at / 1024) AS BIGINT) AS block, id, at % 1024 AS i FROM t)
+t AS (SELECT unnest(ids) AS id, start + generate_subscripts(ids, 1) - 1 AS p FROM s),
+b AS (SELECT CAST(floor(p / 1024) AS BIGINT) AS block, id, p % 1024 AS i FROM t)
 """
 
 
