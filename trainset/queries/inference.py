@@ -128,7 +128,7 @@ def prompts(spark, sf_dir):
 
 @query(
     "generate_candidates",
-    """SELECT conv_id AS row_id, length(arg_max(text, turn)) + 2 AS first_chars, length(arg_max(text, turn)) + 2 AS second_chars, 2 AS answers
+    """SELECT conv_id AS row_id, length(arg_max(text, turn)) + 3 AS first_chars, length(arg_max(text, turn)) + 3 AS second_chars, 2 AS answers
        FROM conversations WHERE role = 'user' GROUP BY conv_id""",
 )
 def generate_candidates(spark, sf_dir):

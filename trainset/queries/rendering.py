@@ -175,7 +175,7 @@ def documents_preamble(spark, sf_dir):
 
 @query(
     "excluded_regions",
-    """SELECT event_id, 3 AS pieces, length(event_type) + 17 + 4 AS trainable_chars, length(props) + 17 AS masked_chars FROM events""",
+    """SELECT event_id, 3 AS pieces, length(event_type) + 17 + 4 AS trainable_chars, length(props) + 16 AS masked_chars FROM events""",
 )
 def excluded_regions(spark, sf_dir):
     text = F.concat("event_type", F.lit("<|tool_response>"), "props", F.lit("<tool_response|>"), F.lit(" done"))
