@@ -5,10 +5,12 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 IMAGE_GLOB = "*.{png,jpg,jpeg,webp,bmp,PNG,JPG,JPEG,WEBP,BMP}"
-SIZE = "struct<format:string,width:int,height:int>"
+SIZE = T.StructType(
+    [T.StructField("format", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]
+)
 
 
 def header_size(data: bytes | None) -> tuple[str, int, int] | None:
