@@ -1 +1,168 @@
-"""Registered queries."""
+"""Run metrics, job chains and streams. Events stand in for a metrics log, orders for jobs."""
+
+from trainset.operators import runs as J
+from trainset.queries.common import WS, F, long, query, table
+from trainset.streaming import ingest, metrics as SM
+
+
+def metric_rows(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("job_id"), F.col("ts").alias("time"), F.col("event_id").alias("step"), F.col("value").alias("loss"), "event_type"
+    )
+
+
+@query(
+    "latest_status",
+    "SELECT user_id AS job_id, max(event_id) AS step, arg_max(value, event_id) AS loss, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
+)
+def latest_status(spark, sf_dir):
+    return J.latest_status(metric_rows(spark, sf_dir)).select("job_id", "step", "loss", "event_type")
+
+
+@query(
+    "loss_trend",
+    """WITH l AS (SELECT user_id AS job_id, event_id AS step, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events),
+    h AS (SELECT *, count(*) OVER (PARTITION BY job_id) AS n FROM l WHERE r <= 400), s AS (SELECT *, greatest(1, n // 8) AS st, n - r AS i FROM h)
+    SELECT job_id, step, round(round(value, 5), 3) AS loss FROM s WHERE i % st = 0 AND i // st >= ceil(n / st) - 8""",
+)
+def loss_trend(spark, sf_dir):
+    return J.loss_trend(metric_rows(spark, sf_dir))
+
+
+@query(
+    "smoothed_loss",
+    """SELECT user_id AS job_id, max(event_id) AS step, round(list_reduce(list(value ORDER BY event_id), lambda a, x: 0.9 * a + 0.1 * x), 6) AS smoothed
+       FROM events GROUP BY 1""",
+)
+def smoothed_loss(spark, sf_dir):
+    rows = J.ema(metric_rows(spark, sf_dir))
+    return rows.groupBy("job_id").agg(F.max("step").alias("step"), F.round(F.max_by("smoothed", "step"), 6).alias("smoothed"))
+
+
+@query(
+    "run_progress",
+    """WITH s AS (SELECT o_custkey AS job_id, max(o_orderkey) AS step, min(o_orderkey) AS start_step, count(*) AS num_items FROM orders GROUP BY 1)
+    SELECT job_id, round(3600.0 / greatest(step - start_step, 1) * greatest(20000 - step, 0), 1) AS eta_s, round(step * 4 / num_items, 2) AS epoch, round(step / 20000, 4) AS done FROM s""",
+)
+def run_progress(spark, sf_dir):
+    s = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("job_id")).agg(
+        F.max("o_orderkey").alias("step"), F.min("o_orderkey").alias("start_step"), F.count(F.lit(1)).alias("num_items")
+    )
+    ready = s.withColumn("max_steps", F.lit(20000)).withColumn("elapsed_s", F.lit(3600.0)).withColumn("batch_size", F.lit(4))
+    return J.progress(ready).select("job_id", "eta_s", "epoch", "done")
+
+
+@query("loss_alarms", "SELECT event_type, count(*) AS alarms FROM events WHERE event_type = 'error' OR value < 1 GROUP BY 1")
+def loss_alarms(spark, sf_dir):
+    loss = F.when(F.col("event_type") == "error", F.lit(float("nan"))).when(F.col("value") < 1, F.lit(float("inf"))).otherwise(F.col("value"))
+    rows = J.loss_alarms(table(spark, sf_dir, "events").withColumn("loss", loss))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("alarms"))
+
+
+@query(
+    "classify_errors",
+    """SELECT CASE event_type WHEN 'error' THEN 'oom' WHEN 'click' THEN 'auth' WHEN 'view' THEN 'disk' WHEN 'purchase' THEN 'network' ELSE 'error' END AS error_kind,
+       count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'nan', count(*) FROM conversations""",
+)
+def classify_errors(spark, sf_dir):
+    said = {"error": "CUDA Out Of Memory", "click": "HTTP 401 Client Error", "view": "OSError: No space left on device", "purchase": "Connection to hf.co failed"}
+    log = F.lit("Traceback")
+    for kind, text in said.items():
+        log = F.when(F.col("event_type") == kind, F.lit(text)).otherwise(log)
+    logs = table(spark, sf_dir, "events").select(log.alias("log")).unionByName(
+        table(spark, sf_dir, "conversations").select(F.concat(F.lit("NaN loss at turn "), F.col("turn").cast("string")).alias("log"))
+    )
+    return J.classify_errors(logs, "log").groupBy("error_kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "stale_jobs",
+    """WITH s AS (SELECT user_id AS job_id, max(ts) AS t, arg_max(event_type, event_id) AS e FROM events GROUP BY 1), m AS (SELECT max(ts) AS now FROM events)
+    SELECT job_id, CASE WHEN e NOT IN ('purchase') AND epoch(now) - epoch(t) > 3600 THEN CASE WHEN e <> 'signup' THEN 'crashed' ELSE 'cancelled' END
+      ELSE CASE e WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'queued' ELSE 'training' END END AS state FROM s, m""",
+)
+def stale_jobs(spark, sf_dir):
+    rows = metric_rows(spark, sf_dir)
+    state = F.when(F.col("event_type") == "purchase", F.lit("completed")).when(F.col("event_type") == "signup", F.lit("queued")).otherwise(F.lit("training"))
+    status = J.latest_status(rows).withColumn("state", state).withColumn("chain_id", F.lit("c"))
+    now = rows.agg(F.max("time")).scalar()
+    return J.stale_jobs(status, now, 3600).select("job_id", "state")
+
+
+_JOBS = """WITH RECURSIVE jobs AS (SELECT o_orderkey AS job_id, CASE WHEN o_orderkey > 0 AND o_orderpriority <> '1-URGENT' THEN o_orderkey // 2 END AS init_from, o_totalprice FROM orders),
+chain(job_id, root, depth) AS (SELECT job_id, job_id, 0 FROM jobs WHERE init_from IS NULL
+  UNION ALL SELECT j.job_id, c.root, c.depth + 1 FROM chain c JOIN jobs j ON j.init_from = c.job_id) """
+
+
+def jobs(spark, sf_dir):
+    """Every job continues the one with half its number, unless it is urgent."""
+    k = F.col("o_orderkey")
+    up = F.when((k > 0) & (F.col("o_orderpriority") != "1-URGENT"), F.floor(k / 2))
+    return table(spark, sf_dir, "orders").select(k.alias("job_id"), up.alias("init_from"), "o_totalprice")
+
+
+@query("stage_roots", _JOBS + "SELECT job_id, root, depth FROM chain")
+def stage_roots(spark, sf_dir):
+    return J.stage_roots(jobs(spark, sf_dir))
+
+
+@query(
+    "stage_chain",
+    _JOBS + """, up(job_id, back) AS (SELECT max(job_id), 0 FROM jobs UNION ALL SELECT j.init_from, u.back + 1 FROM up u JOIN jobs j ON j.job_id = u.job_id WHERE j.init_from IS NOT NULL)
+    SELECT job_id, max(back) OVER () - back + 1 AS stage FROM up""",
+)
+def stage_chain(spark, sf_dir):
+    all_jobs = jobs(spark, sf_dir)
+    return J.stage_chain(all_jobs, all_jobs.agg(F.max("job_id")).first()[0])
+
+
+@query(
+    "stage_results",
+    _JOBS + """SELECT job_id, root, depth + 1 AS stage, CASE WHEN job_id % 2 = 0 THEN printf('train loss %.3f', o_totalprice / 1000) ELSE '-' END AS result FROM chain JOIN jobs USING (job_id)""",
+)
+def stage_results(spark, sf_dir):
+    all_jobs = jobs(spark, sf_dir)
+    none = F.lit(None).cast("double")
+    results = all_jobs.select(
+        "job_id", F.when(F.pmod("job_id", F.lit(2)) == 0, F.col("o_totalprice") / 1000).alias("train_loss"), none.alias("eval_loss"), none.alias("accuracy")
+    )
+    return J.stage_results(J.stage_roots(all_jobs), results)
+
+
+def stream_of(spark, sf_dir, name):
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def event_stream(spark, sf_dir):
+    return stream_of(spark, sf_dir, "events").select(
+        F.col("user_id").alias("job_id"), F.col("ts").alias("time"), F.col("event_id").alias("step"), F.col("value").alias("loss")
+    ).withWatermark("time", "1 hour")
+
+
+@query("latest_status_stream", "SELECT user_id AS job_id, max(event_id) AS step, arg_max(value, event_id) AS loss FROM events GROUP BY 1")
+def latest_status_stream(spark, sf_dir):
+    done = ingest.run_to_files(SM.latest_status_stream(event_stream(spark, sf_dir)), spark, "latest-status", mode="update")
+    return J.latest_status(done).select("job_id", "step", "loss")
+
+
+@query(
+    "smoothed_loss_stream",
+    """SELECT user_id AS job_id, max(event_id) AS step, round(list_reduce(list(value ORDER BY event_id), lambda a, x: 0.9 * a + 0.1 * x), 6) AS smoothed
+       FROM events GROUP BY 1""",
+)
+def smoothed_loss_stream(spark, sf_dir):
+    done = ingest.run_to_files(SM.ema_stream(event_stream(spark, sf_dir)), spark, "smoothed-loss", mode="update")
+    return done.groupBy("job_id").agg(F.max("step").alias("step"), F.round(F.max_by("smoothed", "step"), 6).alias("smoothed"))
+
+
+@query(
+    "import_stream",
+    f"SELECT count(*) AS kept, CAST(sum(length(body)) AS BIGINT) AS chars FROM (SELECT DISTINCT trim(text, {WS}) AS body FROM documents WHERE length(text) BETWEEN 10 AND 20000 AND trim(text, {WS}) <> '')",
+)
+def import_stream(spark, sf_dir):
+    from trainset.functions.text import strip
+
+    rows = stream_of(spark, sf_dir, "documents").withColumn("ingested", F.current_timestamp())
+    kept = ingest.run_to_files(ingest.import_stream(rows, "ingested", min_chars=10, max_chars=20000), spark, "imported")
+    return kept.agg(F.count(F.lit(1)).alias("kept"), F.sum(F.length(strip(F.col("text")))).cast("long").alias("chars"))
