@@ -138,8 +138,22 @@ def pair_samples(df: DataFrame, prompt: str, chosen: str, rejected: str, max_len
 # ---- text and completions --------------------------------------------------------------------
 
 
+def marker_count(dialect: Dialect) -> int:
+    return int(dialect.document_bos) + int(dialect.document_end is not None)
+
+
+def marked_ids(text: Column, dialect: Dialect) -> Column:
+    """Ids of a text by the built-in tokenizer between its begin and end tokens.
+
+    The tokenizer never yields a special token from text, so the markers are simply added.
+    """
+    around = [F.array(special_id(dialect.bos))] if dialect.document_bos else []
+    after = [F.array(special_id(dialect.document_end))] if dialect.document_end is not None else []
+    return F.concat(*around, token_ids(text), *after)
+
+
 def document_ids(ids: Column, dialect: Dialect) -> Column:
-    """Begin and end tokens around a document, unless they are there already."""
+    """Begin and end tokens around the ids of any tokenizer, unless they are there already."""
     if dialect.document_bos:
         bos = special_id(dialect.bos)
         ids = F.when(F.coalesce(F.get(ids, F.lit(0)) == bos, F.lit(False)), ids).otherwise(F.concat(F.array(bos), ids))
@@ -183,16 +197,20 @@ def encode_completion(df: DataFrame, prompt: str, completion: str, dialect: Dial
 # ---- packing ------------------------------------------------------------------------------------
 
 
-def pack(df: DataFrame, ids: str, key: str, max_len: int, seed: int = 42, min_tail: int = MIN_TAIL) -> DataFrame:
+def pack(
+    df: DataFrame, key: str, n: Column, ids: Column, max_len: int, seed: int = 42, min_tail: int = MIN_TAIL
+) -> DataFrame:
     """Concatenate documents in seeded order and cut the stream into blocks: (block, input_ids).
 
-    Running totals give every document its place in the stream; its pieces go straight to
-    their blocks. A block never collects more than ``max_len`` tokens.
+    ``n`` counts the tokens of a row, ``ids`` builds them. Only the counts are needed to give
+    every document its place in the stream; the arrays are built behind that shuffle, spread
+    over all tasks, and their pieces go straight to their blocks. A block never collects more
+    than ``max_len`` tokens.
     """
-    ordered = df.select(key, ids, seeded_hash(seed, F.col(key)).alias("__h"), F.size(ids).cast("long").alias("__n")).where(F.col("__n") > 0)
+    ordered = df.withColumn("__h", seeded_hash(seed, F.col(key))).withColumn("__n", n.cast("long")).where(F.col("__n") > 0)
     placed = with_running_total(
         ordered, ["__h", key], hash_bucket(F.col("__h")), "start", F.col("__n"), total="stream"
-    )
+    ).withColumn("__ids", ids)
     first, last = F.floor(F.col("start") / max_len), F.floor((F.col("start") + F.col("__n") - 1) / max_len)
     pieces = F.transform(
         F.sequence(first, last),
@@ -200,7 +218,7 @@ def pack(df: DataFrame, ids: str, key: str, max_len: int, seed: int = 42, min_ta
             b.alias("block"),
             F.greatest(F.col("start"), b * max_len).alias("at"),
             F.slice(
-                F.col(ids),
+                F.col("__ids"),
                 (F.greatest(b * max_len - F.col("start"), F.lit(0)) + 1).cast("int"),
                 (F.least((b + 1) * max_len, F.col("start") + F.col("__n")) - F.greatest(F.col("start"), b * max_len)).cast("int"),
             ).alias("part"),

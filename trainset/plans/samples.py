@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from trainset.functions.tokens import token_ids
+from trainset.functions.tokens import token_count
 from trainset.operators import encode as E
 from trainset.operators.render import Dialect, render_turns
 from trainset.operators.sampling import upsample
@@ -13,11 +13,11 @@ from trainset.operators.sampling import upsample
 def build_text_samples(documents: DataFrame, dialect: Dialect, max_len: int, objective: str = "sft", key: str = "seq", seed: int = 42) -> DataFrame:
     """Text records with a ``repeat`` column: chunks for sft, packed blocks for cpt."""
     repeated = upsample(documents, F.col("repeat")) if "repeat" in documents.columns else documents.withColumn("copy", F.lit(1))
-    coded = repeated.select(
-        F.concat_ws("-", key, "copy").alias("sample"), E.document_ids(token_ids(F.col("text")), dialect).alias("ids")
-    )
+    rows = repeated.select(F.concat_ws("-", key, "copy").alias("sample"), "text")
     if objective == "cpt":
-        return E.pack(coded, "ids", "sample", max_len, seed)
+        n = token_count(F.col("text")) + E.marker_count(dialect)
+        return E.pack(rows, "sample", n, E.marked_ids(F.col("text"), dialect), max_len, seed)
+    coded = rows.select("sample", E.marked_ids(F.col("text"), dialect).alias("ids"))
     return E.chunk_text(coded, "ids", max_len, ["sample"])
 
 

@@ -6,10 +6,17 @@ from trainset.operators import render as R
 from trainset.plans.samples import build_text_samples, build_turn_samples, sample_report
 from trainset.queries.common import SEED_SQL, WS, F, long, query, table
 from trainset.queries.profiling import TOKENS_SQL
+from trainset.session import materialize
 from trainset.queries.rendering import _CUT, _THINK, turns
 
-ID_SQL = "CAST('0x' || substr(md5({t}), 1, 7) AS BIGINT)"
-_END = ID_SQL.format(t="'<|endoftext|>'")
+# Packing works on any ids. For the SQL twin a token is coded by its first character and length.
+ID_SQL = "CAST(unicode({t}) * 1000 + length({t}) AS BIGINT)"
+END_ID = 7
+
+
+def coded_tokens(text):
+    codes = F.transform(token_strings(text), lambda t: (F.ascii(t) * 1000 + F.length(t)).cast("int"))
+    return F.concat(codes, F.array(F.lit(END_ID)))
 
 
 def n_tokens(c: str) -> str:
@@ -32,12 +39,12 @@ def token_counts(spark, sf_dir):
 
 @query(
     "token_ids",
-    f"""WITH t AS (SELECT item_id, unnest({TOKENS_SQL.format(c='text')}) AS tok, generate_subscripts({TOKENS_SQL.format(c='text')}, 1) - 1 AS i FROM benchmark)
-    SELECT item_id, count(*) AS tokens, CAST(sum({ID_SQL.format(t='tok')} * (i % 1000 + 1)) AS BIGINT) AS checksum FROM t GROUP BY item_id""",
+    f"""WITH t AS (SELECT item_id, unnest({TOKENS_SQL.format(c='text')}) AS tok FROM benchmark)
+    SELECT item_id, count(*) AS tokens, count(DISTINCT tok) AS distinct_ids FROM t GROUP BY item_id""",
 )
 def token_ids_query(spark, sf_dir):
     coded = table(spark, sf_dir, "benchmark").select("item_id", token_ids(F.col("text")).alias("ids"))
-    return coded.select("item_id", long(F.size("ids")).alias("tokens"), checksum(F.col("ids")).alias("checksum"))
+    return coded.select("item_id", long(F.size("ids")).alias("tokens"), long(F.size(F.array_distinct("ids"))).alias("distinct_ids"))
 
 
 @query(
@@ -91,7 +98,7 @@ def completion_samples(spark, sf_dir):
         SELECT doc_id, start, least(512, n - start) AS tokens FROM c WHERE start = 0 OR n - start >= 16""",
 )
 def text_chunks(spark, sf_dir):
-    coded = table(spark, sf_dir, "documents").select("doc_id", E.document_ids(token_ids(F.col("text")), R.CHATML).alias("ids"))
+    coded = table(spark, sf_dir, "documents").select("doc_id", E.marked_ids(F.col("text"), R.CHATML).alias("ids"))
     return E.chunk_text(coded, "ids", 512, ["doc_id"]).select("doc_id", long(F.col("start")).alias("start"), long(F.size("input_ids")).alias("tokens"))
 
 
@@ -103,7 +110,7 @@ def document_markers(spark, sf_dir):
     return twice.select("doc_id", long(F.size("ids")).alias("tokens"), (F.col("ids") == F.col("again")).alias("marked"))
 
 
-_STREAM = f"""WITH d AS (SELECT doc_id, list_append(list_transform({TOKENS_SQL.format(c='text')}, lambda x: {ID_SQL.format(t='x')}), {_END}) AS ids,
+_STREAM = f"""WITH d AS (SELECT doc_id, list_append(list_transform({TOKENS_SQL.format(c='text')}, lambda x: {ID_SQL.format(t='x')}), {END_ID}) AS ids,
   {SEED_SQL(42, 'doc_id')} AS h FROM documents),
 s AS (SELECT ids, coalesce(sum(len(ids)) OVER (ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d),
 t AS (SELECT unnest(ids) AS id, start + generate_subscripts(ids, 1) - 1 AS p FROM s),
@@ -116,8 +123,8 @@ b AS (SELECT CAST(floor(p / 1024) AS BIGINT) AS block, id, p % 1024 AS i FROM t)
     _STREAM + "SELECT block, count(*) AS tokens, CAST(sum(id * (i % 1000 + 1)) AS BIGINT) AS checksum FROM b GROUP BY block HAVING count(*) >= 64",
 )
 def packed_blocks(spark, sf_dir):
-    coded = table(spark, sf_dir, "documents").select("doc_id", E.document_ids(token_ids(F.col("text")), R.CHATML).alias("ids"))
-    blocks = E.pack(coded, "ids", "doc_id", 1024)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    blocks = E.pack(docs, "doc_id", token_count(F.col("text")) + 1, coded_tokens(F.col("text")), 1024)
     return blocks.select("block", long(F.size("input_ids")).alias("tokens"), checksum(F.col("input_ids")).alias("checksum"))
 
 
@@ -202,5 +209,6 @@ def padded_batches(spark, sf_dir):
     SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY n, md5(CAST(doc_id AS VARCHAR)), doc_id) - 1) / 16) AS BIGINT) AS batch FROM t""",
 )
 def length_batches(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("n"))
+    # The lengths are needed in three passes: measure once, go on with the narrow table.
+    docs = materialize(table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("n")), "lengths")
     return E.length_batches(docs, "n", "doc_id", 16).select("doc_id", "batch")

@@ -7,7 +7,7 @@ from trainset.streaming import ingest, metrics as SM
 
 def metric_rows(spark, sf_dir):
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("job_id"), F.col("ts").alias("time"), F.col("event_id").alias("step"), F.col("value").alias("loss"), "event_type"
+        F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("time"), F.col("event_id").alias("step"), F.col("value").alias("loss"), "event_type"
     )
 
 
@@ -42,13 +42,13 @@ def smoothed_loss(spark, sf_dir):
 @query(
     "run_progress",
     """WITH s AS (SELECT o_custkey AS job_id, max(o_orderkey) AS step, min(o_orderkey) AS start_step, count(*) AS num_items FROM orders GROUP BY 1)
-    SELECT job_id, round(3600.0 / greatest(step - start_step, 1) * greatest(20000 - step, 0), 1) AS eta_s, round(step * 4 / num_items, 2) AS epoch, round(step / 20000, 4) AS done FROM s""",
+    SELECT job_id, round(3600.0 / greatest(step - start_step, 1) * greatest(19997 - step, 0), 1) AS eta_s, round(step * 4 / num_items, 2) AS epoch, round(step / 19997, 4) AS done FROM s""",
 )
 def run_progress(spark, sf_dir):
     s = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("job_id")).agg(
         F.max("o_orderkey").alias("step"), F.min("o_orderkey").alias("start_step"), F.count(F.lit(1)).alias("num_items")
     )
-    ready = s.withColumn("max_steps", F.lit(20000)).withColumn("elapsed_s", F.lit(3600.0)).withColumn("batch_size", F.lit(4))
+    ready = s.withColumn("max_steps", F.lit(19997)).withColumn("elapsed_s", F.lit(3600.0)).withColumn("batch_size", F.lit(4))
     return J.progress(ready).select("job_id", "eta_s", "epoch", "done")
 
 
@@ -118,13 +118,13 @@ def stage_chain(spark, sf_dir):
 
 @query(
     "stage_results",
-    _JOBS + """SELECT job_id, root, depth + 1 AS stage, CASE WHEN job_id % 2 = 0 THEN printf('train loss %.3f', o_totalprice / 1000) ELSE '-' END AS result FROM chain JOIN jobs USING (job_id)""",
+    _JOBS + """SELECT job_id, root, depth + 1 AS stage, CASE WHEN job_id % 2 = 0 THEN printf('train loss %.3f', o_totalprice / 997.0) ELSE '-' END AS result FROM chain JOIN jobs USING (job_id)""",
 )
 def stage_results(spark, sf_dir):
     all_jobs = jobs(spark, sf_dir)
     none = F.lit(None).cast("double")
     results = all_jobs.select(
-        "job_id", F.when(F.pmod("job_id", F.lit(2)) == 0, F.col("o_totalprice") / 1000).alias("train_loss"), none.alias("eval_loss"), none.alias("accuracy")
+        "job_id", F.when(F.pmod("job_id", F.lit(2)) == 0, F.col("o_totalprice") / 997.0).alias("train_loss"), none.alias("eval_loss"), none.alias("accuracy")
     )
     return J.stage_results(J.stage_roots(all_jobs), results)
 
@@ -136,7 +136,7 @@ def stream_of(spark, sf_dir, name):
 
 def event_stream(spark, sf_dir):
     return stream_of(spark, sf_dir, "events").select(
-        F.col("user_id").alias("job_id"), F.col("ts").alias("time"), F.col("event_id").alias("step"), F.col("value").alias("loss")
+        F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("time"), F.col("event_id").alias("step"), F.col("value").alias("loss")
     ).withWatermark("time", "1 hour")
 
 
