@@ -13,13 +13,17 @@ from trainset.session import materialize
 TEXT_GLOB = "*.{txt,md,TXT,MD}"
 
 
-def read_raw_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines (plain or gzip): file, line and the VARIANT ``raw``; NULL = not valid JSON.
+def read_raw_jsonl(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
+    """JSON lines (plain or gzip): file, line, seq and the VARIANT ``raw``; NULL = not valid JSON.
 
     Blank lines are skipped but counted in the line numbers. Lines are numbered per split
     (a split is contiguous in its file and never larger than maxPartitionBytes), and the
     numbered table is written once, so every later branch sees the same numbers.
+    ``numbered=False`` leaves out line and seq and streams straight through: no copy, no shuffle.
     """
+    if not numbered:
+        plain = spark.read.text(path).where(~is_blank(F.col("value")))
+        return plain.select(F.col("_metadata.file_path").alias("file"), parse_json(F.col("value")).alias("raw"))
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -51,9 +55,9 @@ def read_records(spark: SparkSession, path: str, mode: str = "skip", limit: int
     return valid.orderBy("seq").limit(limit) if limit is not None else valid
 
 
-def read_objects(spark: SparkSession, path: str) -> DataFrame:
+def read_objects(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
     """Generic JSON lines source: objects only, other JSON values are ignored."""
-    return read_raw_jsonl(spark, path).where(V.is_object(F.col("raw")))
+    return read_raw_jsonl(spark, path, numbered).where(V.is_object(F.col("raw")))
 
 
 def read_json_document(spark: SparkSession, path: str) -> DataFrame:
@@ -96,7 +100,8 @@ def read_source(
     """Pick the reader by file name; optionally a seeded sample of ``max_rows`` rows."""
     name = path.rstrip("/").lower()
     if name.endswith((".jsonl", ".jsonl.gz", ".ndjson")):
-        rows, order = read_objects(spark, path), ["file", "line"]
+        # Only a sample needs an address per line.
+        rows, order = read_objects(spark, path, numbered=max_rows is not None), ["file", "line"]
     elif name.endswith(".json"):
         rows, order = read_json_document(spark, path), ["file", "pos"]
     elif name.endswith(".csv"):
