@@ -12,7 +12,6 @@ from trainset.operators.clean import mark_duplicates
 from trainset.operators.infer import Complete, batch_complete
 from trainset.operators.ordered import hash_bucket, with_running_total
 from trainset.operators.sampling import cap_groups, upsample
-from trainset.operators.stats import rank_percentiles  # noqa: F401
 from trainset.sources.images import image_size
 
 # ---- fixed values ----

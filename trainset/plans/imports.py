@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from trainset.functions.text import seeded_hash  # noqa: F401
 from trainset.operators.clean import length_reason, mark_duplicates
 from trainset.operators.convert import convert_table
 from trainset.operators.mapping import Mapping, detect_mapping
+from trainset.operators.normalize import normalize_json
 from trainset.operators.sampling import sample_rows
 from trainset.operators.traces import drop_reasoning, fingerprint, record_chars
 
@@ -55,3 +55,18 @@ def import_table(
             records = records.withColumn(name, F.lit(None).cast(kind or f"array<{MESSAGE.simpleString()}>"))
     measured = records.withColumn("chars", record_chars()).withColumn("fp", fingerprint())
     return import_reasons(measured, min_chars, max_chars, dedupe)
+
+
+def add_examples(raw: DataFrame, source: str = "handwritten", seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """``(records, problems)`` of hand-written JSON records in a ``raw`` VARIANT column.
+
+    Good records are tagged with their source and ready to append; problems list the errors by
+    ``seq``. Append the records with ``sources.files.append_jsonl`` or a Parquet append.
+    """
+    judged = normalize_json(raw)
+    tagged = judged.where("valid").withColumn("meta_source", F.lit(source)).drop("valid", "first_error", "issues")
+    errors = F.filter("issues", lambda i: i["level"] == "error")
+    problems = judged.where(~F.col("valid")).select(
+        seq, F.array_join(F.transform(errors, lambda i: F.concat_ws(": ", i["code"], i["message"])), "; ").alias("problem")
+    )
+    return tagged, problems

@@ -1,6 +1,6 @@
 """Filters, cleaning, exact de-duplication and import reports."""
 
-from trainset.functions.tokens import estimate_tokens  # noqa: F401
+from trainset.functions.text import is_blank, shorten
 from trainset.operators import clean as C
 from trainset.operators.traces import turn_fingerprints, turn_summary
 from trainset.plans.imports import import_reasons
@@ -85,11 +85,8 @@ def _cleaned(spark, sf_dir):
         docs.withColumn("everything", F.col("text"))
         .withColumn("all_chars", F.col("chars"))
         .withColumn("answer_chars", F.lit(0))
-        .withColumn("empty", F.length(F.col("text")) < 0)
+        .withColumn("empty", is_blank(F.col("text")))
     )
-    from trainset.functions.text import is_blank
-
-    ready = ready.withColumn("empty", is_blank(F.col("text")))
     return C.clean(ready, max_chars=6000, drop_matching=_PATTERN, drop_indices=(3, 7, 42))
 
 
@@ -104,8 +101,6 @@ def clean_documents_report(spark, sf_dir):
     FROM marked WHERE reason IS NOT NULL ORDER BY seq LIMIT 3""",
 )
 def clean_removed_examples(spark, sf_dir):
-    from trainset.functions.text import shorten
-
     return C.removed_examples(_cleaned(spark, sf_dir), shorten(F.col("text"), 160))
 
 
