@@ -39,11 +39,14 @@ def build_session(app: str = "trainset", cpus: int | str = "*", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none (tests, local runs).
+    A folder of our own is set only where a local session names none (tests, local runs); a cluster
+    without the setting is an error, since its machines would each write a folder the others miss.
     """
     configured = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="trainset-")
     spark.conf.set(_CHECKPOINT_KEY, own)
     return own
