@@ -124,6 +124,12 @@ def shard_slots(
     )
 
 
+def with_shard(docs: DataFrame, *, key: str = "doc_id", shards: int = 8, tree: tuple[Leaf, ...] | None = None) -> DataFrame:
+    """All columns and ``shard``; columns of that name in the input give way to the new one."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "shard"]
+    return docs.select(*kept, shard_of(F.col(key), tree or default_tree(shards)).alias("shard"))
+
+
 def _draw_sql(key: str, path: tuple[str, ...], weight: float) -> str:
     hexed = f"('0x' || substr(md5({key} || ':{'/'.join(path)}'), 1, {_DIGITS}))::BIGINT::DOUBLE"
     return f"ln(({hexed} + 0.5) / {float(16**_DIGITS)!r}) / {float(weight)!r}"
