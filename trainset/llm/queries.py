@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trainset.llm import decontaminate, mixing, shards, simhash, token_counts, urls
+from trainset.llm import decontaminate, langid, mixing, quality, shards, simhash, token_counts, toxicity, urls
 from trainset.llm.common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_slots(table(spark, sf_dir, "documents"))
 
@@ -33,7 +41,11 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan_and_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_shard_tree, op5_url_filter, op6_simhash, op7_decontaminate, op8_token_counts, op9_mix)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op4_shard_tree, op5_url_filter, op6_simhash, op7_decontaminate, op8_token_counts, op9_mix, op10_language)}
 
 SQL = {
     "op4_shard_tree": shards.oracle(),
