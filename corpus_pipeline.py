@@ -1,4 +1,4 @@
-"""The corpus pipeline: near-dedup, decontamination, mixing and sharding of ``documents``, stage by stage.
+"""The corpus pipeline: quality filter, near-dedup, decontamination, mixing and sharding of ``documents``, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet into the
 shared folder and rereads it as the next one's docs. All stages but the last return the columns of
@@ -10,10 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trainset.llm import decontaminate, mixing, shards, simhash
+from trainset.llm import decontaminate, mixing, quality, shards, simhash
 from trainset.llm.common import materialize, table
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.keep_one_per_group(docs)
@@ -35,6 +40,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", quality_filter),
     ("simhash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("mixing sources", mix),

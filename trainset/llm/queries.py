@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trainset.llm import decontaminate, langid, mixing, quality, shards, simhash, token_counts, toxicity, urls
+from trainset.llm import ann, decontaminate, langid, mixing, quality, shards, simhash, token_counts, toxicity, urls
 from trainset.llm.common import table
 
 
+def op1_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,7 +49,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op4_shard_tree, op5_url_filter, op6_simhash, op7_decontaminate, op8_token_counts, op9_mix, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_kmeans_tree, op2_toxicity, op3_quality, op4_shard_tree, op5_url_filter, op6_simhash, op7_decontaminate, op8_token_counts, op9_mix, op10_language)}
 
 SQL = {
     "op4_shard_tree": shards.oracle(),
