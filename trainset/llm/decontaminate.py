@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from trainset.llm.common import materialize, utf8
+from trainset.llm.common import materialize, packed, utf8
 
 WINDOW = 13
 COVERAGE = 20  # contaminated from one hit word in so many
@@ -164,18 +164,17 @@ def _blocks(benchmark: DataFrame, item_id: str, item_text: str, window: int, blo
         yield Automaton(sorted((r["item"], words_of(r["text"].encode())) for r in rows), window)
 
 
-def _searched(docs: DataFrame, text: str, keep: list[str], automata: Iterator[Automaton], carried: str) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and ``carried``: number of words, spans of hit words, items found.
+def _searched(docs: DataFrame, text: str, automata: Iterator[Automaton], keep_row: bool) -> DataFrame:
+    """``docs`` (a column, and a struct or string that holds the text) with ``found``: words, spans, items.
 
     With several automata the documents pass through one after the other and are written in between,
     so that a Python worker holds one automaton at a time.
     """
     spark = docs.sparkSession
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-    names = list(dict.fromkeys([*keep, text]))
-    result = StructField(carried, StructType.fromDDL("n_words long, spans array<int>, items array<string>"))
-    fields = [docs.schema[name] for name in names]
-    out = docs.select(*(F.col(f"`{name}`") for name in names))
+    result = StructField("found", StructType.fromDDL("n_words long, spans array<int>, items array<string>"))
+    names, fields = docs.columns, docs.schema.fields
+    out = docs
     for number, automaton in enumerate(automata):
         if number:
             out = materialize(out, "contamination")
@@ -186,7 +185,8 @@ def _searched(docs: DataFrame, text: str, keep: list[str], automata: Iterator[Au
             for batch in batches:
                 cells = []
                 before = None if first else batch.column(len(names)).to_pylist()
-                for i, value in enumerate(utf8(batch.column(names.index(text)))):
+                texts = batch.column(0).field(text) if keep_row else batch.column(1)
+                for i, value in enumerate(utf8(texts)):
                     words = words_of(value)
                     spans, items = automaton.search(words)
                     if before:
@@ -196,14 +196,15 @@ def _searched(docs: DataFrame, text: str, keep: list[str], automata: Iterator[Au
                     flat = [x for span in joined(spans) for x in span]
                     cells.append({"n_words": len(words), "spans": flat, "items": sorted(items)})
                 columns = [*batch.columns[: len(names)], pa.array(cells, kind)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, carried])
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "found"])
 
         out = out.mapInArrow(search, StructType([*fields, result]))
-    return out.select(*(F.col(f"`{name}`") for name in keep), carried)
+    return out.select(names[0], "found")
 
 
-def _hit(carried: str) -> Column:
-    spans = F.col(carried)["spans"]
+def _hit() -> Column:
+    """Hit words: ends less starts of the spans."""
+    spans = F.col("found.spans")
     ends = F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("s")), lambda a, x: F.struct((a["n"] + a["s"] * x).alias("n"), (-a["s"]).alias("s")))
     return ends["n"].cast("long")
 
@@ -217,37 +218,29 @@ def find_contamination(
     ``contaminated``: at least one hit word, and at least one in ``coverage`` words is hit.
     """
     automata = _blocks(benchmark, item_id, item_text, window, block_words)
-    found = _searched(docs, text, [doc_id], automata, "_found")
-    hit = _hit("_found")
-    return found.select(
-        F.col(doc_id).alias("doc_id"),
-        F.col("_found.n_words").alias("n_words"),
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    hit = _hit()
+    return _searched(texts, "text", automata, keep_row=False).select(
+        "doc_id",
+        F.col("found.n_words").alias("n_words"),
         hit.alias("n_hit"),
-        F.size("_found.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_found.items", ","), 256).alias("items_sha256"),
-        F.col("_found.items").alias("items"),
-        F.col("_found.spans").alias("spans"),
-        ((hit > 0) & (hit * coverage >= F.col("_found.n_words"))).alias("contaminated"),
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
+        F.col("found.items").alias("items"),
+        F.col("found.spans").alias("spans"),
+        ((hit > 0) & (hit * coverage >= F.col("found.n_words"))).alias("contaminated"),
     )
 
 
-def _free_name(docs: DataFrame) -> str:
-    name = "_found"
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
     window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """The documents that are not contaminated, whole and with all their columns."""
-    name = _free_name(docs)
     automata = _blocks(benchmark, item_id, item_text, window, block_words)
-    found = _searched(docs, text, docs.columns, automata, name)
-    hit = _hit(name)
-    return found.where((hit == 0) | (hit * coverage < F.col(name)["n_words"])).drop(name)
+    found = _searched(packed(docs), text, automata, keep_row=True)
+    hit = _hit()
+    return found.where((hit == 0) | (hit * coverage < F.col("found.n_words"))).select("row.*")
 
 
 def cut_spans(
@@ -258,23 +251,22 @@ def cut_spans(
 
     Documents of which more than ``max_coverage`` of the words are hit are dropped.
     """
-    name = _free_name(docs)
     automata = _blocks(benchmark, item_id, item_text, window, block_words)
-    found = _searched(docs, text, docs.columns, automata, name)
-    hit = _hit(name)
-    kept = found.where((hit == 0) | (hit <= F.lit(max_coverage) * F.col(name)["n_words"]))
-    names, schema = docs.columns, docs.schema
+    rows = packed(docs)
+    found = _searched(rows, text, automata, keep_row=True)
+    hit = _hit()
+    kept = found.where((hit == 0) | (hit <= F.lit(max_coverage) * F.col("found.n_words")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index(text)
         for batch in batches:
-            columns = batch.columns[: len(names)]
-            spans = [x["spans"] for x in batch.column(len(names)).to_pylist()]
+            row = batch.column(0)
+            columns, at = row.flatten(), row.type.get_field_index(text)
+            spans = [x["spans"] for x in batch.column(1).to_pylist()]
             texts = [_without(t, s, max_span) if s else t for t, s in zip(columns[at].to_pylist(), spans)]
             columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=list(row.type))], names=["row"])
 
-    return kept.mapInArrow(cut, schema)
+    return kept.mapInArrow(cut, rows.schema).select("row.*")
 
 
 def _without(text: str, spans: list[int], least: int) -> str:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trainset.llm.common import crc_bucket, materialize, utf8
+from trainset.llm.common import crc_bucket, materialize, packed, utf8
 from trainset.llm.sums import matrix, partition_sums
 
 FOLDS, HELD_OUT = 4, 2
@@ -203,12 +203,11 @@ def keep_good(
     """
     known = labels_of(labels, doc_id, label)
     model = fit(materialize(_stats_of(docs, doc_id, text), "quality-stats"), known)
-    columns, schema = docs.columns, docs.schema
+    rows = packed(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = columns.index(text)
         for batch in batches:
-            x = np.array([statistics(v) for v in utf8(batch.column(at))], float).reshape(-1, WIDTH)
+            x = np.array([statistics(v) for v in utf8(batch.column(0).field(text))], float).reshape(-1, WIDTH)
             yield batch.filter(pa.array(_scores(model, x) >= THRESHOLD))
 
-    return docs.mapInArrow(keep, schema)
+    return rows.mapInArrow(keep, rows.schema).select("row.*")
