@@ -122,7 +122,7 @@ def test_nearest_edges(spark):
         (None, [1.0, 1.0, 1.0], "x", 1), (150, None, "x", 1), (200, [0.0, 0.0, 0.0], "x", 1), (250, [1.0, None, 1.0], "x", 1),
         (300, [1.0, float("nan"), 1.0], "x", 1), (350, [float("inf"), 1.0, 1.0], "x", 1), (400, [], "x", 1), (450, [1.0, 2.0], "x", 1), (50, [1.0, 2.0, 0.5], "x", 1),
     ]
-    got = rows_of(ann.nearest(spark.createDataFrame(rows, schema)))
+    got = sorted(tuple(r) for r in ann.nearest(spark.createDataFrame(rows, schema)).collect())
     want = brute([r for r in rows if r[0] is not None and r[0] < 120][:120], 5, 50)
     assert [(q, r, v) for q, r, v, _ in got] == [(q, i + 1, v) for q in (0, 50, 100) for i, (v, _) in enumerate(want[q])]
     two = spark.createDataFrame(rows[:1] + rows[50:51], schema)

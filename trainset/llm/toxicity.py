@@ -159,15 +159,18 @@ def fit_label_model(pairs: np.ndarray, documents: float, prior: float) -> LabelM
 
     If voters were independent given the class, their covariances would be a rank-one matrix of how
     much more each fires on toxic documents. That matrix is fitted to the pairs not yet found to be
-    correlated; pairs far above it are set apart, and it is fitted again.
+    correlated; pairs far above it are set apart, and it is fitted again. The start is the median of
+    what each two other voters say of one, which a few correlated pairs do not move.
     """
     n = len(pairs)
     rate = np.diag(pairs) / max(documents, 1)
     deviation = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
     agree = (pairs / max(documents, 1) - np.outer(rate, rate)) / np.outer(deviation, deviation)
     alive = rate > 0
-    use = np.outer(alive, alive) & ~np.eye(n, dtype=bool)
-    skill = np.where(alive, 0.5, 0.0)
+    pairs_of = np.outer(alive, alive) & ~np.eye(n, dtype=bool)
+    skill = np.array([_by_thirds(agree, pairs_of, j) for j in range(n)])
+    residual = agree - np.outer(skill, skill)
+    use = pairs_of & (residual < AGREES)
     for _ in range(4):
         for _ in range(50):
             for j in np.flatnonzero(alive):
@@ -175,17 +178,28 @@ def fit_label_model(pairs: np.ndarray, documents: float, prior: float) -> LabelM
                 weight = (skill[others] ** 2).sum()
                 skill[j] = np.clip((agree[j, others] * skill[others]).sum() / weight, 0.02, 0.98) if weight > 1e-9 else skill[j]
         residual = agree - np.outer(skill, skill)
-        use = np.outer(alive, alive) & ~np.eye(n, dtype=bool) & (residual < AGREES)
+        use = pairs_of & (residual < AGREES)
     apart = np.sqrt(prior * (1 - prior))
     toxic = rate + skill * deviation * (1 - prior) / apart
     clean = rate - skill * deviation * prior / apart
     fires = np.clip(np.vstack([clean, toxic]), 1e-4, 1 - 1e-4)
     fires[1] = np.maximum(fires[1], fires[0])
-    tied = np.where((residual >= AGREES) & ~np.eye(n, dtype=bool) & np.outer(alive, alive), residual, 0.0)
+    tied = np.where((residual >= AGREES) & pairs_of, residual, 0.0)
     share = np.where(alive, 1 / (1 + np.abs(tied).sum(axis=1)), 0.0)
     return LabelModel(prior, fires, share, [(int(i), int(j)) for i, j in np.argwhere(np.triu(tied) > 0)])
 
 
+def _by_thirds(agree: np.ndarray, pairs_of: np.ndarray, j: int) -> float:
+    others = np.flatnonzero(pairs_of[j])
+    a, b = np.triu_indices(len(others), 1)
+    i, k = others[a], others[b]
+    sound = agree[i, k] > 1e-3
+    if not sound.any():
+        return 0.5 if len(others) else 0.0
+    squares = agree[j, i[sound]] * agree[j, k[sound]] / agree[i[sound], k[sound]]
+    return float(np.sqrt(np.clip(np.median(squares), 0.02**2, 0.98**2)))
+
+
 def _bits(masks: np.ndarray) -> np.ndarray:
     return (masks[:, None] >> np.arange(VOTERS)[None, :]) & 1
 
