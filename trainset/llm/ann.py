@@ -32,8 +32,9 @@ from trainset.llm.common import materialize
 NEIGHBOURS = 5
 EVERY = 50  # ids divisible by it are queries
 SAMPLE = 20_000  # vectors the tree is fitted on
-BRANCHES = 16
-LEAF_ROWS = 150  # vectors in a leaf, about; no fewer than LEAF_SAMPLE of the sample
+BRANCHES = 16  # of a node, and no more than it takes to reach the size of a leaf
+LEAF_ROWS = 250  # vectors in a leaf, about; fewer in small tables, for FEW_LEAVES leaves; no fewer than LEAF_SAMPLE of the sample
+FEW_LEAVES = 64
 LEAF_SAMPLE = 8
 CALIBRATION = 200  # queries compared with all vectors
 RECALL = 0.95  # of the neighbours of these
@@ -98,7 +99,8 @@ def grow(sample: np.ndarray, least: int, branches: int = BRANCHES) -> Tree:
     leaves, stack = 0, [(0, np.arange(len(unit)))]
     while stack:
         node, rows = stack.pop()
-        groups = _split(unit[rows], branches, rng) if len(rows) > least else []
+        wanted = min(branches, max(2, round(len(rows) / least)))
+        groups = _split(unit[rows], wanted, rng) if len(rows) > least else []
         if len(groups) < 2:
             leaf[node] = leaves
             leaves += 1
@@ -197,12 +199,12 @@ def _exact(index: DataFrame, queries: list, k: int) -> list[list[int]]:
 
 
 def calibrated_visits(tree: Tree, queries: list, leaves_of: list[list[int]], recall: float) -> int:
-    """The fewest visits, widened by a quarter each time, that reach ``recall`` on sampled queries."""
+    """The fewest visits, widened by a sixteenth each time, that reach ``recall`` on sampled queries."""
     orders = [{leaf: i for i, leaf in enumerate(tree.visits(_unit(np.array([r["v"]], float))[0], tree.leaves))} for r in queries]
     places = np.array([order[leaf] for order, leaves in zip(orders, leaves_of) for leaf in leaves])
     visits = 1
     while visits < tree.leaves and len(places) and (places < visits).mean() < recall:
-        visits = min(tree.leaves, visits + max(1, visits // 4))
+        visits = min(tree.leaves, visits + max(1, visits // 16))
     return visits
 
 
@@ -222,7 +224,7 @@ def nearest(
     total = vectors.count()
     order = F.xxhash64("h", F.lit(SEED))
     sampled = vectors.select("v").orderBy(order, "v").limit(sample).collect()  # at most ``sample`` vectors
-    tree = grow(np.array([r["v"] for r in sampled], float), max(LEAF_SAMPLE, round(len(sampled) * leaf_rows / total)))
+    tree = grow(np.array([r["v"] for r in sampled], float), max(LEAF_SAMPLE, round(len(sampled) * min(leaf_rows / total, 1 / FEW_LEAVES))))
     shared = spark.sparkContext.broadcast(tree)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
