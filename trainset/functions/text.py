@@ -64,7 +64,7 @@ def render_template(template: str, columns: list[str], types: dict[str, str] | N
         if name is None:
             continue
         if name not in columns:
-            raise KeyError(f"template refers to unknown column {name!r}")
+            raise KeyError(f"no column {name!r} for the template")
         if conversion:
             raise ValueError("conversions such as {x!r} are not supported in templates")
         value = F.col(f"`{name}`")
@@ -114,12 +114,16 @@ def _tail(c: Column) -> Column:
 def parse_json(c: Column) -> Column:
     """VARIANT of a JSON text, NULL if the text is anything but exactly one JSON value.
 
-    The built-in parser ignores what follows the first value; inside brackets it cannot.
+    The built-in parser ignores what follows the first value. Text that closes the list around it
+    early breaks the object around it, and the reverse, so only one value passes both.
     """
     inside = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
     return let(
         inside,
-        lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant")),
+        lambda v: F.when(
+            F.try_variant_get(v, "$[1]", "variant").isNull() & member.isNotNull(), F.try_variant_get(v, "$[0]", "variant")
+        ),
     )
 
 

@@ -258,11 +258,10 @@ def convert_table(df: DataFrame, mapping: Mapping, seq: str = "seq", meta: dict[
         built = convert_preference(source, mapping)
     else:
         built = convert_pairs(source, mapping)
-    out = normalize_messages(built, F.col("built"))
     if mapping.tools:
-        tools = normalize_tools(as_variant(df, mapping.tools))
-        out = out.withColumn("tools", F.when(F.size(tools["tools"]) > 0, tools["tools"]))
-    reason = F.when(F.col("convert_error").isNotNull(), F.concat(F.lit("convert: "), F.substring("convert_error", 1, 60))).otherwise(F.col("first_error"))
+        built = built.withColumn("__tools", normalize_tools(as_variant(built, mapping.tools)))
+    out = normalize_messages(built, F.col("built"))
+    reason = F.when(F.col("convert_error").isNotNull(), F.concat(F.lit("convert: "), F.col("convert_error"))).otherwise(F.col("first_error"))
     keep = ["kind", "messages", "chosen", "rejected", "tools", "meta", "meta_source", "meta_license", "meta_lang", "issues"]
     return out.select(
         F.col(seq).cast("long").alias("seq"), *keep, reason.alias("first_error"), reason.isNull().alias("valid")

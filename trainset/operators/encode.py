@@ -18,8 +18,9 @@ from trainset.operators.render import Dialect, piece_rows
 from trainset.operators.traces import BLOCK
 from trainset.schema import IGNORE_INDEX
 
-MIN_CHUNK = 16  # later chunks of a document need at least this many tokens
-MIN_TAIL = 64  # the last packed block is dropped below this
+# Usual lower limits of trainers; nothing is dropped unless they are passed.
+MIN_CHUNK = 16  # tokens of a later chunk of a document
+MIN_TAIL = 64  # tokens of the last packed block
 
 
 def masked(ids: Column) -> Column:
@@ -163,8 +164,8 @@ def document_ids(ids: Column, dialect: Dialect) -> Column:
     return ids
 
 
-def chunk_text(df: DataFrame, ids: str, max_len: int, keep: Sequence[str] = ()) -> DataFrame:
-    """Cut token arrays into chunks of ``max_len``; later chunks below 16 tokens are dropped.
+def chunk_text(df: DataFrame, ids: str, max_len: int, keep: Sequence[str] = (), min_chunk: int = 0) -> DataFrame:
+    """Cut token arrays into chunks of ``max_len``; later chunks below ``min_chunk`` tokens are dropped (see ``chunk_report``).
 
     The chunks are sliced before the explode, so the document is not copied per chunk.
     """
@@ -172,11 +173,21 @@ def chunk_text(df: DataFrame, ids: str, max_len: int, keep: Sequence[str] = ())
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(max_len))).otherwise(F.array().cast("array<int>"))
     chunks = F.filter(
         F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(F.col(ids), s + 1, F.lit(max_len)).alias("input_ids"))),
-        lambda c: (c["start"] == 0) | (F.size(c["input_ids"]) >= MIN_CHUNK),
+        lambda c: (c["start"] == 0) | (F.size(c["input_ids"]) >= min_chunk),
     )
     return df.select(*keep, F.inline(chunks)).withColumn("labels", F.col("input_ids"))
 
 
+def chunk_report(df: DataFrame, n: Column, max_len: int, min_chunk: int = 0) -> DataFrame:
+    """One row: documents, tokens, and the chunks and tokens that ``chunk_text`` drops."""
+    rest = F.pmod(n.cast("long"), F.lit(max_len).cast("long"))
+    short = (n > max_len) & (rest > 0) & (rest < min_chunk)
+    return df.agg(
+        F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(n.cast("long")), F.lit(0)).alias("tokens"),
+        F.count_if(short).alias("dropped_chunks"), F.coalesce(F.sum(F.when(short, rest)), F.lit(0)).alias("dropped_tokens"),
+    )
+
+
 def encode_completion(df: DataFrame, prompt: str, completion: str, dialect: Dialect, max_len: int, overflow: str = "drop", keep: Sequence[str] = ()) -> DataFrame:
     """Prompt without loss, completion and end token with loss."""
     p, c = token_ids(F.col(prompt)), token_ids(F.col(completion))
@@ -198,14 +209,14 @@ def encode_completion(df: DataFrame, prompt: str, completion: str, dialect: Dial
 
 
 def pack(
-    df: DataFrame, key: str, n: Column, ids: Column, max_len: int, seed: int = 42, min_tail: int = MIN_TAIL
+    df: DataFrame, key: str, n: Column, ids: Column, max_len: int, seed: int = 42, min_tail: int = 0
 ) -> DataFrame:
     """Concatenate documents in seeded order and cut the stream into blocks: (block, input_ids).
 
     ``n`` counts the tokens of a row, ``ids`` builds them. Only the counts are needed to give
     every document its place in the stream; the arrays are built behind that shuffle, spread
     over all tasks, and their pieces go straight to their blocks. A block never collects more
-    than ``max_len`` tokens.
+    than ``max_len`` tokens. The last block is dropped if it has fewer than ``min_tail`` tokens.
     """
     ordered = df.withColumn("__h", seeded_hash(seed, F.col(key))).withColumn("__n", n.cast("long")).where(F.col("__n") > 0)
     placed = with_running_total(
@@ -254,19 +265,23 @@ def length_batches(df: DataFrame, length: str, key: str, batch_size: int) -> Dat
     Buckets follow the length; ties are spread by the hash digits, so one frequent length
     does not end up in one task.
     """
-    base = df.withColumn("__h", F.md5(F.col(key).cast("string")))
-    bucket = F.least(F.col(length).cast("long"), F.lit(65535)) * F.lit(256) + F.conv(F.substring("__h", 1, 2), 16, 10).cast("long")
-    # Lengths beyond 65535 share a bucket range; their hash digits must not order it.
-    bucket = F.when(F.col(length) >= 65535, F.lit(65535 * 256).cast("long")).otherwise(bucket)
-    coarse = base.withColumn("__all", F.floor(bucket / 256))
+    base = df.withColumn("__h", F.md5(F.col(key).cast("string"))).withColumn("__l", F.col(length).cast("long"))
+    # Lengths up to 65535 have a bucket each, longer ones 4096 for every doubling: at most 2^17 for 2^31 tokens.
+    doubling = F.floor(F.log2(F.col("__l") + F.lit(0.5))).cast("int")
+    width = F.pow(F.lit(2.0), doubling - 12).cast("long")
+    start = F.pow(F.lit(2.0), doubling).cast("long")
+    long_one = F.lit(65536).cast("long") + (doubling - 16) * 4096 + F.floor((F.col("__l") - start) / width)
+    coarse = base.withColumn("__all", F.when(F.col("__l") < 65536, F.greatest(F.col("__l"), F.lit(0))).otherwise(long_one))
+    # Inside, the exact length and then hash digits: 4096 parts of one frequent length.
+    bucket = F.col("__l") * F.lit(4096) + F.conv(F.substring("__h", 1, 3), 16, 10).cast("long")
     totals = coarse.groupBy("__all").agg(F.count(F.lit(1)).alias("__c"))
     from pyspark.sql import Window
 
-    along = Window.orderBy("__all").rowsBetween(Window.unboundedPreceding, -1)  # at most 65536 rows
+    along = Window.orderBy("__all").rowsBetween(Window.unboundedPreceding, -1)  # at most 2^17 rows
     bases = totals.select("__all", F.coalesce(F.sum("__c").over(along), F.lit(0)).alias("__before"))
     inside = with_running_total(coarse.withColumn("__b", bucket), [length, "__h", key], F.col("__b"), "__pos", by=["__all"])
     placed = inside.join(F.broadcast(bases), "__all").withColumn("__pos", F.col("__pos") + F.col("__before"))
-    return placed.withColumn("batch", F.floor(F.col("__pos") / batch_size)).drop("__h", "__all", "__b", "__pos", "__before")
+    return placed.withColumn("batch", F.floor(F.col("__pos") / batch_size)).drop("__h", "__l", "__all", "__b", "__pos", "__before")
 
 
 def pad_batches(df: DataFrame, pad_id: int = 0, multiple: int = 8) -> DataFrame:

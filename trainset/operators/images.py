@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trainset.functions.text import is_blank, strip, text_or_empty
 from trainset.operators.clean import mark_duplicates
 from trainset.operators.infer import Complete, batch_complete
-from trainset.operators.ordered import hash_bucket, with_running_total
 from trainset.operators.sampling import cap_groups, upsample
 from trainset.sources.images import image_size
 
@@ -20,7 +19,6 @@ MIN_IMAGES = 10
 SIZE_MULTIPLE = 32
 ASPECTS = (1.0, 4 / 3, 3 / 2, 16 / 9)
 EXTENSIONS = {"jpeg": ".jpg", "png": ".png", "webp": ".webp"}
-NAME_DIGITS = 12
 # ----------------------
 
 
@@ -36,7 +34,7 @@ def image_records(files: DataFrame, source: str, order: str = "path") -> DataFra
     for fmt, ext in EXTENSIONS.items():
         extension = F.when(F.col("__size.format") == fmt, F.lit(ext)).otherwise(extension)
     return judged.select(
-        order, "name", F.concat(F.lit("images/"), F.substring("sha1", 1, NAME_DIGITS), extension).alias("image"),
+        order, "name", F.concat(F.lit("images/"), F.col("sha1"), extension).alias("image"),
         *(["caption"] if "caption" in files.columns else []),
         F.lit(source).alias("meta_source"), F.col("__size.width").alias("width"), F.col("__size.height").alias("height"), "reason",
     )
@@ -53,15 +51,21 @@ def path_stem(path: Column) -> Column:
 
 
 def join_captions(images: DataFrame, captions: DataFrame, default: str = "") -> DataFrame:
-    """Caption of the text file with the same path stem, else the default."""
-    sidecar = captions.select(path_stem(F.col("path")).alias("__stem"), strip(F.col("text")).alias("__text"))
+    """Caption of the ``.txt`` file with the same path stem, else the default; an empty file captions with "".
+
+    Of several rows for one file the one with the greatest text counts, so an image stays one row.
+    """
+    beside = captions.where(F.col("path").endswith(".txt"))
+    sidecar = beside.groupBy(path_stem(F.col("path")).alias("__stem")).agg(F.max(strip(text_or_empty(F.col("text")))).alias("__text"))
     joined = images.withColumn("__stem", path_stem(F.col("path"))).join(sidecar, "__stem", "left")
     return joined.withColumn("caption", F.coalesce("__text", F.lit(default))).drop("__stem", "__text")
 
 
-def set_captions(images: DataFrame, captions: DataFrame) -> DataFrame:
-    """Replace captions by image path."""
-    new = captions.select("image", strip(F.col("caption")).alias("__new"))
+def set_captions(images: DataFrame, captions: DataFrame, order: str | None = None) -> DataFrame:
+    """Replace captions by image path; of several for one image the last in ``order`` counts (else the greatest)."""
+    text = strip(F.col("caption"))
+    last = F.max_by(text, F.when(text.isNotNull(), F.col(order))) if order else F.max(text)
+    new = captions.groupBy("image").agg(last.alias("__new"))
     return images.join(new, "image", "left").withColumn("caption", F.coalesce("__new", F.col("caption"))).drop("__new")
 
 
@@ -88,13 +92,12 @@ def apply_trigger(caption: Column, trigger: str | None) -> Column:
 
 
 def buckets_for(resolution: int) -> list[tuple[int, int]]:
-    """(height, width) buckets of about resolution² pixels; at most seven."""
-    side = lambda x: int(round(math.sqrt(x) / SIZE_MULTIPLE)) * SIZE_MULTIPLE
-    out: list[tuple[int, int]] = []
+    """(height, width) of each aspect and its reverse, as multiples of 32 with about resolution² pixels."""
+    shapes: dict[tuple[int, int], None] = {}
     for aspect in ASPECTS:
-        wide, low = side(resolution**2 * aspect), side(resolution**2 / aspect)
-        out += [b for b in ((low, wide), (wide, low)) if b not in out]
-    return list(dict.fromkeys(out))
+        longer, shorter = (round(resolution * math.sqrt(f) / SIZE_MULTIPLE) * SIZE_MULTIPLE for f in (aspect, 1 / aspect))
+        shapes[shorter, longer] = shapes[longer, shorter] = None
+    return list(shapes)
 
 
 def assign_bucket(height: Column, width: Column, buckets: Sequence[tuple[int, int]]) -> Column:
@@ -163,30 +166,3 @@ def mix_images(records: DataFrame, repeat: int = 1, dataset: str = "dataset") ->
     base = F.element_at(F.split("image", "/"), -1)
     named = records.withColumn("image", F.concat(F.lit("images/"), F.col(dataset), F.lit("-"), base))
     return upsample(named, F.lit(max(int(repeat), 1)))
-
-
-def sampling_schedule(items: DataFrame, steps: int, batch_size: int, dropout: float = 0.1, seed: int = 42, key: str = "image") -> DataFrame:
-    """(step, slot, bucket, image, caption): which image and caption variant each step trains on.
-
-    A step draws its bucket by weight, then every slot draws an image of that bucket. Draws are
-    hashes of (seed, step, slot), so a rerun gives the same table. At most seven bucket sizes
-    reach the driver; the images are addressed by their position inside the bucket.
-    """
-    spark = items.sparkSession
-    sizes = items.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("bucket").collect()
-    total = sum(r.n for r in sizes)
-    draw = lambda *cols: F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(2**31)) / F.lit(float(2**31))
-    plan = spark.range(1, steps + 1).withColumnRenamed("id", "step").withColumn("__u", draw(F.lit("bucket"), F.col("step")) * F.lit(float(total)))
-    bucket, size, upto = F.lit(sizes[-1].bucket), F.lit(sizes[-1].n), total
-    for r in reversed(sizes[:-1]):
-        upto -= sizes[sizes.index(r) + 1].n
-        bucket = F.when(F.col("__u") < upto, F.lit(r.bucket)).otherwise(bucket)
-        size = F.when(F.col("__u") < upto, F.lit(r.n)).otherwise(size)
-    slots = plan.withColumn("bucket", bucket).withColumn("__size", size).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(batch_size - 1))))
-    slots = slots.withColumn("__at", F.floor(draw(F.lit("image"), F.col("step"), F.col("slot")) * F.col("__size")))
-    hashed = items.withColumn("__h", F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in (key, "copy") if c in items.columns])))
-    placed = with_running_total(hashed, ["__h", key], hash_bucket(F.col("__h")), "__at", by=["bucket"]).drop("__h")
-    drawn = slots.join(placed.select("bucket", "__at", key, "captions"), ["bucket", "__at"])
-    variant = F.get("captions", F.floor(draw(F.lit("caption"), F.col("step"), F.col("slot")) * F.size("captions")).cast("int"))
-    dropped = draw(F.lit("dropout"), F.col("step"), F.col("slot")) < dropout
-    return drawn.select("step", "slot", "bucket", key, F.when(dropped, F.lit("")).otherwise(variant).alias("caption"))

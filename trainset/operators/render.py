@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trainset.functions.text import is_blank, rstrip, text_or_empty
 from trainset.operators.ordered import scan_groups, with_running_total
 from trainset.operators.traces import BLOCK
+from trainset.schema import TOOL
 
+JSON_FIELDS = ("parameters", "returns", "examples")  # of a tool: JSON kept as text
 PIECES = "array<struct<sub:int,piece:string,trainable:boolean>>"
 
 # ---- fixed values: texts that become part of the training data ----
@@ -90,10 +92,10 @@ def think_block(reasoning: Column) -> Column:
 
 def tool_call_blocks(calls: Column) -> Column:
     """Tool calls as tagged JSON, one block per call."""
-    name = lambda c: F.regexp_extract(F.to_json(F.struct(c["name"].alias("n"))), r'(?s)^\{"n":(.*)\}$', 1)
+    quoted = lambda x: F.regexp_extract(F.to_json(F.struct(x.alias("n"))), r'(?s)^\{"n":(.*)\}$', 1)
     block = lambda c: F.concat(
-        F.lit('<tool_call>\n{"name": '), name(c), F.lit(', "arguments": '),
-        F.when(c["args_is_object"], c["arguments"]).otherwise(F.to_json(F.array(c["arguments"]))), F.lit("}\n</tool_call>"),
+        F.lit('<tool_call>\n{"name": '), quoted(c["name"]), F.lit(', "arguments": '),
+        F.when(c["args_is_object"], c["arguments"]).otherwise(quoted(c["arguments"])), F.lit("}\n</tool_call>"),
     )
     return F.array_join(F.transform(calls, block), "\n")
 
@@ -124,12 +126,22 @@ def documents_block(documents: Column) -> Column:
     return F.array_join(F.concat(F.array(F.lit(DOCUMENTS_HEAD)), F.transform(documents, one)), "\n\n")
 
 
+def tool_json(tool: Column) -> Column:
+    """A tool as one JSON object; fields that hold JSON text are spliced in as they are."""
+    fields = []
+    for f in TOOL.fields:
+        value = tool[f.name]
+        body = value if f.name in JSON_FIELDS else F.regexp_extract(F.to_json(F.struct(value.alias("n"))), r'(?s)^\{"n":(.*)\}$', 1)
+        fields.append(F.when(value.isNotNull(), F.concat(F.lit(f'"{f.name}":'), body)))
+    return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+
+
 def preamble(documents: Column, tools: Column) -> Column:
     """Documents and tool schemas for the system prompt; NULL if there are neither."""
     docs = F.when(F.size(documents) > 0, documents_block(documents))
     specs = F.when(
         F.size(tools) > 0,
-        F.concat(F.lit(TOOLS_PREAMBLE), F.array_join(F.transform(tools, lambda t: F.to_json(t)), "\n")),
+        F.concat(F.lit(TOOLS_PREAMBLE), F.array_join(F.transform(tools, tool_json), "\n")),
     )
     return F.nullif(F.concat_ws("\n\n", docs, specs), F.lit(""))
 

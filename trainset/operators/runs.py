@@ -41,7 +41,7 @@ def loss_trend(metrics: DataFrame, job: str = "job_id", step: str = "step", loss
     Spark keeps only 400 rows per job on the map side before the shuffle (window group limit).
     """
     newest = Window.partitionBy(job).orderBy(F.desc(step))
-    last = metrics.select(job, step, F.round(loss, 5).alias("loss")).withColumn("r", F.row_number().over(newest)).where(F.col("r") <= HISTORY)
+    last = metrics.where(F.col(loss).isNotNull()).select(job, step, F.round(loss, 5).alias("loss")).withColumn("r", F.row_number().over(newest)).where(F.col("r") <= HISTORY)
     sizes = last.groupBy(job).agg(F.count(F.lit(1)).alias("n"))
     stride = F.greatest(F.lit(1), F.floor(F.col("n") / TREND_POINTS)).cast("int")
     at = F.col("n") - F.col("r")  # 0-based, oldest first
@@ -54,14 +54,22 @@ def ema(metrics: DataFrame, job: str = "job_id", step: str = "step", loss: str =
     """Exponentially smoothed loss per row: the first value seeds, then 0.9 · old + 0.1 · new.
 
     The recurrence is linear, so it splits into blocks of 512 rows plus what earlier blocks
-    carry in. The carry looks 14 blocks back: 0.9^(512·14) is below the smallest double, so
-    older blocks add exactly zero. ``step`` is an integer that is unique inside a job.
+    carry in. The carry looks 14 blocks back: 0.9^(512·14) is below the smallest double, so of
+    finite losses older blocks add exactly zero. NaN and infinity are not summed: their first steps
+    in a job decide what every later row is. Rows without a loss (evaluations) are left out.
+    ``step`` is an integer that is unique inside a job.
     """
     d = SMOOTHING
-    placed = scan_groups(metrics, [job], step, position="__i")
+    inf, raw = F.lit(float("inf")), F.col(loss)
+    odd = {"__nan": F.isnan(raw), "__up": raw == inf, "__down": raw == -inf}
+    placed = scan_groups(
+        metrics.where(raw.isNotNull()), [job], step, position="__i", totals={k: ("min", F.when(c, F.col(step))) for k, c in odd.items()}
+    )
+    reached = {k: F.coalesce(F.col(step) >= F.col(k), F.lit(False)) for k in odd}
+    x = F.when(F.isnan(raw) | (F.abs(raw) == inf), F.lit(0.0)).otherwise(raw)
     j = F.pmod("__i", F.lit(_EMA_BLOCK))
     base = placed.withColumn("__b", F.floor(F.col("__i") / _EMA_BLOCK)).withColumn("__j", j)
-    x = F.col(loss) * F.when(F.col("__i") == 0, F.lit(1.0)).otherwise(F.lit(1 - d))
+    x = x * F.when(F.col("__i") == 0, F.lit(1.0)).otherwise(F.lit(1 - d))
     inside = Window.partitionBy(job, "__b").orderBy("__j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = F.pow(F.lit(d), F.col("__j")) * F.sum(x * F.pow(F.lit(d), -F.col("__j"))).over(inside)
     base = base.withColumn("__local", local)
@@ -72,11 +80,14 @@ def ema(metrics: DataFrame, job: str = "job_id", step: str = "step", loss: str =
     for k in range(1, lookback + 1):
         carry = carry + F.coalesce(F.lag("__end", k).over(along), F.lit(0.0)) * F.lit(d ** (_EMA_BLOCK * (k - 1)))
     carried = ends.select(job, "__b", carry.alias("__carry"))
-    return (
-        base.join(carried, [job, "__b"])
-        .withColumn(out, F.col("__local") + F.pow(F.lit(d), F.col("__j") + 1) * F.col("__carry"))
-        .drop("__i", "__b", "__j", "__local", "__carry")
+    finite = F.col("__local") + F.pow(F.lit(d), F.col("__j") + 1) * F.col("__carry")
+    value = (
+        F.when(reached["__nan"] | (reached["__up"] & reached["__down"]), F.lit(float("nan")))
+        .when(reached["__up"], inf)
+        .when(reached["__down"], -inf)
+        .otherwise(finite)
     )
+    return base.join(carried, [job, "__b"]).withColumn(out, value).drop("__i", "__b", "__j", "__local", "__carry", *odd)
 
 
 def progress(status: DataFrame) -> DataFrame:
@@ -145,30 +156,41 @@ def stage_roots(jobs: DataFrame, job: str = "job_id", parent: str = "init_from",
         ),
         "stage-roots",
     )
+    done = state.where(F.col("up").isNull()).select(job, "root", "depth")
     for _ in range(max_rounds):
-        if not state.where(F.col("up").isNotNull()).limit(1).count():
-            return state.select(job, "root", "depth")
+        going = state.where(F.col("up").isNotNull())
+        if not going.limit(1).count():
+            return done
         jump = state.select(F.col(job).alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("d2"))
+        ended = done.select(F.col(job).alias("up"), F.lit(None).cast(jobs.schema[job].dataType).alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("d2"))
+        both = jump.where(F.col("up2").isNotNull()).unionByName(ended)
         state = materialize(
-            state.join(jump, "up", "left").select(
-                job, F.col("up2").alias("up"), F.coalesce("root2", "root").alias("root"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")
-            ),
+            going.join(both, "up").select(job, F.col("up2").alias("up"), F.col("root2").alias("root"), (F.col("depth") + F.col("d2")).alias("depth")),
             "stage-roots",
         )
+        done = done.unionByName(state.where(F.col("up").isNull()).select(job, "root", "depth"))
     raise ValueError("the stage chain has a cycle")
 
 
-def stage_chain(jobs: DataFrame, job_id, job: str = "job_id", parent: str = "init_from") -> DataFrame:
-    """The stages that lead to one job, oldest first (stage 1 = root)."""
-    view = f"jobs_{abs(hash((job_id, job))) % 10**9}"
-    jobs.createOrReplaceTempView(view)
-    return jobs.sparkSession.sql(
-        f"""WITH RECURSIVE chain(id, up, back) AS (
-              SELECT {job}, {parent}, 0 FROM {view} WHERE {job} = :start
-              UNION ALL SELECT j.{job}, j.{parent}, c.back + 1 FROM chain c JOIN {view} j ON j.{job} = c.up)
-            SELECT id AS {job}, max(back) OVER () - back + 1 AS stage FROM chain""",
-        args={"start": job_id},
-    )
+def stage_chain(jobs: DataFrame, job_id, job: str = "job_id", parent: str = "init_from", max_rounds: int = 40) -> DataFrame:
+    """The stages that lead to one job, oldest first (stage 1 = root).
+
+    Round k knows the stages up to 2^k - 1 steps back and a link of 2^k steps for every job, so a
+    chain of any length takes log2 of it in rounds, each a written table. A cycle raises.
+    """
+    known = jobs.select(F.col(job).alias("__known"))
+    links = jobs.select(job, F.col(parent).alias("up")).join(known, F.col("up") == F.col("__known")).select(job, "up")
+    chain = jobs.where(F.col(job) == F.lit(job_id)).select(job, F.lit(0).cast("long").alias("back"))
+    for k in range(max_rounds):
+        links, chain = materialize(links, "stage-links"), materialize(chain, "stage-chain")
+        more = chain.join(links, job).select(F.col("up").alias(job), (F.col("back") + 2**k).alias("back"))
+        if not more.limit(1).count():
+            oldest = chain.agg(F.max("back")).scalar()
+            return chain.select(job, (oldest - F.col("back") + 1).alias("stage"))
+        chain = chain.unionByName(more)
+        further = links.select(F.col(job).alias("up"), F.col("up").alias("up2"))
+        links = links.join(further, "up").select(job, F.col("up2").alias("up"))
+    raise ValueError("the stage chain has a cycle")
 
 
 def stage_results(roots: DataFrame, results: DataFrame, job: str = "job_id") -> DataFrame:

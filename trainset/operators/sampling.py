@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from trainset.functions.text import seeded_hash
 from trainset.operators.ordered import hash_bucket
 
-TOP_K_LIMIT = 100_000  # above this a top-k would funnel too many rows into one task
-EVAL_MIN_RECORDS = 40
+EVAL_MIN_RECORDS = 40  # default: smaller tables are all training data
 
 
 @dataclass(frozen=True)
@@ -24,12 +23,11 @@ class Part:
 
 
 def sample_rows(df: DataFrame, n: int | None, seed: int = 42, key: Sequence[str] = ("seq",)) -> DataFrame:
-    """The ``n`` rows with the smallest seeded hash: a reproducible sample without replacement."""
+    """The ``n`` rows with the smallest seeded hash, in no order: a reproducible sample without replacement."""
     if n is None:
         return df
-    h = seeded_hash(seed, *[F.col(k) for k in key])
-    if n <= TOP_K_LIMIT:
-        return df.withColumn("__h", h).orderBy("__h", *key).limit(n).drop("__h")
+    if n < 1:
+        return df.limit(0)
     return cap_groups(df.withColumn("__all", F.lit("all")), {"all": n}, "__all", seed, key).drop("__all")
 
 
@@ -117,32 +115,36 @@ def split_train_eval(
     seed: int = 42,
     key: Sequence[str] = ("seq",),
     total: DataFrame | None = None,
+    min_records: int = EVAL_MIN_RECORDS,
 ) -> DataFrame:
     """Add ``split``: a seeded hold-out of ``min(eval_max, max(1, int(N·fraction)))`` rows.
 
-    Fewer than 40 rows are all training data. ``key`` must identify a row. The hold-out is a
-    top-k of at most ``eval_max`` keys, so it is small enough to broadcast by construction.
+    Fewer than ``min_records`` rows are all training data. ``key`` must identify a row. The hash of
+    the last row held out is one number, so the rows themselves are only compared with it: a
+    histogram over the leading hash digits finds its bucket, and only that bucket is ranked.
     ``total`` (one row, one number) replaces the row count N, e.g. to count upsampled copies.
     """
     if eval_fraction <= 0 or eval_max <= 0:
         return df.withColumn("split", F.lit("train"))
     n = (total if total is not None else df.agg(F.count(F.lit(1)).alias("n"))).toDF("n")
     size = n.select(
-        F.when(F.col("n") < EVAL_MIN_RECORDS, F.lit(0))
+        F.when(F.col("n") < min_records, F.lit(0))
         .otherwise(
             F.least(F.lit(eval_max), F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(eval_fraction)).cast("int")))
         )
         .alias("size")
     )
     h = seeded_hash(f"split-{seed}", *[F.col(k) for k in key])
-    top = df.select(*key, h.alias("__h")).orderBy("__h", *key).limit(eval_max)
-    ranked = top.withColumn("__rank", F.row_number().over(Window.orderBy("__h", *key)))  # <= eval_max rows
-    held = ranked.where(F.col("__rank") <= size.scalar()).select(*key, F.lit("eval").alias("__split"))
-    return (
-        df.join(F.broadcast(held), list(key), "left")
-        .withColumn("split", F.coalesce("__split", F.lit("train")))
-        .drop("__split")
-    )
+    hashed = df.select(h.alias("__h")).withColumn("__b", hash_bucket(F.col("__h")))
+    counts = hashed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))  # at most 65536 rows
+    upto = counts.withColumn("__upto", F.sum("__n").over(Window.orderBy("__b"))).withColumn("size", size.scalar())
+    edge = upto.where(F.col("__upto") >= F.col("size")).agg(
+        F.min_by(F.struct("__b", (F.col("size") - F.col("__upto") + F.col("__n")).alias("room")), "__b").alias("e")
+    ).select("e.*")  # one row
+    ranked = hashed.join(F.broadcast(edge), "__b").withColumn("__rank", F.row_number().over(Window.partitionBy("__b").orderBy("__h")))
+    last = ranked.where(F.col("__rank") <= F.col("room")).agg(F.coalesce(F.max("__h"), F.lit("")).alias("h"))
+    none = size.scalar() < 1
+    return df.withColumn("split", F.when(~none & (h <= last.scalar()), F.lit("eval")).otherwise(F.lit("train")))
 
 
 def most_common(df: DataFrame, column: str, k: int) -> DataFrame:

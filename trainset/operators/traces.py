@@ -283,9 +283,12 @@ def turn_issues(
     """``(key, level, code, index)``: the coded findings of every conversation of a turn table.
 
     Message errors stop the checks of their conversation, as a broken record cannot be judged
-    further; warnings never block. ``index`` is the 0-based position of the turn.
+    further; warnings never block. ``index`` is the 0-based position of the turn. A tool turn answers
+    the last turn before it that is no tool turn, if that one has ``tool_calls``; a table without that
+    column holds no calls, so each of its tool turns is an orphan.
     """
     text = F.col(content)
+    calls = F.coalesce(F.size("tool_calls"), F.lit(0)) > 0 if "tool_calls" in turns.columns else F.lit(False)
     canonical = turns.withColumn("__raw", F.col("role")).withColumn("role", canonical_role(F.col("role")))
     role, o = F.col("role"), F.col(order)
     broken = role.isNull() | (is_blank(text) & role.isin("user", "system", "assistant"))
@@ -295,7 +298,7 @@ def turn_issues(
         order,
         block_size=BLOCK,
         position="pos",
-        previous={"prev_role": role},
+        previous={"prev_role": role, "called": F.when(role != "tool", calls)},
         totals={
             "broken": ("max", F.col("__broken").cast("int")),
             "last_assistant": ("max", F.when(role == "assistant", o)),
@@ -321,7 +324,7 @@ def turn_issues(
             issue("warning", "system_not_first", ok & (role == "system") & (F.col("pos") > 0)),
             issue("error", "no_messages", ok & ~has_body & (F.col("pos") == 0), F.lit(None)),
             issue("warning", "starts_without_user", ok & (o == F.col("first_body")) & (role != "user")),
-            issue("error", "orphan_tool_result", ok & (role == "tool")),
+            issue("error", "orphan_tool_result", ok & (role == "tool") & ~F.coalesce("called", F.lit(False))),
             issue("warning", "repeated_role", ok & has_body & (role == F.col("prev_role")) & role.isin("user", "assistant")),
             issue("warning", "trailing_messages", ok & has_body & after_last & ~lone_system, F.lit(None)),
             issue("error", "nothing_to_learn", ok & has_body & ~learn & (F.col("pos") == 0), F.lit(None)),

@@ -24,7 +24,7 @@ def import_table(
     mapping: Mapping | None = None,
     *,
     seq: str = "seq",
-    max_rows: int | None = 5000,
+    max_rows: int | None = None,
     min_chars: int = 1,
     max_chars: int | None = None,
     dedupe: bool = True,
@@ -35,12 +35,13 @@ def import_table(
 ) -> DataFrame:
     """One lazy plan from source rows to judged records (``reason`` NULL = kept).
 
-    ``max_rows=None`` imports everything. The fingerprint is the only shuffle.
+    Everything is imported, unless ``max_rows`` asks for a seeded sample. Shuffles: the minimum per
+    fingerprint, and the join of the records with the first copies on ``seq``.
     """
     if mapping is None:
         mapping, why = detect_mapping(df)
         if mapping is None:
-            raise ValueError(f"could not detect the dataset layout ({why}); pass an explicit mapping")
+            raise ValueError(f"no mapping given and none fits the columns: {why}")
     meta = {k: v for k, v in (("source", source), ("license", license)) if v}
     rows = sample_rows(df, max_rows, seed, [seq])
     records = convert_table(rows, mapping, seq, meta)

@@ -11,7 +11,9 @@ from trainset.operators.sampling import upsample
 
 
 def build_text_samples(documents: DataFrame, dialect: Dialect, max_len: int, objective: str = "sft", key: str = "seq", seed: int = 42) -> DataFrame:
-    """Text records with a ``repeat`` column: chunks for sft, packed blocks for cpt."""
+    """Text records with a ``repeat`` column: chunks for sft, packed blocks for cpt; any other objective raises."""
+    if objective not in ("sft", "cpt"):
+        raise ValueError(f"text records make no samples for objective {objective!r}")
     repeated = upsample(documents, F.col("repeat")) if "repeat" in documents.columns else documents.withColumn("copy", F.lit(1))
     rows = repeated.select(F.concat_ws("-", key, "copy").alias("sample"), "text")
     if objective == "cpt":

@@ -50,12 +50,12 @@ def token_ids_query(spark, sf_dir):
 @query(
     "vocabulary",
     f"""SELECT tok AS token, count(*) AS n FROM (SELECT unnest({TOKENS_SQL.format(c='text')}) AS tok FROM documents)
-        GROUP BY 1 ORDER BY n DESC, token LIMIT 200""",
+        GROUP BY 1""",
 )
 def vocabulary(spark, sf_dir):
-    """The most frequent tokens; counts combine on the map side, so hot tokens do not skew."""
+    """All tokens with their counts, which combine on the map side, so hot tokens do not skew."""
     tokens = table(spark, sf_dir, "documents").select(F.explode(token_strings(F.col("text"))).alias("token"))
-    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(200)
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 _SFT = _CUT + f""", n AS (SELECT conv_id, CAST(sum({n_tokens("('<|im_start|>' || role || chr(10))")} + {n_tokens('text')} + 8 +
@@ -99,7 +99,7 @@ def completion_samples(spark, sf_dir):
 )
 def text_chunks(spark, sf_dir):
     coded = table(spark, sf_dir, "documents").select("doc_id", E.marked_ids(F.col("text"), R.CHATML).alias("ids"))
-    return E.chunk_text(coded, "ids", 512, ["doc_id"]).select("doc_id", long(F.col("start")).alias("start"), long(F.size("input_ids")).alias("tokens"))
+    return E.chunk_text(coded, "ids", 512, ["doc_id"], min_chunk=E.MIN_CHUNK).select("doc_id", long(F.col("start")).alias("start"), long(F.size("input_ids")).alias("tokens"))
 
 
 @query("document_markers", f"SELECT doc_id, {n_tokens('text')} + 2 AS tokens, true AS marked FROM documents")
@@ -124,7 +124,7 @@ b AS (SELECT CAST(floor(p / 1024) AS BIGINT) AS block, id, p % 1024 AS i FROM t)
 )
 def packed_blocks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    blocks = E.pack(docs, "doc_id", token_count(F.col("text")) + 1, coded_tokens(F.col("text")), 1024)
+    blocks = E.pack(docs, "doc_id", token_count(F.col("text")) + 1, coded_tokens(F.col("text")), 1024, min_tail=E.MIN_TAIL)
     return blocks.select("block", long(F.size("input_ids")).alias("tokens"), checksum(F.col("input_ids")).alias("checksum"))
 
 

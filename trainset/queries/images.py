@@ -125,9 +125,3 @@ def caption_images(spark, sf_dir):
 def mix_image_sets(spark, sf_dir):
     named = images(spark, sf_dir).withColumn("dataset", F.when(F.col("width") > F.col("height"), F.lit("wide")).otherwise(F.lit("tall")))
     return M.mix_images(named, 2).groupBy("dataset", "image").agg(F.count(F.lit(1)).alias("copies"))
-
-
-@query("sampling_schedule")
-def sampling_schedule(spark, sf_dir):
-    items = _items(spark, sf_dir).withColumn("bucket", M.assign_bucket(F.col("height"), F.col("width"), M.buckets_for(1024)))
-    return M.sampling_schedule(items, steps=items.count() // 4 + 1, batch_size=4)

@@ -30,13 +30,13 @@ def length_judge(prompts):
 
 @query(
     "rewrite_turns",
-    "SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN length(text) END AS answer_chars, role = 'assistant' AS changed FROM conversations WHERE role <> 'assistant' OR text <> upper(text)",
+    "SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN length(text) END AS answer_chars, role = 'assistant' AS changed FROM conversations",
 )
 def rewrite_turns(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     out = I.rewrite_turns(turns.withColumnRenamed("text", "content"), lambda ps: [p.split("\n\n", 1)[-1][::-1] for p in ps], "backwards")
     both = out.join(turns.select("conv_id", "turn", "text"), ["conv_id", "turn"])
-    return both.where((F.col("role") != "assistant") | (F.col("text") != F.upper("text"))).select(
+    return both.select(
         "conv_id", "turn", "role", F.when(F.col("role") == "assistant", long(F.length("content"))).alias("answer_chars"),
         ((F.reverse("content") == F.col("text")) & (F.col("role") == "assistant")).alias("changed"),
     )
@@ -83,7 +83,7 @@ def build_prompts(spark, sf_dir):
 def plan_scenarios(spark, sf_dir):
     """Planning replies repeat scenarios in other spellings."""
     reply = F.concat(F.lit('{"scenarios": ["'), F.col("source"), F.lit(' ", "'), F.upper("source"), F.lit('", " "]}'))
-    plan = I.plan_scenarios(table(spark, sf_dir, "documents").select(reply.alias("reply")), 200)
+    plan = I.plan_scenarios(table(spark, sf_dir, "documents").select(reply.alias("reply")))
     return plan.agg(F.count(F.lit(1)).alias("scenarios"))
 
 
@@ -102,13 +102,13 @@ def writer(prompts):
 def generate_traces(spark, sf_dir):
     prompts = build_prompts(spark, sf_dir)
     replies = I.batch_complete(prompts, "prompt", writer, workers=4)
-    made = I.generated_records(replies, "synthetic:offline", count=1000)
+    made = I.generated_records(replies, "synthetic:offline")
     return made.select("seq", "kind", long(F.size("messages")).alias("messages"), "meta_source", "meta_synthetic")
 
 
 @query(
     "generate_pairs",
-    "SELECT item_id * 1000 AS seq, 1 AS messages, length(text) AS chosen_chars, length(left(text, 20)) AS rejected_chars, 'synthetic:offline' AS meta_source FROM benchmark",
+    "SELECT item_id * 2147483648 AS seq, 1 AS messages, length(text) AS chosen_chars, length(left(text, 20)) AS rejected_chars, 'synthetic:offline' AS meta_source FROM benchmark",
 )
 def generate_pairs(spark, sf_dir):
     def answer(prompts):

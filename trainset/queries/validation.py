@@ -109,9 +109,11 @@ def canonical_roles(spark, sf_dir):
 
 @query(
     "reasoning_split",
-    f"""SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN NULL ELSE length(trim(left(text, 30), {WS})) END AS reasoning_chars,
-        CASE WHEN turn % 3 = 2 THEN length(text) ELSE length(ltrim(text, chr(10))) END AS answer_chars
-        FROM conversations WHERE trim(left(text, 30), {WS}) <> ''""",
+    f"""SELECT conv_id, turn,
+        CASE WHEN turn % 3 = 2 OR (turn % 3 = 1 AND trim(left(text, 30), {WS}) = '') THEN NULL ELSE length(trim(left(text, 30), {WS})) END AS reasoning_chars,
+        CASE WHEN turn % 3 = 2 THEN length(text) WHEN turn % 3 = 1 AND trim(left(text, 30), {WS}) = '' THEN length(left(text, 30)) + 8 + length(text)
+          ELSE length(ltrim(text, chr(10))) END AS answer_chars
+        FROM conversations""",
 )
 def reasoning_split(spark, sf_dir):
     """A leading block, a lone closing tag, or no reasoning at all."""
@@ -121,9 +123,7 @@ def reasoning_split(spark, sf_dir):
         .when(k == 1, F.concat(head, F.lit("</think>"), F.col("text")))
         .otherwise(F.col("text"))
     )
-    from trainset.functions.text import is_blank
-
-    rows = table(spark, sf_dir, "conversations").where(~is_blank(head)).select("conv_id", "turn", split_reasoning(raw).alias("s"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", split_reasoning(raw).alias("s"))
     return rows.select("conv_id", "turn", long(F.length("s.reasoning")).alias("reasoning_chars"), long(F.length("s.answer")).alias("answer_chars"))
 
 

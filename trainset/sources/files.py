@@ -18,7 +18,8 @@ def read_raw_jsonl(spark: SparkSession, path: str, numbered: bool = True) -> Dat
 
     Blank lines are skipped but counted in the line numbers. Lines are numbered per split
     (a split is contiguous in its file and never larger than maxPartitionBytes), and the
-    numbered table is written once, so every later branch sees the same numbers.
+    numbered table is written once, so every later branch sees the same numbers. ``seq`` counts the
+    lines of all files, in the order of their paths.
     ``numbered=False`` leaves out line and seq and streams straight through: no copy, no shuffle.
     """
     if not numbered:
@@ -33,14 +34,17 @@ def read_raw_jsonl(spark: SparkSession, path: str, numbered: bool = True) -> Dat
     stored = materialize(lines, "lines")
     blocks = stored.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = blocks.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    ahead = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one narrow row a split
+    bases = blocks.select(
+        "file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("all")
+    )
     return (
         stored.join(bases, ["file", "block"])
         .where(~is_blank(F.col("value")))
         .select(
             "file",
             (F.col("base") + F.col("at") - F.col("first") + 1).alias("line"),
-            F.col("at").alias("seq"),
+            (F.col("all") + F.col("at") - F.col("first")).alias("seq"),
             parse_json(F.col("value")).alias("raw"),
         )
     )
@@ -67,16 +71,17 @@ def read_json_document(spark: SparkSession, path: str) -> DataFrame:
     JSON lines or Parquet.
     """
     doc = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), parse_json(F.col("value")).alias("v"), "value"
-    )
-    lists = F.filter(
-        F.transform(F.json_object_keys("value"), lambda k: F.try_variant_get(F.col("v"), F.concat(F.lit("$['"), k, F.lit("']")), "variant")),
-        V.is_array,
-    )
-    rows = F.when(V.is_array(F.col("v")), V.items(F.col("v"))).when(
-        V.is_object(F.col("v")), F.coalesce(V.items(F.get(lists, F.lit(0))), F.array("v"))
+        F.col("_metadata.file_path").alias("file"), parse_json(F.col("value")).alias("v"), F.json_object_keys("value").alias("keys")
     )
-    return doc.select("file", F.posexplode(rows).alias("pos", "raw")).where(V.is_object(F.col("raw")))
+    # Keys may hold any character, so they are matched as values and never pasted into a path.
+    listed = doc.where(V.is_object(F.col("v"))).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("at", "key", "member"))
+    first = listed.where(V.is_array(F.col("member"))).groupBy(F.col("file").alias("__file")).agg(
+        F.min(F.array_position("keys", F.col("key"))).alias("place"))
+    members = listed.join(first, (F.col("file") == F.col("__file")) & (F.array_position("keys", F.col("key")) == F.col("place")))
+    lists = members.select("file", F.posexplode(V.items(F.col("member"))).alias("pos", "raw"))
+    whole = doc.join(first, F.col("file") == F.col("__file"), "left_anti")
+    rows = F.when(V.is_array(F.col("v")), V.items(F.col("v"))).when(V.is_object(F.col("v")), F.array("v"))
+    return whole.select("file", F.posexplode(rows).alias("pos", "raw")).unionByName(lists).where(V.is_object(F.col("raw")))
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:

@@ -36,7 +36,8 @@ def latest_status_stream(metrics: DataFrame, job: str = "job_id", time: str = "t
 def ema_stream(metrics: DataFrame, job: str = "job_id") -> DataFrame:
     """Smoothed loss after every micro-batch: (job, step, smoothed). State: one number per job.
 
-    Rows are ordered by step inside a micro-batch; bound its size with maxFilesPerTrigger.
+    Rows are ordered by step inside a micro-batch; bound its size with maxFilesPerTrigger. Rows
+    without a loss are left out; a NaN stays.
     """
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -48,7 +49,7 @@ def ema_stream(metrics: DataFrame, job: str = "job_id") -> DataFrame:
         yield pd.DataFrame({job: [key[0]], "step": [int(rows["step"].iloc[-1])], "smoothed": [value]})
 
     kind = metrics.schema[job].dataType.simpleString()
-    return metrics.select(job, "step", "loss").groupBy(job).applyInPandasWithState(
+    return metrics.where(F.col("loss").isNotNull()).select(job, "step", "loss").groupBy(job).applyInPandasWithState(
         update, f"{job} {kind}, step long, smoothed double", "value double", "update", GroupStateTimeout.NoTimeout
     )
 
