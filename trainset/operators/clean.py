@@ -55,7 +55,7 @@ def check_pattern(pattern: str) -> str:
     try:
         re.compile(pattern)
     except re.error as exc:
-        raise ValueError(f"drop_matching is not a valid regular expression: {exc}") from exc
+        raise ValueError(f"cannot read the pattern {pattern!r}: {exc}") from exc
     return pattern
 
 
@@ -120,5 +120,5 @@ def guard_not_empty(df: DataFrame) -> bool:
     """Refuse to remove everything; False if nothing matched (leave the data as it is)."""
     row = df.agg(F.count_if(F.col("reason").isNull()).alias("kept"), F.count_if(F.col("reason").isNotNull()).alias("removed")).first()
     if row.removed and not row.kept:
-        raise ValueError(f"that would remove all {row.removed} records; nothing was changed")
+        raise ValueError(f"no record would be left of {row.removed}")
     return bool(row.removed)

@@ -75,8 +75,8 @@ def convert_chat(
     """Layouts ``messages``/``sharegpt``: add ``built`` (canonical messages with issues) and ``convert_error``."""
     raw = as_variant(df, messages)
     read = F.transform(V.items(F.col("__raw")), lambda m: read_message(m, (role_key,), (content_key,), role_map))
-    error = F.when(~V.is_array(F.col("__raw")) | F.col("__raw").isNull(), F.lit(f"column '{messages}' is not a list")).when(
-        F.exists(V.items(F.col("__raw")), lambda m: ~V.is_object(m)), F.lit("conversation items must be objects")
+    error = F.when(~V.is_array(F.col("__raw")) | F.col("__raw").isNull(), F.lit(f"no list in column {messages}")).when(
+        F.exists(V.items(F.col("__raw")), lambda m: ~V.is_object(m)), F.lit("an item of the conversation is no object")
     )
     return (
         df.withColumn("__raw", raw)
@@ -223,7 +223,7 @@ def convert_preference(df: DataFrame, mapping: Mapping) -> DataFrame:
             F.when(~empty_side, messages).alias("messages"),
             F.concat(
                 F.flatten(F.transform(b, lambda x: x["issues"])),
-                when_issue(empty_side, "error", f"bad_{label}", f"{label} must be an assistant message, a string or a list of messages"),
+                when_issue(empty_side, "error", f"bad_{label}", f"nothing usable as an answer in {label}"),
             ).alias("issues"),
         )
 

@@ -72,7 +72,7 @@ def set_captions(images: DataFrame, captions: DataFrame, order: str | None = Non
 def caption_images(images: DataFrame, prompt: Column, complete: Complete, overwrite: bool = False, trigger: str | None = None, style: str = "concise, descriptive") -> DataFrame:
     """Caption images that have none (or all): ``prompt`` is what the callable gets per image."""
     todo = images if overwrite else images.where(is_blank(F.col("caption")))
-    ask = F.concat(F.lit(f"Caption style: {style}." + (f" Refer to the main subject as '{trigger}'." if trigger else "") + "\n"), prompt)
+    ask = F.concat(F.lit(f"Describe the image ({style})" + (f"; call its subject {trigger}" if trigger else "") + ":\n"), prompt)
     replies = batch_complete(todo.select("image", ask.alias("__ask")), "__ask", complete, label="captions")
     made = replies.where(~is_blank(F.col("reply"))).select("image", F.btrim(strip(F.col("reply")), F.lit('"')).alias("caption"))
     return set_captions(images, made)

@@ -82,9 +82,9 @@ def check_mixable(df: DataFrame, kind: str = "kind") -> None:
         F.count_if(F.col(kind) == "image").alias("images"), F.count_if(F.col(kind) != "image").alias("texts")
     ).first()
     if row.images and row.texts:
-        raise ValueError("image datasets cannot be mixed with text datasets")
+        raise ValueError("a mix holds images or texts, not both")
     if not row.images and not row.texts:
-        raise ValueError("no records to train on")
+        raise ValueError("the mix is empty")
 
 
 def mix(
@@ -98,7 +98,7 @@ def mix(
     """
     names = [p.name for p in parts]
     if len(set(names)) != len(names):
-        raise ValueError("a dataset may appear only once in a mix")
+        raise ValueError("the same dataset twice in one mix")
     chosen = df.where(F.col(dataset).isin(names))
     capped = cap_groups(chosen, {p.name: p.max_records for p in parts}, dataset, seed, [dataset, *key])
     factor = F.lit(1)

@@ -10,7 +10,7 @@ from trainset.operators.render import Dialect, render_turns
 from trainset.operators.sampling import upsample
 
 
-def build_text_samples(documents: DataFrame, dialect: Dialect, max_len: int, objective: str = "sft", key: str = "seq", seed: int = 42) -> DataFrame:
+def build_text_samples(documents: DataFrame, dialect: Dialect, max_len: int, objective: str = "sft", key: str = "seq", seed: int = 42, min_chunk: int = 0, min_tail: int = 0) -> DataFrame:
     """Text records with a ``repeat`` column: chunks for sft, packed blocks for cpt; any other objective raises."""
     if objective not in ("sft", "cpt"):
         raise ValueError(f"text records make no samples for objective {objective!r}")
@@ -18,9 +18,9 @@ def build_text_samples(documents: DataFrame, dialect: Dialect, max_len: int, obj
     rows = repeated.select(F.concat_ws("-", key, "copy").alias("sample"), "text")
     if objective == "cpt":
         n = token_count(F.col("text")) + E.marker_count(dialect)
-        return E.pack(rows, "sample", n, E.marked_ids(F.col("text"), dialect), max_len, seed)
+        return E.pack(rows, "sample", n, E.marked_ids(F.col("text"), dialect), max_len, seed, min_tail)
     coded = rows.select("sample", E.marked_ids(F.col("text"), dialect).alias("ids"))
-    return E.chunk_text(coded, "ids", max_len, ["sample"])
+    return E.chunk_text(coded, "ids", max_len, ["sample"], min_chunk)
 
 
 def build_turn_samples(turns: DataFrame, dialect: Dialect, max_len: int, overflow: str = "drop", key: str = "conv_id", order: str = "turn", train_on: str = "assistant") -> DataFrame:

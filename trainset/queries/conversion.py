@@ -121,6 +121,25 @@ def convert_chat_roles(spark, sf_dir):
     )
 
 
+@query(
+    "convert_chat_with_tools",
+    """SELECT doc_id AS seq, CASE WHEN doc_id % 3 = 1 THEN 'bad_tools' END AS first_error,
+       CASE WHEN doc_id % 3 = 0 THEN 'find_' || lang END AS tool, CASE WHEN doc_id % 3 = 0 THEN '{"n":' || doc_id || ',"type":"object"}' END AS parameters FROM documents""",
+)
+def convert_chat_with_tools(spark, sf_dir):
+    """A chat with its tool schemas in a column named ``tools``: good, unusable, and none."""
+    turn = lambda who, c: F.struct(F.lit(who).alias("from"), c.alias("value"))
+    kind, n = F.pmod("doc_id", F.lit(3)), F.col("doc_id").cast("string")
+    good = F.concat(F.lit('[{"type":"function","function":{"name":"find_'), F.col("lang"), F.lit('","parameters":{"type":"object","n":'), n, F.lit("}}}]"))
+    df = table(spark, sf_dir, "documents").select(
+        "doc_id", F.array(turn("human", F.col("source")), turn("gpt", F.col("lang"))).alias("conversations"),
+        F.when(kind == 0, good).when(kind == 1, F.lit('[{"name": "x", "parameters": 3}]')).alias("tools"),
+    )
+    out = K.convert_table(df, Mapping(layout="sharegpt", messages="conversations", role_key="from", content_key="value", tools="tools"), "doc_id")
+    first = F.when(F.col("valid"), F.get("tools", F.lit(0)))
+    return out.select("seq", "first_error", first["name"].alias("tool"), first["parameters"].alias("parameters"))
+
+
 @query(
     "function_call_turns",
     """SELECT event_id AS seq, event_type AS tool, CAST(json(props) AS VARCHAR) AS arguments, true AS args_is_object, 'call_1' AS call_id,
@@ -198,9 +217,9 @@ def parse_json_strings(spark, sf_dir):
 
 @query(
     "convert_reject_reasons",
-    f"""SELECT CASE WHEN lang <> 'en' THEN 'convert: column ''dialog'' is not a list' ELSE 'nothing_to_learn' END AS reason, count(*) AS n
+    f"""SELECT CASE WHEN lang <> 'en' THEN 'convert: no list in column dialog' ELSE 'nothing_to_learn' END AS reason, count(*) AS n
         FROM documents WHERE lang <> 'en' OR source < 's' GROUP BY 1
-        UNION ALL SELECT 'convert: conversation items must be objects', count(*) FROM documents WHERE lang = 'en' AND source >= 's' HAVING count(*) > 0""",
+        UNION ALL SELECT 'convert: an item of the conversation is no object', count(*) FROM documents WHERE lang = 'en' AND source >= 's' HAVING count(*) > 0""",
 )
 def convert_reject_reasons(spark, sf_dir):
     item = F.struct(F.lit("user").alias("role"), F.lit("hello").alias("content"))

@@ -171,7 +171,7 @@ def preference_batches(spark, sf_dir):
 )
 def build_sft_samples(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("repeat", F.pmod("doc_id", F.lit(3)) + 1)
-    return sample_report(build_text_samples(docs, R.CHATML, 512, "sft", "doc_id"))
+    return sample_report(build_text_samples(docs, R.CHATML, 512, "sft", "doc_id", min_chunk=E.MIN_CHUNK))
 
 
 @query(
@@ -183,7 +183,7 @@ def build_sft_samples(spark, sf_dir):
 )
 def build_cpt_samples(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("repeat", F.pmod("doc_id", F.lit(3)) + 1)
-    return sample_report(build_text_samples(docs, R.CHATML, 512, "cpt", "doc_id"))
+    return sample_report(build_text_samples(docs, R.CHATML, 512, "cpt", "doc_id", min_tail=E.MIN_TAIL))
 
 
 _BATCH = f"""WITH t AS (SELECT item_id, {n_tokens('text')} AS n FROM benchmark)"""

@@ -22,7 +22,7 @@ def length_judge(prompts):
     """Prefer the longer answer; equal lengths tie; very short ones are both bad."""
     out = []
     for p in prompts:
-        a, b = p.split("\n\nAnswer A:\n", 1)[1].split("\n\nReturn {", 1)[0].split("\n\nAnswer B:\n", 1)
+        a, b = p.split("\n\n[first]\n", 1)[1].split("\n\n[end]\n", 1)[0].split("\n\n[second]\n", 1)
         winner = "both_bad" if max(len(a), len(b)) < 200 else "tie" if len(a) == len(b) else "A" if len(a) > len(b) else "B"
         out.append('Here you go:\n```json\n{"winner": "%s", "reason": "length"}\n```' % winner)
     return out
@@ -66,14 +66,14 @@ def parse_replies(spark, sf_dir):
 @query(
     "build_prompts",
     """WITH p AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS pos FROM benchmark)
-    SELECT CAST(floor(pos / 4) AS BIGINT) AS batch, 'Target behaviour: answer briefly' || chr(10) || 'Turns per conversation: 2 user message(s), each with an answer.' || chr(10) ||
-      'Style: dry' || chr(10) || 'Avoid: jokes' || chr(10) || chr(10) || 'Write one conversation per scenario:' || chr(10) ||
-      string_agg((pos % 4 + 1) || '. ' || text, chr(10) ORDER BY pos) || chr(10) || chr(10) || 'Return {"examples": [{"messages": [...]}, ...]} with one example per scenario.' AS prompt
+    SELECT CAST(floor(pos / 4) AS BIGINT) AS batch, 'Task: answer briefly' || chr(10) || 'Answers in each conversation: 2' || chr(10) ||
+      'Style: dry' || chr(10) || 'Avoid: jokes' || chr(10) || chr(10) || 'Scenarios:' || chr(10) ||
+      string_agg((pos % 4 + 1) || '. ' || text, chr(10) ORDER BY pos) || chr(10) || chr(10) || 'Answer with JSON: {"examples": [{"messages": [...]}]}, an example for each number.' AS prompt
     FROM p GROUP BY 1""",
 )
 def build_prompts(spark, sf_dir):
     scenarios = with_seq_position(table(spark, sf_dir, "benchmark"), "item_id", "pos")
-    return I.build_prompts(scenarios, I.Spec("answer briefly", turns=2, style="dry", avoid="jokes"), text="text")
+    return I.build_prompts(scenarios, I.Brief("answer briefly", answers=2, wishes={"Style": "dry", "Avoid": "jokes"}), text="text")
 
 
 @query(
@@ -91,7 +91,7 @@ def writer(prompts):
     """One short conversation per numbered line of the prompt."""
     out = []
     for p in prompts:
-        lines = p.split("per scenario:\n", 1)[1].split("\n\nReturn", 1)[0].split("\n")
+        lines = p.split("Scenarios:\n", 1)[1].split("\n\nAnswer with", 1)[0].split("\n")
         asked = [x for x in lines if x[:1].isdigit()]
         ex = [{"messages": [{"role": "user", "content": x}, {"role": "assistant", "content": "Answer: " + x[3:40]}]} for x in asked]
         out.append(json.dumps({"examples": ex}))

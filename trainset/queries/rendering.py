@@ -3,6 +3,7 @@
 from trainset.operators import render as R
 from trainset.operators.traces import turns_without_trailing
 from trainset.queries.common import WS, F, long, query, table
+from trainset.schema import TOOL
 
 
 def turns(spark, sf_dir):
@@ -30,6 +31,9 @@ def flat(rendered):
     )
 
 
+TOOLS_HEAD_SQL = " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for line in R.TOOLS_PREAMBLE.split("\n"))
+
+
 @query("render_chatml", _rendered_sql("('<|im_start|>' || role || chr(10))", "<|im_end|>", "chr(10)", _THINK))
 def render_chatml(spark, sf_dir):
     return flat(R.render_turns(turns(spark, sf_dir), R.CHATML))
@@ -168,11 +172,31 @@ def tool_call_text(spark, sf_dir):
 def documents_preamble(spark, sf_dir):
     doc = lambda text, title: F.struct(text.alias("text"), title.alias("title"))
     docs = F.array(doc(F.col("text"), F.col("source")), doc(F.col("lang"), F.lit("")))
-    none = F.lit(None).cast("array<struct<name:string>>")
+    none = F.lit(None).cast(f"array<{TOOL.simpleString()}>")
     system = R.with_preamble(F.lit("system"), F.lit("You help.\n"), R.preamble(docs, none))
     return table(spark, sf_dir, "documents").select("doc_id", system.alias("system_text"))
 
 
+@query(
+    "tools_preamble",
+    f"""SELECT p_partkey, {TOOLS_HEAD_SQL} || '{{"name":"' || p_name || '","description":"' || p_type || '","parameters":{{"type":"object","size":' || CAST(p_size AS BIGINT) || '}}}}' || chr(10)
+       || '{{"name":"other","parameters":{{}},"strict":true}}' AS system_text FROM part""",
+)
+def tools_preamble(spark, sf_dir):
+    """Two tools for each part; what is JSON in a tool stays JSON in the text."""
+    def tool(**given):
+        values = {f.name: F.lit(None).cast(f.dataType) for f in TOOL.fields} | given
+        return F.struct(*[values[f.name].alias(f.name) for f in TOOL.fields])
+
+    schema = F.concat(F.lit('{"type":"object","size":'), F.col("p_size").cast("long").cast("string"), F.lit("}"))
+    tools = F.array(
+        tool(name=F.col("p_name"), description=F.col("p_type"), parameters=schema),
+        tool(name=F.lit("other"), parameters=F.lit("{}"), strict=F.lit(True)),
+    )
+    text = R.with_preamble(F.lit("user"), F.lit("hi"), R.preamble(F.lit(None).cast("array<struct<text:string,title:string>>"), tools))
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("system_text"))
+
+
 @query(
     "excluded_regions",
     """SELECT event_id, 3 AS pieces, length(event_type) + 17 + 4 AS trainable_chars, length(props) + 16 AS masked_chars FROM events""",

@@ -60,7 +60,7 @@ def validation_report_flat(spark, sf_dir):
 
 @query(
     "error_examples",
-    f"""SELECT item_id AS seq, 'empty_completion: completion is empty' AS example FROM benchmark
+    f"""SELECT item_id AS seq, 'empty_completion: there is no completion' AS example FROM benchmark
         WHERE trim(substr(text, 201), {WS}) = '' ORDER BY 1 LIMIT 8""",
 )
 def error_examples(spark, sf_dir):
