@@ -1,7 +1,7 @@
 """Sums of vectors and matrices over partitions.
 
-Each partition adds up its own rows and returns one matrix; the matrices of all partitions meet row by
-row, so a task sums one row of each. What reaches the driver is one matrix, whatever the input.
+Each partition adds up its own rows and returns one matrix; ``TASKS`` tasks add up these, one matrix
+in memory each, and the driver adds up what they return: so many matrices, whatever the input.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+TASKS = 4
+
 
 def partition_sums(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
     """The sum of ``part(batch)``, a matrix of ``shape``, over all batches of ``df``."""
@@ -23,16 +25,25 @@ def partition_sums(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray],
                 value = part(batch)
                 total = value if total is None else total + value
         if total is not None:
-            yield pa.RecordBatch.from_pydict({"i": pa.array(range(shape[0]), pa.int32()), "v": pa.array(list(total), pa.list_(pa.float64()))})
+            yield as_rows(total)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(shape), False
+        for batch in batches:
+            if batch.num_rows:
+                np.add.at(total, batch.column(0).to_numpy(), matrix(batch.column(1), shape[1]))
+                seen = True
+        if seen:
+            yield as_rows(total)
 
-    def meet(group: pa.Table) -> pa.Table:
-        rows = np.array(group.column("v").to_pylist(), float).sum(axis=0)
-        return pa.table({"i": group.column("i").slice(0, 1), "v": pa.array([rows], pa.list_(pa.float64()))})
+    def as_rows(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"i": pa.array(range(shape[0]), pa.int32()), "v": pa.array(list(total), pa.list_(pa.float64()))})
 
-    summed = df.mapInArrow(add, "i int, v array<double>").groupBy("i").applyInArrow(meet, "i int, v array<double>")
+    schema = "i int, v array<double>"
+    summed = df.mapInArrow(add, schema).repartition(TASKS).mapInArrow(gather, schema)
     out = np.zeros(shape)
-    for row in summed.toLocalIterator():
-        out[row["i"]] = row["v"]
+    for row in summed.collect():  # at most TASKS matrices
+        out[row["i"]] += row["v"]
     return out
 
 

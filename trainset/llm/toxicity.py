@@ -42,6 +42,7 @@ BEGINNINGS = (4, 5, 6)  # bytes
 AGREES = 0.25  # residual correlation from which two voters count as correlated
 NEWTON_STEPS = 8
 RIDGE = 1.0
+ROWS_A_TASK = 20_000
 
 #: Plain English insults, as a lexicon that needs no labels.
 INSULTS = (b"idiot", b"moron", b"stupid", b"loser", b"scum", b"trash", b"pathetic", b"worthless", b"disgusting", b"clown", b"dumb", b"imbecile")
@@ -217,6 +218,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _few_files(rows: DataFrame) -> DataFrame:
+    """A written table in tasks of some ``ROWS_A_TASK`` rows, as it is read many times."""
+    return rows.coalesce(rows.count() // ROWS_A_TASK + 1)
+
+
 def train(rows: DataFrame, model: LabelModel, width: int) -> np.ndarray:
     """Weights of the entries and a constant, from (hits, votes, n) rows."""
     weights = np.zeros(width + 1)
@@ -288,7 +294,7 @@ def score_toxicity(
 
     voted = materialize(texts.mapInArrow(vote, f"doc_id {kind}, hits array<int>, votes long"), "toxicity-votes")
     training = voted.where(crc_bucket("doc_id", FOLDS) != HELD_OUT)
-    rows = materialize(training.groupBy("hits", "votes").agg(F.count("*").alias("n")), "toxicity-rows")
+    rows = _few_files(materialize(training.groupBy("hits", "votes").agg(F.count("*").alias("n")), "toxicity-rows"))
 
     def together(batch: pa.RecordBatch) -> np.ndarray:
         bits = _bits(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
@@ -297,7 +303,7 @@ def score_toxicity(
 
     pairs = partition_sums(rows, together, (VOTERS + 1, VOTERS))
     taught = training.join(known.withColumn("label", F.when(F.col("label") > 0.5, 1.0).otherwise(0.0)), "doc_id")
-    taught = materialize(taught.groupBy("hits", "label").agg(F.count("*").alias("n")), "toxicity-taught")
+    taught = _few_files(materialize(taught.groupBy("hits", "label").agg(F.count("*").alias("n")), "toxicity-taught"))
     share = taught.agg(F.sum(F.col("label") * F.col("n")) / F.sum("n")).first()[0]
     prior = min(max(share if share is not None else 0.05, 0.005), 0.5)
     model = fit_label_model(pairs[:-1], pairs[-1, 0], prior)
