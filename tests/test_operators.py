@@ -118,7 +118,7 @@ def test_clean_reports_and_guards(spark):
     assert clean.guard_not_empty(again) is False
     with pytest.raises(ValueError, match="no record would be left"):
         clean.guard_not_empty(clean.clean(df, min_answer_chars=1000))
-    with pytest.raises(ValueError, match="regular expression"):
+    with pytest.raises(ValueError, match="cannot read the pattern"):
         clean.clean(df, drop_matching="(")
 
 
