@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, functions as F
+
+from trainset.functions.text import rstrip
 from trainset.functions.tokens import token_count
 from trainset.operators import encode as E
-from trainset.operators.render import Dialect, render_turns
+from trainset.operators.render import Dialect, piece_rows, preamble, render_error, render_turns
 from trainset.operators.sampling import upsample
+from trainset.operators.traces import content_text, conversation
+from trainset.schema import MESSAGE
+
+TRAIN_ON = ("assistant", "last", "all")
 
 
 def build_text_samples(documents: DataFrame, dialect: Dialect, max_len: int, objective: str = "sft", key: str = "seq", seed: int = 42, min_chunk: int = 0, min_tail: int = 0) -> DataFrame:
@@ -28,6 +35,96 @@ def build_turn_samples(turns: DataFrame, dialect: Dialect, max_len: int, overflo
     return E.encode_sft(render_turns(turns, dialect, key, order, train_on=train_on), max_len, overflow, key, order)
 
 
+def _led(messages: Column, extra: Column) -> Column:
+    """The messages with documents and tool schemas in their leading system turn."""
+    first = F.get(messages, F.lit(0))
+    own = F.when(first["role"] == "system", F.concat(rstrip(content_text(first)), F.lit("\n\n"), extra)).otherwise(extra)
+    fields = [F.lit("system").alias("role"), own.alias("content")]
+    fields += [F.lit(None).cast(f.dataType).alias(f.name) for f in MESSAGE.fields[2:]]
+    rest = F.when(first["role"] == "system", F.slice(messages, F.lit(2), F.size(messages))).otherwise(messages)
+    lead = F.array(F.struct(*fields)).cast(f"array<{MESSAGE.simpleString()}>")
+    return F.when(extra.isNull(), messages).otherwise(F.concat(lead, rest))
+
+
+def turns_of_records(records: DataFrame, key: str = "seq", alternative: str | None = None) -> DataFrame:
+    """Turns of canonical conversation records: key, turn, role, content, reasoning, tool_calls, train, train_on.
+
+    Tools and documents become text of the leading system turn. With ``alternative`` (``chosen`` or
+    ``rejected``) the turns of that answer follow the messages and nothing else is learned; else a
+    preferred answer simply continues its record.
+    """
+    plain = f"array<{MESSAGE.simpleString()}>"
+    messages = F.col("messages").cast(plain)
+    if alternative:
+        shown = F.concat(F.transform(messages, lambda m: m.withField("train", F.lit(False))), F.col(alternative).cast(plain))
+    else:
+        shown = conversation(messages, F.col("chosen").cast(plain)) if "chosen" in records.columns else messages
+    extra = preamble(*(F.col(c) if c in records.columns else F.lit(None).cast(f"array<{t}>") for c, t in _LEAD_TYPES.items()))
+    rule = F.coalesce("train_on", F.lit("assistant")) if "train_on" in records.columns and not alternative else F.lit("assistant")
+    rows = records.where("kind = 'trace'").select(key, rule.alias("train_on"), F.posexplode(_led(shown, extra)).alias("turn", "m"))
+    learned = F.coalesce("m.train", F.lit(True)) & (F.coalesce("m.weight", F.lit(1.0)) > 0)
+    return rows.select(
+        key, "turn", "train_on", "m.role", content_text(F.col("m")).alias("content"), "m.reasoning", "m.tool_calls", learned.alias("train")
+    )
+
+
+_LEAD_TYPES = {"documents": "struct<text:string,title:string>", "tools": "struct<name:string>"}
+
+
+def unrenderable(turns: DataFrame, dialect: Dialect, key: str = "seq") -> DataFrame:
+    """(key, reason) of the conversations that a dialect cannot show: the reason of their first such turn."""
+    silent = F.when((F.col("role") == "user") & (F.trim("content") == ""), F.lit("user turn without text"))
+    reason = F.coalesce(F.when(F.col("role") == "assistant", render_error(dialect, F.col("tool_calls"))), silent)
+    return turns.withColumn("reason", reason).where("reason IS NOT NULL").groupBy(key).agg(F.min_by("reason", "turn").alias("reason"))
+
+
+def render_records(turns: DataFrame, dialect: Dialect, key: str = "seq") -> DataFrame:
+    """Rendered turns of all conversations that can be shown, each under its own ``train_on``."""
+    good = turns.join(unrenderable(turns, dialect, key).select(key), key, "left_anti")
+    made = [render_turns(good.where(F.col("train_on") == v).drop("train_on"), dialect, key, "turn", train_on=v) for v in TRAIN_ON]
+    return reduce(DataFrame.unionByName, made)
+
+
+def build_samples(records: DataFrame, dialect: Dialect, objective: str, max_len: int, overflow: str = "drop", key: str = "seq", seed: int = 42) -> DataFrame:
+    """Training samples of canonical records; what is left out is counted by ``build_report``.
+
+    - ``sft``: conversations, (key, input_ids, labels)
+    - ``cpt``: text records, packed blocks (block, input_ids)
+    - ``dpo``: preference records, (key, chosen_ids, chosen_labels, rejected_ids, rejected_labels)
+    """
+    if objective == "sft":
+        return E.encode_sft(render_records(turns_of_records(records, key), dialect, key), max_len, overflow, key, "turn")
+    if objective == "cpt":
+        return build_text_samples(records.where("kind = 'text'"), dialect, max_len, "cpt", key, seed)
+    if objective == "dpo":
+        pairs = records.where(F.col("chosen").isNotNull() & F.col("rejected").isNotNull())
+        sides = [
+            E.encode_sft(render_records(turns_of_records(pairs, key, side), dialect, key), max_len, "drop", key, "turn").select(
+                key, F.col("input_ids").alias(f"{side}_ids"), F.col("labels").alias(f"{side}_labels")
+            )
+            for side in ("chosen", "rejected")
+        ]
+        return sides[0].join(sides[1], key)  # a pair needs both
+    raise ValueError(f"no samples are known for objective {objective!r}")
+
+
+def build_report(records: DataFrame, dialect: Dialect, max_len: int, overflow: str = "drop", key: str = "seq") -> DataFrame:
+    """(outcome, reason, n): what becomes of the conversations of a record table under ``sft``."""
+    turns = turns_of_records(records, key)
+    failed = unrenderable(turns, dialect, key).select(F.lit("unrenderable").alias("outcome"), "reason")
+    counts = E.turn_token_counts(render_records(turns, dialect, key), key)
+    judged = E.sample_outcomes(counts, max_len, overflow, key).select("outcome", F.lit(None).cast("string").alias("reason"))
+    return judged.unionByName(failed).groupBy("outcome", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sample_texts(rendered: DataFrame, key: str = "seq", order: str = "turn") -> DataFrame:
+    """(key, text, learned): a rendered conversation, and what of it is learned; for conversations of bounded size."""
+    parts = F.array_sort(F.collect_list(F.struct("at", "sub", "from_turn", "piece", "trainable")))
+    text = lambda xs: F.array_join(F.transform(xs, lambda x: x["piece"]), "")
+    whole = piece_rows(rendered, key, order).groupBy(key).agg(parts.alias("p"))
+    return whole.select(key, text(F.col("p")).alias("text"), text(F.filter("p", lambda x: x["trainable"])).alias("learned"))
+
+
 def sample_report(samples: DataFrame) -> DataFrame:
     return samples.agg(
         F.count(F.lit(1)).alias("samples"),

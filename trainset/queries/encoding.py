@@ -8,6 +8,7 @@ from trainset.queries.common import SEED_SQL, WS, F, long, query, table
 from trainset.queries.profiling import TOKENS_SQL
 from trainset.session import materialize
 from trainset.queries.rendering import _CUT, _THINK, turns
+from trainset.plans import samples as PS
 
 # Packing works on any ids. For the SQL twin a token is coded by its first character and length.
 ID_SQL = "CAST(unicode({t}) * 1000 + length({t}) AS BIGINT)"
@@ -212,3 +213,74 @@ def length_batches(spark, sf_dir):
     # The lengths are needed in three passes: measure once, go on with the narrow table.
     docs = materialize(table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("n")), "lengths")
     return E.length_batches(docs, "n", "doc_id", 16).select("doc_id", "batch")
+
+
+def _records(spark, sf_dir):
+    """A question and an answer for each document; some with a tool, with a source text, or learned whole."""
+    from trainset.schema import DOC, MESSAGE, TOOL
+
+    def struct(kind, **given):
+        values = {f.name: F.lit(None).cast(f.dataType) for f in kind.fields} | given
+        return F.struct(*[values[f.name].alias(f.name) for f in kind.fields])
+
+    k = F.col("doc_id")
+    said = lambda role, c, calls=None: struct(MESSAGE, role=F.lit(role), content=c, **({"tool_calls": calls} if calls is not None else {}))
+    call = F.struct(F.lit(None).cast("string").alias("id"), F.lit("f").alias("name"), F.lit("x").alias("arguments"), F.lit(False).alias("args_is_object"), F.lit(None).cast("string").alias("type"))
+    broken = F.when(F.pmod(k, F.lit(7)) == 0, F.array(call))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        k.alias("seq"), F.lit("trace").alias("kind"),
+        F.array(said("user", F.concat(F.lit("Which source? "), F.col("lang"))), said("assistant", F.col("source"), broken)).alias("messages"),
+        F.when(F.pmod(k, F.lit(3)) == 0, F.array(struct(TOOL, name=F.col("lang"), parameters=F.lit("{}")))).alias("tools"),
+        F.when(F.pmod(k, F.lit(3)) == 1, F.array(struct(DOC, text=F.col("n_chars").cast("string")))).alias("documents"),
+        F.when(F.pmod(k, F.lit(5)) == 0, F.lit("all")).when(F.pmod(k, F.lit(5)) == 1, F.lit("last")).alias("train_on"),
+        F.array(said("assistant", F.col("source"))).alias("chosen"), F.array(said("assistant", F.lit("none"))).alias("rejected"),
+    )
+
+
+_TOOL_HEAD = " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for line in R.TOOLS_PREAMBLE.split("\n"))
+_RECORD_TEXT = f"""WITH d AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '<|im_start|>system' || chr(10) || {_TOOL_HEAD} || '{{"name":"' || lang || '","parameters":{{}}}}' || '<|im_end|>' || chr(10)
+    WHEN doc_id % 3 = 1 THEN '<|im_start|>system' || chr(10) || 'Use the following documents to answer:' || chr(10) || chr(10) || '[1]' || chr(10) || n_chars || '<|im_end|>' || chr(10) ELSE '' END
+    || '<|im_start|>user' || chr(10) || 'Which source? ' || lang || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) AS head FROM documents) """
+
+
+@query(
+    "record_sample_texts",
+    _RECORD_TEXT + """SELECT doc_id AS seq, md5(head || source || '<|im_end|>' || chr(10)) AS text,
+    md5(CASE WHEN doc_id % 5 = 0 THEN head || source || '<|im_end|>' || chr(10) ELSE source || '<|im_end|>' END) AS learned FROM d WHERE doc_id % 7 <> 0""",
+)
+def record_sample_texts(spark, sf_dir):
+    """Text and learned text of canonical records with tools, documents and their own train_on; broken calls are left out."""
+    rendered = PS.render_records(PS.turns_of_records(_records(spark, sf_dir).drop("chosen", "rejected")), R.CHATML)
+    return PS.sample_texts(rendered).select("seq", F.md5("text").alias("text"), F.md5("learned").alias("learned"))
+
+
+@query(
+    "record_samples",
+    _RECORD_TEXT + f"""SELECT doc_id AS seq, {n_tokens("(head || source || '<|im_end|>' || chr(10))")} AS tokens FROM d WHERE doc_id % 7 <> 0""",
+)
+def record_samples(spark, sf_dir):
+    made = PS.build_samples(_records(spark, sf_dir).drop("chosen", "rejected"), R.CHATML, "sft", 4096)
+    return made.select("seq", long(F.size("input_ids")).alias("tokens"))
+
+
+@query(
+    "record_outcomes",
+    "SELECT CASE WHEN doc_id % 7 = 0 THEN 'unrenderable' ELSE 'sample' END AS outcome, CASE WHEN doc_id % 7 = 0 THEN 'tool call has non-object arguments' END AS reason, count(*) AS n FROM documents GROUP BY ALL",
+)
+def record_outcomes(spark, sf_dir):
+    return PS.build_report(_records(spark, sf_dir).drop("chosen", "rejected"), R.CHATML, 4096)
+
+
+@query(
+    "record_preferences",
+    f"""WITH d AS (SELECT doc_id, {n_tokens("(source || '<|im_end|>')")} AS c, {n_tokens("'none<|im_end|>'")} AS r FROM documents)
+    SELECT doc_id AS seq, c AS chosen_learned, r AS rejected_learned, c - r AS longer FROM d""",
+)
+def record_preferences(spark, sf_dir):
+    """Pairs of canonical preference records: only the answers carry labels."""
+    pairs = PS.build_samples(_records(spark, sf_dir).withColumn("messages", F.slice("messages", 1, 1)), R.CHATML, "dpo", 4096)
+    return pairs.select(
+        "seq", E.trainable_tokens(F.col("chosen_labels")).alias("chosen_learned"), E.trainable_tokens(F.col("rejected_labels")).alias("rejected_learned"),
+        long(F.size("chosen_ids") - F.size("rejected_ids")).alias("longer"),
+    )
