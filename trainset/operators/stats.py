@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trainset.functions.tokens import estimate_tokens
+from trainset.session import materialize
 
 # ---- fixed values ----
 RANKS = {"min": 0.0, "p50": 0.5, "p90": 0.9, "p99": 0.99, "max": 1.0}
@@ -16,12 +17,12 @@ SHORTEST_LENGTH, LONGEST_LENGTH = 512, 32768
 _RADIX = 65536
 
 
-def rank_percentiles(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def rank_percentiles(df: DataFrame, value: str, by: Sequence[str] = (), above: int | None = None) -> DataFrame:
     """Per group: n, total and the values at index ``round_half_even(p·(n-1))`` of the sorted values.
 
     Exact without sorting rows: counts per distinct value, split by their upper and lower
     16 bits, so that no window sees more than 65536 rows of a group.
-    Values must be non-negative integers below 2^31.
+    Values must be non-negative integers below 2^31. ``above`` also counts the rows over that value.
     """
     by = list(by)
     counts = (
@@ -51,19 +52,19 @@ def rank_percentiles(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataF
         F.min(F.when(F.col("__upto") > F.bround(F.lit(p) * (F.col("__n") - 1)), F.col("__v"))).cast("long").alias(name)
         for name, p in RANKS.items()
     ]
+    over = [] if above is None else [F.sum(F.when(F.col("__v") > above, F.col("__c")).otherwise(F.lit(0))).alias("over")]
     return ranked.groupBy(*by).agg(
-        F.sum("__c").alias("n"), F.sum(F.col("__v").cast("long") * F.col("__c")).alias("total"), *picks
+        F.sum("__c").alias("n"), F.sum(F.col("__v").cast("long") * F.col("__c")).alias("total"), *picks, *over
     )
 
 
 def token_stats(df: DataFrame, length: str = "tokens", max_len: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Rank percentiles, rounded mean and total of token counts, plus the share over ``max_len``."""
-    out = rank_percentiles(df, length, by).withColumn("mean", F.bround(F.col("total") / F.col("n")).cast("long"))
+    out = rank_percentiles(df, length, by, above=max_len).withColumn("mean", F.bround(F.col("total") / F.col("n")).cast("long"))
     if max_len is None:
         return out
-    over = df.where(F.col(length).isNotNull()).groupBy(*by).agg(F.count_if(F.col(length) > max_len).alias("over_max_len"))
-    joined = out.join(over, list(by)) if by else out.withColumn("over_max_len", over.scalar())
-    return joined.withColumn("share_over_max_len", F.round(F.col("over_max_len") / F.col("n"), 4))
+    counted = out.withColumn("over_max_len", F.coalesce("over", F.lit(0))).drop("over")
+    return counted.withColumn("share_over_max_len", F.round(F.col("over_max_len") / F.col("n"), 4))
 
 
 def coverage(
@@ -117,6 +118,8 @@ def dataset_stats(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     :func:`trainset.operators.traces.record_summary`.
     """
     by = list(by)
+    needed = ("kind", "fp", "chars", "assistant_turns", "answer_chars", "has_reasoning", "has_tool_calls", "has_system", "meta_synthetic")
+    records = materialize(records.select(*dict.fromkeys([*by, *needed])), "record-summary")  # narrow: texts are read once
     trace = F.col("kind") == "trace"
     share = lambda flag: F.when(
         F.count_if(trace) > 0, F.round(F.count_if(trace & F.col(flag)) / F.count_if(trace), 3)
