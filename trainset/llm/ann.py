@@ -31,7 +31,8 @@ from trainset.llm.common import materialize
 
 NEIGHBOURS = 5
 EVERY = 50  # ids divisible by it are queries
-SAMPLE = 20_000  # vectors the tree is fitted on
+SAMPLE = 20_000  # vectors the tree is fitted on,
+SAMPLE_VALUES = 4_000_000  # and numbers in them: fewer vectors, if they are long
 BRANCHES = 16  # of a node, and no more than it takes to reach the size of a leaf
 LEAF_ROWS = 250  # vectors in a leaf, about; fewer in small tables, for FEW_LEAVES leaves; no fewer than LEAF_SAMPLE of the sample
 FEW_LEAVES = 64
@@ -223,7 +224,7 @@ def nearest(
     vectors = materialize(distinct_vectors(rows, k + 1), "ann-vectors")
     total = vectors.count()
     order = F.xxhash64("h", F.lit(SEED))
-    sampled = vectors.select("v").orderBy(order, "v").limit(sample).collect()  # at most ``sample`` vectors
+    sampled = vectors.select("v").orderBy(order, "v").limit(max(1, min(sample, SAMPLE_VALUES // length["n"]))).collect()  # at most SAMPLE_VALUES numbers
     tree = grow(np.array([r["v"] for r in sampled], float), max(LEAF_SAMPLE, round(len(sampled) * min(leaf_rows / total, 1 / FEW_LEAVES))))
     shared = spark.sparkContext.broadcast(tree)
 

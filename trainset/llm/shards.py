@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _DIGITS = 13  # hexadecimal digits of a draw: 52 bits are exact in a double
-SLOT_DIGITS = 3  # slots are counted in 16 ** 3 parts of each shard
+SLOT_PARTS = 1 << 18  # parts of shards in which slots are counted: 16, 256 or 4096 of each shard
 
 
 @dataclass(frozen=True)
@@ -88,11 +88,11 @@ def shard_slots(
 ) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and the shard after one more is added.
 
-    Slots count from 0 in each shard, in order of a hash of the key. Sixteen-to-the-third parts of a
-    shard are counted first, so no window holds more than that part of it; repeated rows meet as one
-    row with a count.
+    Slots count from 0 in each shard, in order of a hash of the key. Up to 4096 parts of a shard are
+    counted first, so no window holds more than such a part; repeated rows meet as one row with a count.
     """
     tree = tree or default_tree(shards)
+    digits = next((d for d in (3, 2) if len(tree) * 16**d <= SLOT_PARTS), 1)
     grown = (*tree, Leaf(f"new{shards}", "k0", shards)) if tree != default_tree(shards) else default_tree(shards + 1)
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     order = F.md5(F.concat(F.lit("slot:"), name))
@@ -103,11 +103,11 @@ def shard_slots(
         F.crc32(utf8).cast("long").alias("text_crc32"),
         order.alias("ord"),
     )
-    part = F.substring("ord", 1, SLOT_DIGITS).alias("part")
+    part = F.substring("ord", 1, digits).alias("part")
     places = (shard_of(F.col("doc_id"), tree).alias("shard"), part)
     counted = docs.select(F.col(key).alias("doc_id"), order.alias("ord")).select(*places).groupBy("shard", "part").count()
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")
-    starts = counted.select("shard", "part", before.alias("start"))  # at most shards * 4096 rows
+    starts = counted.select("shard", "part", before.alias("start"))  # at most SLOT_PARTS rows, or 16 a shard
     same = rows.groupBy("doc_id", "size", "text_crc32", "ord").agg(F.count("*").alias("copies"))
     placed = same.select("*", *places)
     window = Window.partitionBy("shard", "part").orderBy("ord", "doc_id", "size", "text_crc32")

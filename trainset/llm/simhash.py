@@ -73,16 +73,17 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str, name: str, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with the fingerprint of ``text`` as a signed 64-bit column; other columns as they are."""
+def fingerprints(docs: DataFrame, text: str, name: str, shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """``docs`` with the fingerprint of ``text``, a column or a field of struct ``row``, as a signed 64-bit column."""
     from pyspark.sql.types import StructType
 
     columns = docs.columns
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = columns.index(text)
+        at = columns.index(row or text)
         for batch in batches:
-            values = np.array([fingerprint(v, shingle) for v in utf8(batch.column(at))], np.uint64).view(np.int64)
+            texts = batch.column(at).field(text) if row else batch.column(at)
+            values = np.array([fingerprint(v, shingle) for v in utf8(texts)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.int64())], names=[*columns, name])
 
     return docs.mapInArrow(add, StructType([*docs.schema.fields]).add(name, "long"))
@@ -255,9 +256,8 @@ def keep_one_per_group(
     The rows are written once with a number each, so that the choice means the same rows in each pass.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    numbered = docs.select(row, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("uid"))
-    prints = fingerprints(numbered.select("row", "doc_id", "uid", "text"), "text", "fp", shingle).drop("text")
-    written = materialize(prints, "simhash-rows")
+    numbered = docs.select(row, F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("uid"))
+    written = materialize(fingerprints(numbered, text, "fp", shingle, row="row"), "simhash-rows")
     narrow = written.select("doc_id", "uid", "fp")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best")
     firsts = narrow.groupBy("fp").agg(best)
