@@ -155,3 +155,24 @@ def test_a_cluster_needs_a_shared_folder():
     context = SimpleNamespace(master="yarn", getConf=lambda: conf)
     with pytest.raises(ValueError):
         shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    from trainset.streaming import ingest
+
+    source, target, checkpoint = (f"file://{tmp_path}/{n}" for n in ("in", "out", "state"))
+
+    def add(texts):
+        spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        rows = spark.readStream.schema("text string").parquet(source).withColumn("ingested", F.current_timestamp())
+        done = ingest.run_to_files(ingest.import_stream(rows, "ingested"), spark, "t", target=target, checkpoint=checkpoint)
+        return sorted(r["text"] for r in done.select("text").collect())
+
+    add(["one", "two"])
+    assert run() == ["one", "two"]
+    add(["two", "three"])
+    assert run() == ["one", "three", "two"] and run() == ["one", "three", "two"]
+    with pytest.raises(ValueError):
+        ingest.run_to_files(spark.readStream.schema("text string").parquet(source), spark, "t", target=target)

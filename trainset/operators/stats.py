@@ -110,6 +110,17 @@ def unpivot_metrics(row: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def top_values(records: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
+    """(field, value, n): the ``k`` most frequent values of each column, such as source, licence and language.
+
+    All columns are counted in one pass; ties go to the lesser value, and empty values do not count.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])
+    counts = records.select(F.inline(pairs)).where(F.coalesce("value", F.lit("")) != "").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
 def dataset_stats(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Record-level statistics as ``(metric, value)`` rows.
 

@@ -162,3 +162,13 @@ def preference_metrics(spark, sf_dir):
         (-F.col("l_quantity") * 1.1).alias("ref_chosen"), (-F.col("l_discount") * 400).alias("ref_rejected"),
     )
     return G.preference_metrics(logps, beta=0.1, by=["run"])
+
+
+@query(
+    "top_values",
+    """WITH v AS (SELECT 'source' AS field, source AS value FROM documents UNION ALL SELECT 'lang', lang FROM documents),
+    c AS (SELECT field, value, count(*) AS n FROM v WHERE value <> '' GROUP BY ALL)
+    SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY field ORDER BY n DESC, value) <= 3""",
+)
+def top_values(spark, sf_dir):
+    return S.top_values(table(spark, sf_dir, "documents"), ["source", "lang"], 3)

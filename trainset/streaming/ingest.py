@@ -26,9 +26,17 @@ def import_stream(rows: DataFrame, time: str, horizon: str = "7 days", min_chars
     )
 
 
-def run_to_files(stream: DataFrame, spark: SparkSession, label: str, mode: str = "append", query_options: dict | None = None) -> DataFrame:
-    """Process what is there, append it as Parquet with a checkpoint, and read the result."""
-    out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
+def run_to_files(
+    stream: DataFrame, spark: SparkSession, label: str, mode: str = "append", target: str | None = None, checkpoint: str | None = None
+) -> DataFrame:
+    """Process what is there, append it as Parquet with a checkpoint, and read the result.
+
+    With the same ``target`` and ``checkpoint`` a later run takes only what is new and adds to the
+    earlier result; without them the run stands alone in a folder of its own.
+    """
+    if (target is None) != (checkpoint is None):
+        raise ValueError("target and checkpoint belong together")
+    out, state = target or scratch_path(spark, label), checkpoint or scratch_path(spark, f"{label}-checkpoint")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
