@@ -176,3 +176,30 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert run() == ["one", "three", "two"] and run() == ["one", "three", "two"]
     with pytest.raises(ValueError):
         ingest.run_to_files(spark.readStream.schema("text string").parquet(source), spark, "t", target=target)
+
+
+def test_any_tokenizer_labels_what_is_trained(spark):
+    import re
+
+    from trainset.plans.samples import build_samples
+    from trainset.schema import MESSAGE
+
+    def load():
+        def encode(texts):
+            found = [list(re.finditer(r"\w+|\W", t)) for t in texts]
+            return [([len(m[0]) * 256 + ord(m[0][0]) for m in ms], [m.start() for m in ms], [m.end() for m in ms]) for ms in found]
+
+        return encode
+
+    say = lambda role, text: tuple({"role": role, "content": text}.get(f.name) for f in MESSAGE.fields)
+    plain = f"seq long, kind string, messages array<{MESSAGE.simpleString()}>"
+    df = spark.createDataFrame([(1, "trace", [say("user", "q one"), say("assistant", "a two three")]), (2, "trace", [say("user", "q"), say("assistant", "w " * 500)])], plain)
+    rows = build_samples(df, render.CHATML, "sft", 100, tokenizer=load).collect()
+    assert [r["seq"] for r in rows] == [1]
+    whole = "<|im_start|>user\nq one<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\na two three<|im_end|>\n"
+    words = re.findall(r"\w+|\W", whole)
+    assert rows[0]["input_ids"] == [len(w) * 256 + ord(w[0]) for w in words]
+    learned = [w for w, label in zip(words, rows[0]["labels"]) if label != -100]
+    assert "".join(learned) == "a two three<|im_end|>"
+    cut = {r["seq"]: len(r["input_ids"]) for r in build_samples(df, render.CHATML, "sft", 100, "truncate", tokenizer=load).collect()}
+    assert cut[2] == 100

@@ -12,7 +12,7 @@ from trainset.operators import encode as E
 from trainset.operators.render import Dialect, piece_rows, preamble, render_error, render_turns
 from trainset.operators.sampling import upsample
 from trainset.operators.traces import content_text, conversation
-from trainset.schema import MESSAGE
+from trainset.schema import MESSAGE, TOOL
 
 TRAIN_ON = ("assistant", "last", "all")
 
@@ -68,7 +68,7 @@ def turns_of_records(records: DataFrame, key: str = "seq", alternative: str | No
     )
 
 
-_LEAD_TYPES = {"documents": "struct<text:string,title:string>", "tools": "struct<name:string>"}
+_LEAD_TYPES = {"documents": "struct<text:string,title:string>", "tools": TOOL.simpleString()}
 
 
 def unrenderable(turns: DataFrame, dialect: Dialect, key: str = "seq") -> DataFrame:
@@ -85,21 +85,29 @@ def render_records(turns: DataFrame, dialect: Dialect, key: str = "seq") -> Data
     return reduce(DataFrame.unionByName, made)
 
 
-def build_samples(records: DataFrame, dialect: Dialect, objective: str, max_len: int, overflow: str = "drop", key: str = "seq", seed: int = 42) -> DataFrame:
+def build_samples(records: DataFrame, dialect: Dialect, objective: str, max_len: int, overflow: str = "drop", key: str = "seq", seed: int = 42, tokenizer=None) -> DataFrame:
     """Training samples of canonical records; what is left out is counted by ``build_report``.
 
+    ``tokenizer`` loads any tokenizer for conversations and pairs (see ``encode.tokenize_with``); the
+    built-in one is for counting and tests.
+
     - ``sft``: conversations, (key, input_ids, labels)
     - ``cpt``: text records, packed blocks (block, input_ids)
     - ``dpo``: preference records, (key, chosen_ids, chosen_labels, rejected_ids, rejected_labels)
     """
+    def encode(rendered: DataFrame, overflow: str) -> DataFrame:
+        if tokenizer is None:
+            return E.encode_sft(rendered, max_len, overflow, key, "turn")
+        return E.encode_sft_with(rendered, tokenizer, max_len, overflow, key, "turn")
+
     if objective == "sft":
-        return E.encode_sft(render_records(turns_of_records(records, key), dialect, key), max_len, overflow, key, "turn")
+        return encode(render_records(turns_of_records(records, key), dialect, key), overflow)
     if objective == "cpt":
         return build_text_samples(records.where("kind = 'text'"), dialect, max_len, "cpt", key, seed)
     if objective == "dpo":
         pairs = records.where(F.col("chosen").isNotNull() & F.col("rejected").isNotNull())
         sides = [
-            E.encode_sft(render_records(turns_of_records(pairs, key, side), dialect, key), max_len, "drop", key, "turn").select(
+            encode(render_records(turns_of_records(pairs, key, side), dialect, key), "drop").select(
                 key, F.col("input_ids").alias(f"{side}_ids"), F.col("labels").alias(f"{side}_labels")
             )
             for side in ("chosen", "rejected")
