@@ -1,11 +1,10 @@
 """Layout detection and conversion of source rows."""
 
-from trainset.functions import variants as V
 from trainset.functions.text import json_like, render_template
 from trainset.operators import convert as K
 from trainset.operators.mapping import Mapping, detect_mapping
-from trainset.operators.normalize import message_of_columns, normalize_calls, normalize_messages
-from trainset.operators.traces import assemble_traces, explode_turns
+from trainset.operators.normalize import normalize_calls
+from trainset.operators.traces import assemble_traces
 from trainset.queries.common import WS, F, long, query, table
 
 

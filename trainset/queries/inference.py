@@ -2,11 +2,10 @@
 
 import json
 
-from trainset.functions import variants as V
 from trainset.functions.text import parse_reply
 from trainset.operators import infer as I
 from trainset.operators.ordered import with_seq_position
-from trainset.queries.common import WS, F, long, query, table
+from trainset.queries.common import F, long, query, table
 from trainset.queries.mixing import prompt_pool_turns
 
 

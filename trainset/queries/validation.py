@@ -1,11 +1,10 @@
 """Record kinds, coded issues and validation reports."""
 
-from trainset.functions import variants as V
 from trainset.functions.roles import canonical_role
 from trainset.functions.text import split_reasoning
 from trainset.operators import normalize as N
-from trainset.operators.traces import turn_issues, turn_summary, turns_without_trailing
-from trainset.queries.common import WS, F, long, query, table, text_records
+from trainset.operators.traces import turn_issues, turns_without_trailing
+from trainset.queries.common import WS, F, long, query, table
 
 _KINDS = f"""
 WITH r AS (
