@@ -140,7 +140,7 @@ def test_split_is_disjoint_and_complete(spark):
     assert sum(s == {"eval"} for s in sides.values()) == int(120 * 0.05)
     few = df.limit(39)
     assert {r.split for r in sampling.split_train_eval(few).collect()} == {"train"}
-    with pytest.raises(ValueError, match="cannot be mixed"):
+    with pytest.raises(ValueError, match="images or texts"):
         sampling.check_mixable(df.unionByName(df.withColumn("kind", F.lit("image"))))
 
 
