@@ -1,6 +1,5 @@
 import pytest
-
-SF = "/root/testdata/sf0.001"
+from helpers import SF
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -38,7 +37,3 @@ def odd(spark, documents):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
-
-
-def rows_of(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)

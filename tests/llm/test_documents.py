@@ -10,7 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from conftest import SF, rows_of
+from helpers import SF, rows_of
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import SF, rows_of
+from helpers import SF, rows_of
 from pyspark.sql import functions as F
 
 import corpus_pipeline
