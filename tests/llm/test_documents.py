@@ -89,6 +89,25 @@ def test_large_buckets_are_dealt_anew(spark):
     assert all(len(v) == 1 for v in same.values()) and len(same) == len(set(want.values()))
 
 
+def test_full_buckets_of_few_free_bits_end(spark):
+    """All patterns of 12 of the bits that a second-level mask leaves free: one component, over BUCKET fingerprints."""
+    first = simhash.covering_masks(list(range(64)))[0]
+    second = first | simhash.covering_masks(simhash._free(first))[-1]
+    bits = simhash._free(second)[:12]
+    assert len(bits) == 12 and 2 ** len(bits) > simhash.BUCKET
+    base = random.Random(7).getrandbits(64) & second
+    prints = [simhash._signed(base | sum(1 << b for i, b in enumerate(bits) if n >> i & 1)) for n in range(2 ** len(bits))]
+    links = simhash.find_links(spark.createDataFrame([(p,) for p in prints], "fp long"))
+    got = {tuple(r) for r in simhash.components(links).collect()}
+    assert got == {(p, min(prints)) for p in prints if p != min(prints)}
+
+
+def test_finer_masks_keep_more_bits():
+    for radius in (1, 4, 5, 7):
+        for n in range(max(simhash.FREE, radius + 1) + 1, 65):
+            assert all(simhash.covering_masks(list(range(n)), radius))
+
+
 def test_keep_one_per_group(spark, odd, empty):
     kept = simhash.keep_one_per_group(odd)
     assert kept.columns == odd.columns

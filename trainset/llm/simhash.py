@@ -11,8 +11,10 @@ them, so every linked pair agrees in at least one mask: no pair is missed, whate
 Buckets are equal (mask, masked fingerprint) over distinct fingerprints. A bucket of two is compared at
 once; a larger one is clustered in a task, which returns a forest of links between real neighbours, never all
 pairs. A bucket of over ``BUCKET`` fingerprints is dealt anew by all masks over the bits that its mask
-left out; a pair in it differs in those bits only, so some finer bucket holds it. Each level halves
-the free bits, so buckets stay bounded even in a table of near copies of one text.
+left out; a pair in it differs in those bits only, so some finer bucket holds it. Every finer mask keeps
+more bits than its bucket's own, and one that leaves ``FREE`` bits or fewer is dealt no further: it holds
+at most 2 ** ``FREE`` distinct fingerprints, which one task clusters. So the levels end and buckets stay
+bounded even in a table of near copies of one text; with radius 4 the second level is the last.
 
 Components grow by linking every node and its neighbours to the least of them, and the linked to
 those, until nothing changes; each round is a written table.
@@ -36,6 +38,7 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 BUCKET = 2048
+FREE = 16
 _BITS = 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LANES = np.uint64(0x0101010101010101)
@@ -97,9 +100,13 @@ def _signed(value: int) -> int:
 
 
 def covering_masks(positions: list[int], radius: int = RADIUS) -> list[int]:
-    """Masks over some bit positions; any ``radius`` of these are all left out by one mask at least."""
+    """Masks over some bit positions; any ``radius`` of these are all left out by one mask at least.
+
+    The unit vectors are given first, so with more than ``radius`` positions no mask is empty.
+    """
     vectors = (1 << (radius + 1)) - 1
-    given = {p: 1 + i % vectors for i, p in enumerate(positions)}
+    order = sorted(range(1, vectors + 1), key=lambda v: (v.bit_count() > 1, v))
+    given = {p: order[i % vectors] for i, p in enumerate(positions)}
     return [sum(1 << p for p, m in given.items() if (m & v).bit_count() % 2) for v in range(1, vectors + 1)]
 
 
@@ -175,10 +182,11 @@ def find_links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
         sizes = materialize(sizes.where("n > 1"), "simhash-buckets")
         apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
         out.append(sizes.where((F.col("n") == 2) & (apart <= radius)).select("a", "b"))
-        some = sizes.where((F.col("n") > 2) & (F.col("n") <= bucket)).select("table", "key")
+        last = F.lit(_BITS) - F.bit_count("mask") <= max(FREE, radius + 1)
+        some = sizes.where((F.col("n") > 2) & ((F.col("n") <= bucket) | last)).select("table", "key")
         out.append(_link(rows.join(some, ["table", "key"]).select("table", "key", "fp"), radius))
-        large = sizes.where(F.col("n") > bucket).select("table", "mask", "key")
-        split = [r["mask"] for r in large.select("mask").distinct().collect()]  # at most 31 a level
+        large = sizes.where((F.col("n") > bucket) & ~last).select("table", "mask", "key")
+        split = [r["mask"] for r in large.select("mask").distinct().collect()]  # at most 31 at the first level
         if not split:
             break
         rows = materialize(_dealt_anew(rows.join(large, ["table", "mask", "key"]), split, radius), f"simhash-level{level}")
@@ -191,15 +199,12 @@ def find_links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
 
 def _dealt_anew(rows: DataFrame, masks: list[int], radius: int) -> DataFrame:
     """The rows of large buckets under finer masks: the bucket's own and a covering mask of its free bits."""
-    finer: dict[int, list[int]] = {}
+    finer = []
     for mask in masks:
         own = mask % (1 << _BITS)
-        finer[mask] = [_signed(own | m) for m in covering_masks(_free(own), radius)]
-    choice = None
-    for mask, sub in finer.items():
-        cell = F.array(*(F.lit(m) for m in sub))
-        choice = F.when(F.col("mask") == mask, cell) if choice is None else choice.when(F.col("mask") == mask, cell)
-    fine = rows.select("fp", F.posexplode(choice).alias("i", "mask"), F.xxhash64("table", "key").alias("table"))
+        finer.append((mask, [_signed(own | m) for m in covering_masks(_free(own), radius)]))
+    choice = F.broadcast(rows.sparkSession.createDataFrame(finer, "mask long, finer array<long>"))  # a row per mask
+    fine = rows.join(choice, "mask").select("fp", F.posexplode("finer").alias("i", "mask"), F.xxhash64("table", "key").alias("table"))
     return fine.select("fp", F.xxhash64("table", "i").alias("table"), "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
 
 
