@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trainset.functions.text import rstrip
-from trainset.functions.tokens import token_count
+from trainset.functions.tokens import special_id, token_count, token_ids
 from trainset.operators import encode as E
 from trainset.operators.render import Dialect, piece_rows, preamble, render_error, render_turns
 from trainset.operators.sampling import upsample
@@ -85,44 +85,188 @@ def render_records(turns: DataFrame, dialect: Dialect, key: str = "seq") -> Data
     return reduce(DataFrame.unionByName, made)
 
 
+def _kind(records: DataFrame, kind: str, key: str, *columns: str) -> DataFrame | None:
+    """Key, repeat and text columns of the records of a kind; None if the table has no such columns."""
+    if not set(columns) <= set(records.columns):
+        return None
+    return records.where(F.col("kind") == kind).select(key, _times(records).alias("repeat"), *(F.coalesce(c, F.lit("")).alias(c) for c in columns))
+
+
+def _times(records: DataFrame) -> Column:
+    return F.greatest(F.coalesce(F.col("repeat").cast("int"), F.lit(1)), F.lit(1)) if "repeat" in records.columns else F.lit(1)
+
+
+def _with_repeat(made: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """Rows made from whole records, with the ``repeat`` of their record."""
+    if "repeat" not in records.columns:
+        return made.withColumn("repeat", F.lit(1))
+    return made.join(records.select(key, _times(records).alias("repeat")), key)
+
+
+def _copied(made: DataFrame, key: str) -> DataFrame:
+    """Each sample as often as its record repeats: (key, copy, ...)."""
+    columns = [c for c in made.columns if c not in (key, "repeat")]
+    return upsample(made, F.col("repeat")).select(key, "copy", *columns)
+
+
+def _tokenized(rows: DataFrame, text: Column, tokenizer, ids: str) -> DataFrame:
+    coded = E.tokenize_with(rows.withColumn("__text", text), "__text", tokenizer)
+    return coded.drop("__text", "starts", "ends").withColumnRenamed("ids", ids)
+
+
+def _marked_text(text: Column, dialect: Dialect, begin: Column) -> Column:
+    """The text between its markers as a plugged-in tokenizer reads them, unless they are there already."""
+    if dialect.document_bos:
+        text = F.when(begin & ~F.startswith(text, F.lit(dialect.bos)), F.concat(F.lit(dialect.bos), text)).otherwise(text)
+    if dialect.document_end is not None:
+        text = F.when(F.endswith(text, F.lit(dialect.document_end)), text).otherwise(F.concat(text, F.lit(dialect.document_end)))
+    return text
+
+
+def _text_chunks(rows: DataFrame, dialect: Dialect, max_len: int, key: str, tokenizer) -> DataFrame:
+    if tokenizer is None:
+        coded = rows.withColumn("ids", E.marked_ids(F.col("text"), dialect))
+    else:
+        coded = _tokenized(rows, _marked_text(F.col("text"), dialect, F.lit(True)), tokenizer, "ids")
+    return E.chunk_text(coded, "ids", max_len, [key, "repeat"])
+
+
+def _completions(rows: DataFrame, dialect: Dialect, max_len: int, overflow: str, key: str, tokenizer) -> DataFrame:
+    if tokenizer is None:
+        return E.encode_completion(rows, "prompt", "completion", dialect, max_len, overflow, [key, "repeat"])
+    begin, end = F.lit(dialect.bos if dialect.document_bos else ""), F.lit(dialect.document_end or "")
+    coded = _tokenized(rows, F.concat(begin, F.col("prompt")), tokenizer, "p")
+    coded = _tokenized(coded, F.concat(F.col("completion"), end), tokenizer, "c")
+    made = coded.select(key, "repeat", F.concat("p", "c").alias("input_ids"), F.concat(E.masked(F.col("p")), F.col("c")).alias("labels"))
+    made = made.where(F.size("input_ids") <= max_len) if overflow == "drop" else made
+    made = made.withColumns({c: F.slice(c, 1, max_len) for c in ("input_ids", "labels")})
+    return made.where(E.trainable_tokens(F.col("labels")) > 0)
+
+
+def _documents(records: DataFrame, dialect: Dialect, key: str) -> DataFrame:
+    """Every record as raw text: (key, repeat, text, rendered). A conversation's text is as bounded as its record."""
+    made = []
+    if (texts := _kind(records, "text", key, "text")) is not None:
+        made.append(texts.withColumn("rendered", F.lit(False)))
+    if (pairs := _kind(records, "completion", key, "prompt", "completion")) is not None:
+        made.append(pairs.select(key, "repeat", F.concat("prompt", "completion").alias("text"), F.lit(False).alias("rendered")))
+    if "messages" in records.columns:
+        turns = turns_of_records(records.withColumn("train_on", F.lit("all")), key)
+        shown = sample_texts(render_records(turns, dialect, key), key).select(key, "text")
+        made.append(_with_repeat(shown, records, key).select(key, "repeat", "text", F.lit(True).alias("rendered")))
+    return reduce(DataFrame.unionByName, made)
+
+
+def _pairs(records: DataFrame) -> Column:
+    """Preference records: both answers are there."""
+    return F.coalesce((F.col("kind") == "trace") & (F.size("chosen") > 0) & (F.size("rejected") > 0), F.lit(False))
+
+
 def build_samples(records: DataFrame, dialect: Dialect, objective: str, max_len: int, overflow: str = "drop", key: str = "seq", seed: int = 42, tokenizer=None) -> DataFrame:
-    """Training samples of canonical records; what is left out is counted by ``build_report``.
+    """Training samples of canonical records, ``repeat`` copies of each; what is left out is counted by ``build_report``.
 
-    ``tokenizer`` loads any tokenizer for conversations and pairs (see ``encode.tokenize_with``); the
-    built-in one is for counting and tests.
+    ``tokenizer`` loads any tokenizer (see ``encode.tokenize_with``), which must read the dialect's markers
+    as tokens of their own; the built-in one is for counting and tests. ``key`` is unique.
 
-    - ``sft``: conversations, (key, input_ids, labels)
-    - ``cpt``: text records, packed blocks (block, input_ids)
-    - ``dpo``: preference records, (key, chosen_ids, chosen_labels, rejected_ids, rejected_labels)
+    - ``sft``: conversations, prompts with completions, chunks of texts: (key, copy, start, input_ids, labels);
+      ``start`` is the chunk's first token in its text, 0 for the others
+    - ``cpt``: texts, prompts joined with completions, conversations rendered whole: packed blocks (block, input_ids)
+    - ``dpo``: preference records, (key, copy, chosen_ids, chosen_labels, rejected_ids, rejected_labels)
+
+    Images make no samples of tokens.
     """
-    def encode(rendered: DataFrame, overflow: str) -> DataFrame:
+    def encode(rendered: DataFrame) -> DataFrame:
         if tokenizer is None:
             return E.encode_sft(rendered, max_len, overflow, key, "turn")
         return E.encode_sft_with(rendered, tokenizer, max_len, overflow, key, "turn")
 
     if objective == "sft":
-        return encode(render_records(turns_of_records(records, key), dialect, key), overflow)
+        columns = (key, "copy", "start", "input_ids", "labels")
+        made = []
+        if "messages" in records.columns:
+            made.append(_with_repeat(encode(render_records(turns_of_records(records, key), dialect, key)), records, key).withColumn("start", F.lit(0)))
+        if (pairs := _kind(records, "completion", key, "prompt", "completion")) is not None:
+            made.append(_completions(pairs, dialect, max_len, overflow, key, tokenizer).withColumn("start", F.lit(0)))
+        if (texts := _kind(records, "text", key, "text")) is not None:
+            made.append(_text_chunks(texts, dialect, max_len, key, tokenizer))
+        return reduce(DataFrame.unionByName, [_copied(m, key).select(*columns) for m in made])
     if objective == "cpt":
-        return build_text_samples(records.where("kind = 'text'"), dialect, max_len, "cpt", key, seed)
+        rows = _documents(records, dialect, key)
+        if tokenizer is None:
+            begin = F.when(F.col("rendered"), F.array().cast("array<int>")).otherwise(F.array(special_id(dialect.bos)))
+            around = [begin] if dialect.document_bos else []
+            after = [F.array(special_id(dialect.document_end))] if dialect.document_end is not None else []
+            ids = F.concat(*around, token_ids(F.col("text")), *after)
+            n = token_count(F.col("text")) + E.marker_count(dialect) - F.when(F.col("rendered"), F.lit(int(dialect.document_bos))).otherwise(F.lit(0))
+        else:
+            rows = _tokenized(rows, _marked_text(F.col("text"), dialect, ~F.col("rendered")), tokenizer, "ids")
+            ids, n = F.col("ids"), F.size("ids")
+        rows = upsample(rows, F.col("repeat")).withColumn("sample", F.concat_ws("-", key, "copy"))
+        return E.pack(rows, "sample", n, ids, max_len, seed)
     if objective == "dpo":
-        pairs = records.where(F.col("chosen").isNotNull() & F.col("rejected").isNotNull())
+        pairs = records.where(_pairs(records))
         sides = [
-            encode(render_records(turns_of_records(pairs, key, side), dialect, key), "drop").select(
+            encode(render_records(turns_of_records(pairs, key, side), dialect, key)).select(
                 key, F.col("input_ids").alias(f"{side}_ids"), F.col("labels").alias(f"{side}_labels")
             )
             for side in ("chosen", "rejected")
         ]
-        return sides[0].join(sides[1], key)  # a pair needs both
+        return _copied(_with_repeat(sides[0].join(sides[1], key), pairs, key), key)  # a pair needs both
     raise ValueError(f"no samples are known for objective {objective!r}")
 
 
-def build_report(records: DataFrame, dialect: Dialect, max_len: int, overflow: str = "drop", key: str = "seq") -> DataFrame:
-    """(outcome, reason, n): what becomes of the conversations of a record table under ``sft``."""
-    turns = turns_of_records(records, key)
-    failed = unrenderable(turns, dialect, key).select(F.lit("unrenderable").alias("outcome"), "reason")
-    counts = E.turn_token_counts(render_records(turns, dialect, key), key)
-    judged = E.sample_outcomes(counts, max_len, overflow, key).select("outcome", F.lit(None).cast("string").alias("reason"))
-    return judged.unionByName(failed).groupBy("outcome", "reason").agg(F.count(F.lit(1)).alias("n"))
+def _judged(turns: DataFrame, dialect: Dialect, max_len: int, overflow: str, key: str) -> DataFrame:
+    """(key, outcome, reason) of conversations."""
+    failed = unrenderable(turns, dialect, key).select(key, F.lit("unrenderable").alias("outcome"), "reason")
+    rendered = render_records(turns, dialect, key)
+    judged = E.sample_outcomes(E.turn_token_counts(rendered, key), max_len, overflow, key).select(key, "outcome")
+    if overflow == "truncate":  # what is learned may lie behind the cut
+        made = E.encode_sft(rendered, max_len, overflow, key, "turn").select(key, F.lit("sample").alias("made"))
+        judged = judged.join(made, key, "left").select(key, F.coalesce("made", F.lit("skipped_untrainable")).alias("outcome"))
+    return judged.withColumn("reason", F.lit(None).cast("string")).unionByName(failed)
+
+
+def build_report(records: DataFrame, dialect: Dialect, max_len: int, overflow: str = "drop", key: str = "seq", objective: str = "sft") -> DataFrame:
+    """(outcome, reason, n): what becomes of every record of a table under an objective, counted ``repeat`` times.
+
+    Outcomes are sample, unrenderable (with the reason), skipped_long, skipped_untrainable and, under ``dpo``,
+    not_preference. Tokens are those of the built-in tokenizer.
+    """
+    if objective not in ("sft", "cpt", "dpo"):
+        raise ValueError(f"no samples are known for objective {objective!r}")
+    plain = lambda c: F.coalesce(F.col(c), F.lit("")) if c in records.columns else F.lit("")
+    size = token_count(plain("text")) + E.marker_count(dialect)
+    p = token_count(plain("prompt")) + int(dialect.document_bos)
+    c = token_count(plain("completion")) + int(dialect.document_end is not None)
+    some = lambda n: F.when(n > 0, F.lit("sample")).otherwise(F.lit("skipped_untrainable"))
+    kind, turns = F.col("kind"), "messages" in records.columns
+    judged, own = None, F.when(kind == "text", some(size))
+    if objective == "sft":
+        untrained = (c == 0) | (p >= max_len) if overflow == "truncate" else c == 0
+        long_one = (p + c > max_len) & F.lit(overflow == "drop")
+        own = own.when(kind == "completion", F.when(long_one, F.lit("skipped_long")).when(untrained, F.lit("skipped_untrainable")).otherwise(F.lit("sample")))
+        judged = _judged(turns_of_records(records, key), dialect, max_len, overflow, key) if turns else None
+    elif objective == "cpt":
+        own = own.when(kind == "completion", some(p + c))
+        if turns:
+            seen = turns_of_records(records.withColumn("train_on", F.lit("all")), key)
+            failed = unrenderable(seen, dialect, key).withColumn("outcome", F.lit("unrenderable"))
+            judged = seen.select(key).distinct().join(failed, key, "left").withColumn("outcome", F.coalesce("outcome", F.lit("sample")))
+    else:
+        pairs = records.where(_pairs(records))
+        own = F.when(~_pairs(records), F.lit("not_preference"))
+        sides = [_judged(turns_of_records(pairs, key, side), dialect, max_len, overflow, key) for side in ("chosen", "rejected")]
+        worst = F.struct(F.array_position(F.array(*map(F.lit, ("unrenderable", "skipped_long", "skipped_untrainable", "sample"))), F.col("outcome")).alias("rank"), "outcome", "reason")
+        judged = sides[0].unionByName(sides[1]).groupBy(key).agg(F.min(worst).alias("w")).select(key, "w.outcome", "w.reason")
+    rest = F.when(kind == "trace", F.lit("skipped_untrainable")).otherwise(F.lit("unrenderable"))  # a trace without turns, or no tokens at all
+    why = F.when(own.isNull() & ~F.coalesce(kind == "trace", F.lit(False)), F.concat(F.coalesce(kind, F.lit("unknown")), F.lit(" records make no samples of tokens")))
+    rows = records.select(key, _times(records).alias("repeat"), own.alias("own"), rest.alias("rest"), why.alias("why"))
+    if judged is not None:
+        rows = rows.join(judged.select(key, "outcome", "reason"), key, "left")
+    else:
+        rows = rows.withColumns({"outcome": F.lit(None).cast("string"), "reason": F.lit(None).cast("string")})
+    told = rows.select(F.coalesce("own", "outcome", "rest").alias("outcome"), F.coalesce("reason", "why").alias("reason"), "repeat")
+    return told.groupBy("outcome", "reason").agg(F.sum("repeat").cast("long").alias("n"))
 
 
 def sample_texts(rendered: DataFrame, key: str = "seq", order: str = "turn") -> DataFrame:
