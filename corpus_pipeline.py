@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its shard, and the shard it would have with one more."""
-    return shards.with_shard(docs)
+    return shards.with_shard(docs, grown=True)
 
 
 STAGES = [

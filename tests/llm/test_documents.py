@@ -89,6 +89,14 @@ def test_large_buckets_are_dealt_anew(spark):
     assert all(len(v) == 1 for v in same.values()) and len(same) == len(set(want.values()))
 
 
+def test_sharding_stage_tells_the_grown_shard(spark, documents):
+    import corpus_pipeline
+
+    got = rows_of(corpus_pipeline.shard(spark, documents, None).select("doc_id", "shard", "grown_shard"))
+    assert got == rows_of(shards.shard_slots(documents).select("doc_id", "shard", "grown_shard"))
+    assert {b for _, a, b in got if a != b} == {8}
+
+
 def test_full_buckets_of_few_free_bits_end(spark):
     """All patterns of 12 of the bits that a second-level mask leaves free: one component, over BUCKET fingerprints."""
     first = simhash.covering_masks(list(range(64)))[0]

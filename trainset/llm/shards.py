@@ -45,6 +45,11 @@ def default_tree(shards: int = 8) -> tuple[Leaf, ...]:
     return (*first, *(Leaf(f"r{s - 6}", "k0", s) for s in range(8, shards)))
 
 
+def _grown(tree: tuple[Leaf, ...], shards: int) -> tuple[Leaf, ...]:
+    """The tree with one shard more, in a region of its own."""
+    return (*tree, Leaf(f"new{shards}", "k0", shards)) if tree != default_tree(shards) else default_tree(shards + 1)
+
+
 def _children(tree: tuple[Leaf, ...], above: tuple[str, ...], inner: dict[tuple[str, ...], float]) -> dict[tuple[str, ...], float]:
     weights: dict[tuple[str, ...], float] = {}
     for leaf in tree:
@@ -93,7 +98,7 @@ def shard_slots(
     """
     tree = tree or default_tree(shards)
     digits = next((d for d in (3, 2) if len(tree) * 16**d <= SLOT_PARTS), 1)
-    grown = (*tree, Leaf(f"new{shards}", "k0", shards)) if tree != default_tree(shards) else default_tree(shards + 1)
+    grown = _grown(tree, shards)
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     order = F.md5(F.concat(F.lit("slot:"), name))
     utf8 = F.col(text).cast("binary")
@@ -124,10 +129,19 @@ def shard_slots(
     )
 
 
-def with_shard(docs: DataFrame, *, key: str = "doc_id", shards: int = 8, tree: tuple[Leaf, ...] | None = None) -> DataFrame:
-    """All columns and ``shard``; columns of that name in the input give way to the new one."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "shard"]
-    return docs.select(*kept, shard_of(F.col(key), tree or default_tree(shards)).alias("shard"))
+def with_shard(
+    docs: DataFrame, *, key: str = "doc_id", shards: int = 8, tree: tuple[Leaf, ...] | None = None, grown: bool = False,
+) -> DataFrame:
+    """All columns and ``shard``; with ``grown`` also ``grown_shard``, the shard after one more is added.
+
+    Columns of these names in the input give way to the new ones.
+    """
+    tree = tree or default_tree(shards)
+    made = {"shard": shard_of(F.col(key), tree)}
+    if grown:
+        made["grown_shard"] = shard_of(F.col(key), _grown(tree, shards))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in made]
+    return docs.select(*kept, *(c.alias(name) for name, c in made.items()))
 
 
 def _draw_sql(key: str, path: tuple[str, ...], weight: float) -> str:
