@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trainset.llm import ann, decontaminate, langid, mixing, quality, shards, simhash, token_counts, toxicity, urls
+from trainset.llm import ann, collocations, decontaminate, jaccard, langid, mixing, negatives, quality, shards, simhash, token_counts, toxicity, urls
 from trainset.llm.common import table
 
 
@@ -49,10 +49,30 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kmeans_tree, op2_toxicity, op3_quality, op4_shard_tree, op5_url_filter, op6_simhash, op7_decontaminate, op8_token_counts, op9_mix, op10_language)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_kmeans_tree, op2_toxicity, op3_quality, op4_shard_tree, op5_url_filter, op6_simhash, op7_decontaminate, op8_token_counts, op9_mix,
+        op10_language, op11_collocations, op12_hard_negatives, op13_jaccard_join,
+    )
+}
 
 SQL = {
     "op4_shard_tree": shards.oracle(),
     "op5_url_filter": urls.oracle(),
     "op9_mix": mixing.oracle(),
+    "op11_collocations": collocations.oracle(),
+    "op12_hard_negatives": negatives.oracle(),
 }
