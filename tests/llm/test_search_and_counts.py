@@ -191,7 +191,7 @@ def test_jaccard_equals_brute_force(spark, documents, odd):
         assert rows_of(jaccard.jaccard_components(df)) == slow_jaccard(rows)
 
 
-@pytest.mark.parametrize("list_length, block", [(16, 2048), (1, 2048), (1, 30)])
+@pytest.mark.parametrize("list_length, block", [(1000, 2048), (16, 2048), (1, 2048), (1, 30)])
 def test_jaccard_of_large_groups(spark, monkeypatch, list_length, block):
     for name, value in {"LIST": list_length, "LIST_SHARE": 0.0, "COMMON": 8, "LOCAL": 1, "BLOCK_DOCS": block}.items():
         monkeypatch.setattr(jaccard, name, value)

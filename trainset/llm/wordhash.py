@@ -26,8 +26,9 @@ class Hashes:
         if len(self.known) > KNOWN:
             self.known = dict(self.fixed)
         known = self.known
-        for w in set(words) - known.keys():
-            known[w] = xxh64_intdigest(w) or 1
+        for w in set(words):
+            if w not in known:
+                known[w] = xxh64_intdigest(w) or 1
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
