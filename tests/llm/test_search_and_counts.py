@@ -193,7 +193,7 @@ def test_jaccard_equals_brute_force(spark, documents, odd):
 
 @pytest.mark.parametrize("list_length, block", [(1000, 2048), (16, 2048), (1, 2048), (1, 30)])
 def test_jaccard_of_large_groups(spark, monkeypatch, list_length, block):
-    for name, value in {"LIST": list_length, "LIST_SHARE": 0.0, "COMMON": 8, "LOCAL": 1, "BLOCK_DOCS": block}.items():
+    for name, value in {"LIST": list_length, "COMMON": 8, "LOCAL": 1, "BLOCK_DOCS": block}.items():
         monkeypatch.setattr(jaccard, name, value)
     texts = near_copies(150, 60, 4, 1) + near_copies(60, 200, 12, 2) + near_copies(40, 25, 1, 3) + ["only two", "Only  TWO", "one", "ONE", "", None]
     texts += [" ".join(near_copies(1, 50, 0, 9) + [f"x{i}-{j}" for j in range(i % 7)]) for i in range(60)]

@@ -11,12 +11,13 @@ Counts are taken window by window, ``WINDOW`` shingles each: those seen ``LOCAL`
 common is what reaches ``COMMON`` and one in ``PARTS`` of all shingles, so there are at most ``PARTS`` common ones. They only
 order and cost; a wrong count makes no difference to the links.
 
-Short lists of a shingle give pairs, counted by pair; pairs with enough matches are compared by parity sketches (a
-shingle flips one bit, so sketches never differ in more bits than sets in shingles), what is left shingle by shingle. A
-list too long for that (over ``LIST`` documents, or ``LIST_SHARE`` of their mean size, whichever is more) goes to tasks that hold the sets
-themselves, in pairs of blocks of bounded size. A task returns a forest of real links, never all pairs: it follows matches
-from one document at a time until all that are not yet followed are in one component. So copies by the thousand and
-passages that many documents share stay linear in rows.
+Short lists of a shingle give pairs, counted by pair; those with enough matches are compared by parity sketches (a
+shingle flips one bit, so sketches never differ in more bits than sets in shingles). A list of over ``LIST`` documents
+goes, with sketches, to tasks in pairs of blocks of bounded size, which return a forest of the pairs near by sketch,
+never all pairs. What is near joins texts to groups that no link leaves. Then the sets of a group meet, again in pairs of
+blocks of bounded size, and are compared shingle by shingle: a task follows one document after the other until all that are not yet
+followed are in one component, asks each pair for its matches before it is verified, and returns a forest of links. So copies by the
+thousand and passages that many documents share stay linear in rows, and a set is sent once a block, not once a pair.
 
 Equal texts are one class from the start (by MD5) and each distinct text is compared once.
 
@@ -45,7 +46,7 @@ PERCENT = 90
 WINDOW, LOCAL = 1 << 21, 4
 COMMON, PARTS = 32, 1 << 19
 SHIP = 1.0  # of a set's size, against one candidate
-LIST, LIST_SHARE = 16, 0.08
+LIST = 64
 BLOCK_DOCS, BLOCK_SHINGLES = 2048, 1 << 21
 SEEN = 1 << 16  # texts a task remembers to have had
 _GAP = re.compile(rb"[\x20\x09-\x0d]")
@@ -177,7 +178,7 @@ def sketch_distance(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())  # of signed numbers it counts the bits of the absolute value
 
 
-def may_link(distance: int, n: int, m: int, percent: int) -> bool:
+def may_link(distance, n, m, percent: int):
     """Sets of n and m shingles that differ in ``distance`` at least: can the shared be ``percent`` of all?"""
     return 100 * (n + m - distance) >= percent * (n + m + distance)
 
@@ -206,13 +207,13 @@ def prefixes(texts: DataFrame, common, shingle: int, percent: int) -> DataFrame:
 
 
 def lists(made: DataFrame) -> DataFrame:
-    """(token, uid, n, ell, m, mean): the documents with each prefix shingle that at least two have."""
+    """(token, uid, n, ell, m): the documents with each prefix shingle that at least two have."""
     rows = made.select("uid", "n", "ell", "rare", F.posexplode("tokens").alias("at", "token"))
     rare = rows.where("at < rare").select("token", "uid", "n", "ell")
     alike = Window.partitionBy("token")
-    rare = rare.withColumn("m", F.count("*").over(alike)).where("m > 1").withColumn("mean", F.avg("n").over(alike))
+    rare = rare.withColumn("m", F.count("*").over(alike)).where("m > 1")
     common = rows.where("at >= rare").select("token", "uid", "n", "ell")
-    counts = common.groupBy("token").agg(F.count("*").alias("m"), F.avg("n").alias("mean")).where("m > 1")
+    counts = common.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     return rare.unionByName(common.join(F.broadcast(counts), "token"))  # a row for each common shingle: at most PARTS
 
 
@@ -229,23 +230,18 @@ def candidate_pairs(short: DataFrame, percent: int) -> DataFrame:
     return counted.where("shared >= asked").select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b"))
 
 
-def _both(pairs: DataFrame, facts: DataFrame, column: str) -> DataFrame:
-    """``pairs`` with a column of ``facts`` for either side."""
+def near_pairs(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches do not rule a link out."""
     for side in ("a", "b"):
-        pairs = pairs.join(facts.select(F.col("uid").alias(side), F.col(column).alias(f"{column}_{side}"), F.col("n").alias(f"n_{side}")), side)
-    return pairs.select("a", "b", "n_a", "n_b", f"{column}_a", f"{column}_b")
-
-
-def _kept(pairs: DataFrame, holds) -> DataFrame:
-    """The pairs of which ``holds(n_a, n_b, array_a, array_b)``."""
+        pairs = pairs.join(made.select(F.col("uid").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = _arrays(batch.column(4)), _arrays(batch.column(5))
-            sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), left, right)
-            yield batch.select([0, 1]).filter(pa.array([holds(*x) for x in sizes], pa.bool_()))
+            rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), _arrays(batch.column(4)), _arrays(batch.column(5)))
+            kept = [may_link(sketch_distance(x, y), n, m, percent) for n, m, x, y in rows]
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
-    return pairs.mapInArrow(check, "a binary, b binary")
+    return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(check, "a binary, b binary")
 
 
 def _arrays(column: pa.Array) -> list[np.ndarray]:
@@ -254,44 +250,75 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return np.split(flat, ends[:-1]) if len(column) else []
 
 
-def linked(shared: int, n: int, m: int, percent: int) -> bool:
+def linked(shared, n, m, percent: int):
     return 100 * shared >= percent * (n + m - shared)
 
 
-# ---------------------------------------------------------------- long lists
+# ---------------------------------------------------------------- groups of any size
 
 
-def forest(sets: list[np.ndarray], ell: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links with the same components as all links among ``sets``, each in the global order."""
-    count = len(sets)
-    n = np.array([len(s) for s in sets])
-    prefix = n - np.array([required(int(x), percent) for x in n]) + ell
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    owner = np.repeat(np.arange(count), n)
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
-    full, front = _Postings(ids, owner, np.ones(len(ids), bool)), _Postings(ids, owner, place < np.repeat(prefix, n))
-    own = np.split(ids, np.cumsum(n)[:-1])
+def spanning(count: int, partners) -> list[tuple[int, int]]:
+    """A forest with the components of a graph: ``partners(a, some)`` are a's neighbours among the mask ``some``.
+
+    One member after the other is followed until all that are left are in one component.
+    """
     label, todo = np.arange(count), np.ones(count, bool)
     links: list[tuple[int, int]] = []
     while True:
         left = np.flatnonzero(todo)
-        most = np.bincount(label[left], minlength=count).argmax() if len(left) else 0
-        outside = left[label[left] != most]
+        outside = left[label[left] != np.bincount(label[left]).argmax()] if len(left) else left
         if not len(outside):
             return links
         a = int(outside[0])
         todo[a] = False
-        shared = front.shared(own[a][: prefix[a]], count)
-        some = (shared >= np.minimum(ell, ell[a])) & (label != label[a]) & (np.minimum(n, n[a]) * 100 >= np.maximum(n, n[a]) * percent)
-        if not some.any():
-            continue
-        both = full.shared(own[a], count)
-        for b in np.flatnonzero(some & (100 * both >= percent * (n + n[a] - both))).tolist():
+        for b in partners(a, label != label[a]).tolist():
             if label[b] != label[a]:
                 links.append((a, b))
                 label[label == label[b]] = label[a]
 
 
+def near_forest(n: np.ndarray, sketches: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A forest of the pairs that sketches do not rule out."""
+    words = np.array([len(x) for x in sketches])
+    classes = {w: np.flatnonzero(words == w) for w in set(words.tolist())}
+    whole = {w: np.array([sketches[i] for i in at]).view(np.uint64) for w, at in classes.items()}
+    folded = {w // 2: (classes[w], m[:, : w // 2] ^ m[:, w // 2 :]) for w, m in whole.items() if w > 1}
+
+    def partners(a: int, some: np.ndarray) -> np.ndarray:
+        w, own = int(words[a]), sketches[a].view(np.uint64)
+        found = [(classes[w], whole[w], own)]  # sets of sketches of other lengths differ too much in size
+        if w in folded:
+            found.append((*folded[w], own))
+        if w // 2 in whole:
+            found.append((classes[w // 2], whole[w // 2], own[: w // 2] ^ own[w // 2 :]))
+        out = []
+        for at, matrix, mine in found:
+            distance = np.bitwise_count(matrix ^ mine).sum(axis=1, dtype=np.int64)
+            out.append(at[may_link(distance, n[at], n[a], percent) & some[at]])
+        return np.concatenate(out)
+
+    return spanning(len(n), partners)
+
+
+def forest(sets: list[np.ndarray], ell: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links with the same components as all links among ``sets``, each in the global order."""
+    count = len(sets)
+    n = np.array([len(s) for s in sets])
+    prefix = n - np.array([required(int(x), percent) for x in n]) + ell
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(count), n)
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+    full, front = _Postings(ids, owner, np.ones(len(ids), bool)), _Postings(ids, owner, place < np.repeat(prefix, n))
+    own = np.split(ids, np.cumsum(n)[:-1])
+
+    def partners(a: int, some: np.ndarray) -> np.ndarray:
+        matched = front.shared(own[a][: prefix[a]], count) >= np.minimum(ell, ell[a])
+        some = some & matched & (np.minimum(n, n[a]) * 100 >= np.maximum(n, n[a]) * percent)
+        return np.flatnonzero(some & linked(full.shared(own[a], count), n, n[a], percent)) if some.any() else np.zeros(0, int)
+
+    return spanning(count, partners)
+
+
 class _Postings:
     """The documents that hold each shingle."""
 
@@ -306,22 +333,42 @@ class _Postings:
         return np.bincount(self.owner[at], minlength=count)
 
 
-def long_links(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) inside long lists, by pairs of blocks."""
-    blocks = F.ceil(F.col("m") * F.greatest(F.lit(1 / BLOCK_DOCS), F.col("mean") / BLOCK_SHINGLES)).cast("int")
-    dealt = long.select("token", "uid", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+def block_pairs(rows: DataFrame, key: str, blocks) -> DataFrame:
+    """Rows of each group ``key`` dealt into ``blocks`` blocks, for every pair of blocks (i, j); one block is a pair of its own."""
+    dealt = rows.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other or blocks = 1")
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid")
+    return dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *rows.columns).drop("m")
+
+
+def _edges(uids: list[bytes], found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({c: pa.array([uids[x[k]] for x in found], pa.binary()) for k, c in enumerate(("a", "b"))})
+
+
+def long_lists_near(long: DataFrame, made: DataFrame, percent: int) -> DataFrame:
+    """A forest (a, b) of the pairs near by sketch in each long list."""
 
     def follow(group: pa.Table) -> pa.Table:
-        uids = group.column("uid").to_pylist()
-        found = forest([x.view(np.uint64) for x in _arrays(group.column("shingles").combine_chunks())], group.column("ell").to_numpy(), percent)
-        return pa.table({c: pa.array([uids[x[k]] for x in found], pa.binary()) for k, c in enumerate(("a", "b"))})
+        sketches = _arrays(group.column("sketch").combine_chunks())
+        return _edges(group.column("uid").to_pylist(), near_forest(group.column("n").to_numpy(), sketches, percent))
 
-    held = dealt.join(sets.select("uid", "ell", "shingles"), "uid")
+    held = block_pairs(long.select("token", "uid", "m"), "token", F.ceil(F.col("m") / BLOCK_DOCS)).join(made.select("uid", "n", "sketch"), "uid")
     return held.groupBy("token", "i", "j").applyInArrow(follow, "a binary, b binary")
 
 
+def group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A forest (a, b) of the links in each group (uid, root) of texts."""
+
+    def follow(group: pa.Table) -> pa.Table:
+        found = [x.view(np.uint64) for x in _arrays(group.column("shingles").combine_chunks())]
+        return _edges(group.column("uid").to_pylist(), forest(found, group.column("ell").to_numpy(), percent))
+
+    sized = groups.join(sets.select("uid", "n"), "uid").groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.col("size") / BLOCK_SHINGLES))
+    rows = join_hot(groups, sized.select("root", blocks.alias("m")), ["root"])
+    held = block_pairs(rows, "root", F.col("m")).join(sets.select("uid", "ell", "shingles"), "uid")
+    return held.groupBy("root", "i", "j").applyInArrow(follow, "a binary, b binary")
+
+
 # ---------------------------------------------------------------- links and components
 
 
@@ -344,15 +391,12 @@ def find_links(texts: DataFrame, read: DataFrame, *, shingle: int, percent: int)
     common = spark.sparkContext.broadcast(common_shingles(read))  # at most PARTS of 16 bytes
     made = materialize(prefixes(texts, common, shingle, percent), "jaccard-prefixes")
     held = materialize(lists(made), "jaccard-lists")
-    is_long = F.col("m") > F.greatest(F.lit(LIST), F.col("mean") * LIST_SHARE)
-    near = _both(candidate_pairs(held.where(~is_long), percent), made, "sketch")
-    near = _kept(near, lambda n, m, a, b: may_link(sketch_distance(a, b), n, m, percent))
-    near = materialize(near, "jaccard-candidates")
-    long = held.where(is_long)
-    wanted = near.select(F.col("a").alias("uid")).unionByName(near.select(F.col("b").alias("uid"))).unionByName(long.select("uid")).distinct()
-    sets = materialize(sets_of(texts, materialize(wanted, "jaccard-wanted"), common, made, shingle), "jaccard-sets")
-    sure = _kept(_both(near, sets, "shingles"), lambda n, m, a, b: linked(len(np.intersect1d(a, b, assume_unique=True)), n, m, percent))
-    return sure.unionByName(long_links(long, sets, percent))
+    near = near_pairs(candidate_pairs(held.where(F.col("m") <= LIST), percent), made, percent)
+    near = materialize(near.unionByName(long_lists_near(held.where(F.col("m") > LIST), made, percent)), "jaccard-near")
+    groups = components(near).select(F.col("node").alias("uid"), "root")
+    groups = materialize(groups.unionByName(groups.select(F.col("root").alias("uid"), "root").distinct()), "jaccard-groups")
+    sets = materialize(sets_of(texts, groups.select("uid"), common, made, shingle), "jaccard-sets")
+    return group_links(groups, sets, percent)
 
 
 def jaccard_components(
