@@ -65,29 +65,29 @@ def with_running_total(
     ``bucket`` must not decrease along ``order``. With the default weight of one, ``out``
     is the row's dense position. ``total`` optionally adds the grand total as well.
     """
-    by = list(by)
-    weight = F.lit(1).cast("long") if weight is None else weight.cast("long")
-    base = df.withColumn(_B, bucket).withColumn("__w", weight)
-    per_bucket = base.groupBy(*by, _B).agg(F.sum("__w").alias("__sum"))
-    across = Window.partitionBy(*(by or [F.lit(0)])).orderBy(_B)
+    return with_running_totals(df, order, bucket, {out: F.lit(1) if weight is None else weight}, by, {total: out} if total else {})
+
+
+def with_running_totals(
+    df: DataFrame, order: Sequence[str], bucket: Column, weights: dict[str, Column], by: Sequence[str] = (), totals: dict[str, str] | None = None
+) -> DataFrame:
+    """``with_running_total`` for several weights in one pass; ``totals`` maps the name of a grand total to its weight's."""
+    by, totals = list(by), totals or {}
+    base = df.withColumns({_B: bucket, **{f"__w_{o}": w.cast("long") for o, w in weights.items()}})
+    per_bucket = base.groupBy(*by, _B).agg(*(F.sum(f"__w_{o}").alias(f"__sum_{o}") for o in weights))
+    all_rows = Window.partitionBy(*(by or [F.lit(0)]))
+    before = all_rows.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     carried = per_bucket.select(
-        *by,
-        _B,
-        F.coalesce(F.sum("__sum").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"),
-        *(
-            [F.sum("__sum").over(Window.partitionBy(*(by or [F.lit(0)]))).alias(total)]
-            if total
-            else []
-        ),
+        *by, _B,
+        *(F.coalesce(F.sum(f"__sum_{o}").over(before), F.lit(0)).alias(f"__base_{o}") for o in weights),
+        *(F.sum(f"__sum_{o}").over(all_rows).alias(t) for t, o in totals.items()),
     )
     if not by:
         carried = F.broadcast(carried)  # at most MAX_BUCKETS rows
     inside = Window.partitionBy(*by, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        base.join(carried, [*by, _B])
-        .withColumn(out, F.col("__base") + F.coalesce(F.sum("__w").over(inside), F.lit(0)))
-        .drop(_B, "__w", "__sum", "__base")
-    )
+    summed = {o: F.col(f"__base_{o}") + F.coalesce(F.sum(f"__w_{o}").over(inside), F.lit(0)) for o in weights}
+    spent = [f"__{kind}_{o}" for o in weights for kind in ("w", "base")]
+    return base.join(carried, [*by, _B]).withColumns(summed).drop(_B, *spent)
 
 
 def with_hash_position(df: DataFrame, order_hash: str, tie: str, out: str, total: str | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trainset.functions.text import is_blank, rstrip, text_or_empty
-from trainset.operators.ordered import scan_groups, with_running_total
+from trainset.operators.ordered import scan_groups, with_running_total, with_running_totals
 from trainset.operators.traces import BLOCK
 from trainset.schema import TOOL
 
@@ -181,9 +181,9 @@ def _cutter(pattern: str):
 
 
 def with_context(
-    turns: DataFrame, dialect: Dialect, key: str = "conv_id", order: str = "turn"
+    turns: DataFrame, dialect: Dialect, key: str = "conv_id", order: str = "turn", totals: dict[str, tuple[str, Column]] | None = None
 ) -> DataFrame:
-    """Add what rendering one turn needs to know about the others."""
+    """Add what rendering one turn needs to know about the others; ``totals`` adds more of the conversation (see ``scan_groups``)."""
     role, o = F.col("role"), F.col(order)
     out_role = F.when((role == "tool") & F.lit(dialect.tools == "inline"), F.lit("user")).otherwise(role)
     if dialect.tool_turns_merged:
@@ -192,7 +192,8 @@ def with_context(
     return scan_groups(
         turns.withColumn("out_role", out_role), [key], order, block_size=BLOCK, position="pos",
         previous={"prev_role": shown}, following={"next_role": shown, "next_user": F.when(role == "user", o)},
-        totals={"last_assistant": ("max", F.when(role == "assistant", o)), "last_user": ("max", F.when(role == "user", o))},
+        latest={"user_before": F.when(role == "user", o)},
+        totals=(totals or {}) | {"last_assistant": ("max", F.when(role == "assistant", o)), "last_user": ("max", F.when(role == "user", o))},
     )
 
 
@@ -202,77 +203,139 @@ def render_turns(
     key: str = "conv_id",
     order: str = "turn",
     content: str = "content",
-    train_on: str = "assistant",
+    train_on: str | Column = "assistant",
     history: bool = False,
+    forms: bool = False,
+    keep: Sequence[str] = (),
+    totals: dict[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
-    """One row per rendered turn: key, order, role, pieces, text, trainable_chars.
+    """One row per rendered turn: key, order, at, pos, role, pieces, text, trainable_chars.
 
-    Optional input columns: reasoning, tool_calls, train. Notes from the middle of the
-    conversation move into the next user turn; a note without one is dropped. With
-    ``history=True`` every turn is rendered the way it appears *before* a later answer.
+    Optional input columns: reasoning, tool_calls, train. ``train_on`` may be a column, the same for a whole
+    conversation. Notes from the middle of the conversation move into the next user turn; a note without
+    one is dropped. With ``history=True`` every turn is rendered the way it appears *before* a later answer.
+    ``keep`` names input columns, ``totals`` columns of the conversation (see ``scan_groups``) to keep.
+
+    ``forms`` adds, where a conversation ``expands`` (see ``expand_samples``), each turn's pieces in three forms:
+    ``then`` once a user turn has followed, ``now`` before that, ``answer`` as the last turn of a sample.
     """
-    t = with_context(turns, dialect, key, order)
     role, o, text = F.col("role"), F.col(order), F.col(content)
-    is_a, is_u = role == "assistant", role == "user"
+    is_a = role == "assistant"
+    has_reasoning = "reasoning" in turns.columns and dialect.reasoning != "none"
+    reasons = text_or_empty(F.col("reasoning")) != "" if "reasoning" in turns.columns else F.lit(False)
+    wanted = dict(totals or {})
+    if forms:
+        wanted["first_reasoned"] = ("min", F.when(is_a & reasons, o))
+    t = with_context(turns, dialect, key, order, wanted)
     if "tool_calls" in turns.columns:
         text = F.when(is_a, with_tool_calls(text, F.col("tool_calls"))).otherwise(text)
     if dialect.tools == "inline":
         text = F.when(role == "tool", F.concat(F.lit("<tool_response>\n"), text, F.lit("\n</tool_response>"))).otherwise(text)
-    current = F.lit(False) if history else (F.col("last_user").isNull() | (o > F.col("last_user")))
-    if "reasoning" in turns.columns and dialect.reasoning != "none":
-        thinks = text_or_empty(F.col("reasoning")) != ""
-        show = thinks & current if (dialect.reasoning == "native" and dialect.drops_history_reasoning) else thinks
-        text = F.when(is_a & show, F.concat(think_block(F.col("reasoning")), text)).otherwise(text)
-    else:
-        thinks = F.lit(False)
-    trains = is_a & (F.coalesce(F.col("train"), F.lit(True)) if "train" in turns.columns else F.lit(True))
-    if train_on == "last":
-        same_turn = (o > F.col("last_user")) if dialect.strict_alternation else F.lit(False)
-        trains = trains & ((o == F.col("last_assistant")) | F.coalesce(same_turn, F.lit(False)))
-    elif train_on == "all":
-        trains = F.lit(True)
-    everything = F.lit(train_on == "all")
+    rule = F.lit(train_on) if isinstance(train_on, str) else train_on
+    everything = rule == "all"
+    learned = is_a & (F.coalesce(F.col("train"), F.lit(True)) if "train" in turns.columns else F.lit(True))
+    same_turn = F.coalesce(o > F.col("last_user"), F.lit(False)) if dialect.strict_alternation else F.lit(False)
+    trains = everything | (learned & ((rule != "last") | (o == F.col("last_assistant")) | same_turn))
     mergeable = F.col("out_role").isin("user", "assistant") & F.lit(dialect.strict_alternation) | (
         (F.col("out_role") == "assistant") & F.lit(dialect.tool_turns_merged)
     )
     opens = ~(mergeable & F.coalesce(F.col("prev_role") == F.col("out_role"), F.lit(False)))
-    closes = ~(mergeable & F.coalesce(F.col("next_role") == F.col("out_role"), F.lit(False)))
+    ends = ~(mergeable & F.coalesce(F.col("next_role") == F.col("out_role"), F.lit(False)))
     header = F.lit(dialect.header_for("user"))
     for name in ("system", "assistant", "tool"):
         header = F.when(F.col("out_role") == name, F.lit(dialect.header_for(name))).otherwise(header)
     lead = F.when((F.col("pos") == 0), F.concat(F.lit(dialect.bos), header)).otherwise(header)
-
-    def piece(sub: int, body: Column, trainable: Column) -> Column:
-        return F.struct(F.lit(sub).alias("sub"), body.alias("piece"), F.coalesce(trainable, F.lit(False)).alias("trainable"))
-
-    joint = F.lit("\n\n") if dialect.strict_alternation else F.lit("")
-    body = F.when(closes, text).otherwise(rstrip(text) if dialect.strict_alternation else text)
-    think = F.lit(dialect.empty_think or "")
-    needs_think = is_a & current & ~thinks & opens & F.lit(bool(dialect.empty_think) and dialect.reasoning == "native")
-    body_trains = trains if dialect.exclude_within_turn == () else trains | ((role == "tool") & everything)
-    own = F.array(
-        piece(0, F.when(opens, lead).otherwise(joint), everything),
-        piece(2, F.when(needs_think, think).otherwise(F.lit("")), everything),
-        piece(3, F.when(is_a & closes, F.concat(body, F.lit(dialect.turn_end))).otherwise(body), body_trains),
-        piece(4, F.when(closes & ~is_a, F.lit(dialect.turn_end)).otherwise(F.lit("")), everything),
-        piece(5, F.when(closes, F.lit(dialect.after_turn)).otherwise(F.lit("")), everything),
-    )
-    note = F.array(piece(1, F.concat(F.lit(NOTE), text, F.lit("\n\n")), everything))
     late = (role == "system") & (F.col("pos") > 0) & F.lit(dialect.mid_system == "merge")
-    placed = (
-        t.withColumn("pieces", F.filter(F.when(late, note).otherwise(own), lambda p: p["piece"] != ""))
-        .withColumn("at", F.when(late, F.col("next_user")).otherwise(o))
-        .where(F.col("at").isNotNull())
-    )
+
+    def pieces(current: Column, trains: Column, everything: Column, closes: Column) -> Column:
+        """The pieces of a turn; ``current``: no user turn has followed it."""
+        thinks = reasons if has_reasoning else F.lit(False)
+        shown = thinks & current if (dialect.reasoning == "native" and dialect.drops_history_reasoning) else thinks
+        said = F.when(is_a & shown, F.concat(think_block(F.col("reasoning")), text)).otherwise(text) if has_reasoning else text
+        body = F.when(closes, said).otherwise(rstrip(said) if dialect.strict_alternation else said)
+        body = F.when(is_a & closes, F.concat(body, F.lit(dialect.turn_end))).otherwise(body)
+        joint = F.lit("\n\n") if dialect.strict_alternation else F.lit("")
+        needs_think = is_a & current & ~thinks & opens & F.lit(bool(dialect.empty_think) and dialect.reasoning == "native")
+        own = F.concat(
+            F.array(
+                _piece(0, F.when(opens, lead).otherwise(joint), everything),
+                _piece(2, F.when(needs_think, F.lit(dialect.empty_think or "")).otherwise(F.lit("")), everything),
+            ),
+            _body_pieces(body, trains, everything, dialect.exclude_within_turn),
+            F.array(
+                _piece(_LAST, F.when(closes & ~is_a, F.lit(dialect.turn_end)).otherwise(F.lit("")), everything),
+                _piece(_LAST + 1, F.when(closes, F.lit(dialect.after_turn)).otherwise(F.lit("")), everything),
+            ),
+        )
+        note = F.array(_piece(1, F.concat(F.lit(NOTE), text, F.lit("\n\n")), everything))
+        return F.filter(F.when(late, note).otherwise(own), lambda p: p["piece"] != "")
+
+    current = F.lit(False) if history else (F.col("last_user").isNull() | (o > F.col("last_user")))
+    made = {"pieces": pieces(current, trains, everything, ends), "at": F.when(late, F.col("next_user")).otherwise(o)}
+    if forms:
+        no, yes = F.lit(False), F.lit(True)
+        expands = (F.col("first_reasoned") < F.col("last_assistant")) & ~everything & F.lit(has_reasoning and dialect.reasoning == "native" and dialect.drops_history_reasoning)
+        made |= {"expands": F.coalesce(expands, no), "answers": learned, "user_before": F.col("user_before")}
+        made |= {"then": F.when(expands, pieces(no, no, no, ends)), "now": F.when(expands, pieces(yes, no, no, ends))}
+        made |= {"answer": F.when(expands & learned, pieces(yes, learned, no, yes))}
+    placed = t.withColumns(made).where(F.col("at").isNotNull())
     return placed.select(
         key, order, "at", "pos", "role", "pieces",
         F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("text"),
         F.aggregate(
             "pieces", F.lit(0).cast("long"), lambda a, p: a + F.when(p["trainable"], F.length(p["piece"])).otherwise(F.lit(0))
         ).alias("trainable_chars"),
+        *keep, *(totals or {}), *([c for c in made if c not in ("pieces", "at")] if forms else []),
     )
 
 
+_LAST = 1 << 30  # behind all pieces of a body
+
+
+def _piece(sub: int, body: Column, trainable: Column) -> Column:
+    return F.struct(F.lit(sub).alias("sub"), body.alias("piece"), F.coalesce(trainable, F.lit(False)).alias("trainable"))
+
+
+def _body_pieces(body: Column, trains: Column, everything: Column, excluded: Sequence[tuple[str, str]]) -> Column:
+    """A turn's text, cut at the regions that get no loss; learned whole under ``everything``."""
+    whole = F.array(_piece(3, body, trains))
+    if not excluded:
+        return whole
+    cut = F.transform(
+        exclude_regions(body, excluded),
+        lambda p, i: F.struct((i + 3).alias("sub"), p["piece"].alias("piece"), (p["trainable"] & F.coalesce(trains, F.lit(False))).alias("trainable")),
+    )
+    return F.when(everything, whole).otherwise(cut)
+
+
+def expand_samples(rendered: DataFrame, now: Column, then: Column, answer: Column, max_len: int, overflow: str = "drop", key: str = "seq", order: str = "turn") -> DataFrame:
+    """A sample for each learned answer of conversations that ``expand``: what precedes it, as seen when it was given, and it.
+
+    Dialects that drop earlier reasoning would train only the last answer with its reasoning. So every learned answer of a
+    conversation with reasoning before its last answer becomes a sample of its own, in which nothing else is learned:
+    turns before the last user turn are in their ``then`` form, those after it in their ``now`` form.
+
+    ``rendered`` comes from ``render_turns(forms=True)``; ``now``, ``then`` and ``answer`` are the tokens of a turn's forms. Running
+    totals of both forms give the length of every sample before anything is copied: only answers that fit (``drop``) or begin
+    (``truncate``) within ``max_len`` tokens take their history, so a conversation of any length gives at most ``max_len`` samples
+    of at most ``max_len`` tokens. Returns rows like ``render_turns``, with ``answer_turn`` beside the key.
+    """
+    o = F.col(order)
+    kept = [c for c in rendered.columns if c not in (key, order, "at", "pieces", "now", "then", "answer")]
+    rows = rendered.where("expands").withColumns({"__now": now, "__then": then, "__own": answer})
+    rows = with_running_totals(rows, ["at", order], F.floor(F.col("at") / BLOCK), {"now_before": F.col("__now"), "then_before": F.col("__then")}, [key])
+    users = rows.where("role = 'user'").select(key, F.col(order).alias("user_before"), (F.col("then_before") - F.col("now_before")).alias("saved"))
+    start = F.col("now_before") + F.coalesce("saved", F.lit(0))
+    fits = (start + F.col("__own") <= max_len) if overflow == "drop" else (start < max_len)
+    asked = rows.where("answers").join(users, [key, "user_before"], "left").where(fits)
+    asked = asked.select(key, o.alias("answer_turn"), F.col("user_before").alias("__user"))
+    silent = lambda form: F.transform(form, lambda p: p.withField("trainable", F.lit(False)))
+    seen = rows.where(F.col("then_before") < max_len)  # at most max_len rows of a conversation: a turn has a token at least
+    shown = seen.join(asked, key).where(F.col("at") <= F.col("answer_turn"))
+    form = F.when(o == F.col("answer_turn"), F.col("answer")).when(F.col("at") < F.col("__user"), silent("then")).otherwise(silent("now"))
+    return shown.select(key, "answer_turn", order, "at", form.alias("pieces"), *[c for c in kept if c not in ("text", "trainable_chars", "expands", "answers", "user_before", "role", "pos")])
+
+
 def piece_rows(rendered: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """Pieces in output order: key, at, sub, note order, piece, trainable."""
     return rendered.select(key, "at", F.col(order).alias("from_turn"), F.inline("pieces"))
