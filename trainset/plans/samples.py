@@ -9,12 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trainset.functions.text import rstrip
 from trainset.functions.tokens import special_id, token_count, token_ids
 from trainset.operators import encode as E
-from trainset.operators.render import Dialect, piece_rows, preamble, render_error, render_turns
+from trainset.operators.render import Dialect, expand_samples, piece_rows, preamble, render_error, render_turns
 from trainset.operators.sampling import upsample
 from trainset.operators.traces import content_text, conversation
 from trainset.schema import MESSAGE, TOOL
-
-TRAIN_ON = ("assistant", "last", "all")
+from trainset.session import materialize
 
 
 def build_text_samples(documents: DataFrame, dialect: Dialect, max_len: int, objective: str = "sft", key: str = "seq", seed: int = 42, min_chunk: int = 0, min_tail: int = 0) -> DataFrame:
@@ -47,7 +46,7 @@ def _led(messages: Column, extra: Column) -> Column:
 
 
 def turns_of_records(records: DataFrame, key: str = "seq", alternative: str | None = None) -> DataFrame:
-    """Turns of canonical conversation records: key, turn, role, content, reasoning, tool_calls, train, train_on.
+    """Turns of canonical conversation records: key, turn, role, content, reasoning, tool_calls, train, train_on, repeat.
 
     Tools and documents become text of the leading system turn. With ``alternative`` (``chosen`` or
     ``rejected``) the turns of that answer follow the messages and nothing else is learned; else a
@@ -61,28 +60,68 @@ def turns_of_records(records: DataFrame, key: str = "seq", alternative: str | No
         shown = conversation(messages, F.col("chosen").cast(plain)) if "chosen" in records.columns else messages
     extra = preamble(*(F.col(c) if c in records.columns else F.lit(None).cast(f"array<{t}>") for c, t in _LEAD_TYPES.items()))
     rule = F.coalesce("train_on", F.lit("assistant")) if "train_on" in records.columns and not alternative else F.lit("assistant")
-    rows = records.where("kind = 'trace'").select(key, rule.alias("train_on"), F.posexplode(_led(shown, extra)).alias("turn", "m"))
+    rows = records.where("kind = 'trace'").select(key, rule.alias("train_on"), _times(records).alias("repeat"), F.posexplode(_led(shown, extra)).alias("turn", "m"))
     learned = F.coalesce("m.train", F.lit(True)) & (F.coalesce("m.weight", F.lit(1.0)) > 0)
     return rows.select(
-        key, "turn", "train_on", "m.role", content_text(F.col("m")).alias("content"), "m.reasoning", "m.tool_calls", learned.alias("train")
+        key, "turn", "train_on", "repeat", "m.role", content_text(F.col("m")).alias("content"), "m.reasoning", "m.tool_calls", learned.alias("train")
     )
 
 
 _LEAD_TYPES = {"documents": "struct<text:string,title:string>", "tools": TOOL.simpleString()}
 
 
-def unrenderable(turns: DataFrame, dialect: Dialect, key: str = "seq") -> DataFrame:
-    """(key, reason) of the conversations that a dialect cannot show: the reason of their first such turn."""
+def _fault(turns: DataFrame, dialect: Dialect) -> Column:
+    """Why a dialect cannot show a turn; NULL if it can."""
     silent = F.when((F.col("role") == "user") & (F.trim("content") == ""), F.lit("user turn without text"))
-    reason = F.coalesce(F.when(F.col("role") == "assistant", render_error(dialect, F.col("tool_calls"))), silent)
-    return turns.withColumn("reason", reason).where("reason IS NOT NULL").groupBy(key).agg(F.min_by("reason", "turn").alias("reason"))
+    return F.coalesce(F.when(F.col("role") == "assistant", render_error(dialect, F.col("tool_calls"))), silent)
+
+
+def _rendered(turns: DataFrame, dialect: Dialect, key: str, forms: bool = False) -> DataFrame:
+    """Rendered turns, each conversation under its own ``train_on``, with its ``repeat`` and its first ``fault``."""
+    told = turns.withColumn("__fault", _fault(turns, dialect))
+    first = F.when(F.col("__fault").isNotNull(), F.struct("turn", F.col("__fault").alias("reason")))
+    return render_turns(
+        told, dialect, key, "turn", train_on=F.coalesce(F.col("train_on"), F.lit("assistant")), forms=forms, keep=["repeat"], totals={"fault": ("min", first)}
+    )
 
 
 def render_records(turns: DataFrame, dialect: Dialect, key: str = "seq") -> DataFrame:
-    """Rendered turns of all conversations that can be shown, each under its own ``train_on``."""
-    good = turns.join(unrenderable(turns, dialect, key).select(key), key, "left_anti")
-    made = [render_turns(good.where(F.col("train_on") == v).drop("train_on"), dialect, key, "turn", train_on=v) for v in TRAIN_ON]
-    return reduce(DataFrame.unionByName, made)
+    """Rendered turns of all conversations that can be shown, each under its own ``train_on``, with its ``repeat``."""
+    return _rendered(turns, dialect, key).where("fault IS NULL").drop("fault")
+
+
+def _tokens(form: str) -> Column:
+    return F.coalesce(F.aggregate(form, F.lit(0).cast("long"), lambda a, p: a + token_count(p["piece"])), F.lit(0))
+
+
+def _form_tokens(rendered: DataFrame, tokenizer) -> tuple[DataFrame, list[Column]]:
+    """Tokens of each turn's forms. With a plugged-in tokenizer notes, which go into another turn, count nothing:
+    a bound from below, which the samples themselves are checked against."""
+    names = ["now", "then", "answer"]
+    if tokenizer is None:
+        return rendered, [_tokens(n) for n in names]
+    for n in names:
+        text = F.when((F.col("at") != F.col("turn")) | F.col(n).isNull(), F.lit("")).otherwise(F.array_join(F.transform(n, lambda p: p["piece"]), ""))
+        rendered = _tokenized(rendered, text, tokenizer, f"__ids_{n}").withColumn(f"__n_{n}", F.size(f"__ids_{n}")).drop(f"__ids_{n}")
+    return rendered, [F.col(f"__n_{n}") for n in names]
+
+
+def conversation_rows(turns: DataFrame, dialect: Dialect, max_len: int, overflow: str, key: str, tokenizer=None, expand: bool = True) -> DataFrame:
+    """Rendered turns of every sample to be: ``sample`` (key, answer_turn, repeat), turn, at, pieces.
+
+    Rendered once and written, as samples of one answer each and whole conversations both branch off it.
+    """
+    drops = expand and dialect.drops_history_reasoning and dialect.reasoning == "native"
+    rendered = _rendered(turns, dialect, key, forms=drops).where("fault IS NULL").drop("fault")
+    sample = lambda answer: F.struct(F.col(key).alias("key"), answer.cast("int").alias("answer_turn"), "repeat").alias("sample")
+    columns = ("turn", "at", "pieces")
+    if not drops:
+        return rendered.select(sample(F.lit(None)), *columns)
+    written = materialize(rendered, "rendered")
+    counted, (now, then, answer) = _form_tokens(written.where("expands"), tokenizer)
+    single = expand_samples(counted, now, then, answer, max_len, overflow, key)
+    whole = written.where(~F.col("expands")).select(sample(F.lit(None)), *columns)
+    return whole.unionByName(single.select(sample(F.col("answer_turn")), *columns))
 
 
 def _kind(records: DataFrame, kind: str, key: str, *columns: str) -> DataFrame | None:
@@ -96,13 +135,6 @@ def _times(records: DataFrame) -> Column:
     return F.greatest(F.coalesce(F.col("repeat").cast("int"), F.lit(1)), F.lit(1)) if "repeat" in records.columns else F.lit(1)
 
 
-def _with_repeat(made: DataFrame, records: DataFrame, key: str) -> DataFrame:
-    """Rows made from whole records, with the ``repeat`` of their record."""
-    if "repeat" not in records.columns:
-        return made.withColumn("repeat", F.lit(1))
-    return made.join(records.select(key, _times(records).alias("repeat")), key)
-
-
 def _copied(made: DataFrame, key: str) -> DataFrame:
     """Each sample as often as its record repeats: (key, copy, ...)."""
     columns = [c for c in made.columns if c not in (key, "repeat")]
@@ -152,43 +184,56 @@ def _documents(records: DataFrame, dialect: Dialect, key: str) -> DataFrame:
         made.append(pairs.select(key, "repeat", F.concat("prompt", "completion").alias("text"), F.lit(False).alias("rendered")))
     if "messages" in records.columns:
         turns = turns_of_records(records.withColumn("train_on", F.lit("all")), key)
-        shown = sample_texts(render_records(turns, dialect, key), key).select(key, "text")
-        made.append(_with_repeat(shown, records, key).select(key, "repeat", "text", F.lit(True).alias("rendered")))
-    return reduce(DataFrame.unionByName, made)
+        rendered = render_records(turns, dialect, key).withColumn("sample", F.struct(key, "repeat"))
+        made.append(sample_texts(rendered, "sample").select(f"sample.{key}", "sample.repeat", "text", F.lit(True).alias("rendered")))
+    return reduce(DataFrame.unionByName, made) if made else _nothing(records, key).select(key, F.lit(1).alias("repeat"), F.lit("").alias("text"), F.lit(False).alias("rendered"))
+
+
+def _nothing(records: DataFrame, key: str) -> DataFrame:
+    return records.where(F.lit(False)).select(key)
 
 
 def _pairs(records: DataFrame) -> Column:
     """Preference records: both answers are there."""
+    if not {"chosen", "rejected"} <= set(records.columns):
+        return F.lit(False)
     return F.coalesce((F.col("kind") == "trace") & (F.size("chosen") > 0) & (F.size("rejected") > 0), F.lit(False))
 
 
-def build_samples(records: DataFrame, dialect: Dialect, objective: str, max_len: int, overflow: str = "drop", key: str = "seq", seed: int = 42, tokenizer=None) -> DataFrame:
+def build_samples(records: DataFrame, dialect: Dialect, objective: str, max_len: int, overflow: str = "drop", key: str = "seq", seed: int = 42, tokenizer=None, expand: bool = True) -> DataFrame:
     """Training samples of canonical records, ``repeat`` copies of each; what is left out is counted by ``build_report``.
 
     ``tokenizer`` loads any tokenizer (see ``encode.tokenize_with``), which must read the dialect's markers
     as tokens of their own; the built-in one is for counting and tests. ``key`` is unique.
 
-    - ``sft``: conversations, prompts with completions, chunks of texts: (key, copy, start, input_ids, labels);
-      ``start`` is the chunk's first token in its text, 0 for the others
+    - ``sft``: conversations, prompts with completions, chunks of texts: (key, copy, answer_turn, start, input_ids, labels).
+      A conversation of a dialect that drops earlier reasoning gives a sample for each learned answer, at ``answer_turn``, if there
+      is reasoning before its last answer (``expand=False``: never); ``start`` is a chunk's first token in its text, else 0
     - ``cpt``: texts, prompts joined with completions, conversations rendered whole: packed blocks (block, input_ids)
     - ``dpo``: preference records, (key, copy, chosen_ids, chosen_labels, rejected_ids, rejected_labels)
 
-    Images make no samples of tokens.
+    Images make no samples of tokens; a table of nothing else gives no rows.
     """
-    def encode(rendered: DataFrame) -> DataFrame:
+    def encode(turns: DataFrame, expand: bool) -> DataFrame:
+        rendered = conversation_rows(turns, dialect, max_len, overflow, key, tokenizer, expand)
         if tokenizer is None:
-            return E.encode_sft(rendered, max_len, overflow, key, "turn")
-        return E.encode_sft_with(rendered, tokenizer, max_len, overflow, key, "turn")
+            made = E.encode_sft(rendered, max_len, overflow, "sample", "turn")
+        else:
+            made = E.encode_sft_with(rendered, tokenizer, max_len, overflow, "sample", "turn")
+        return made.select(F.col("sample.key").alias(key), "sample.answer_turn", "sample.repeat", "input_ids", "labels")
 
     if objective == "sft":
-        columns = (key, "copy", "start", "input_ids", "labels")
+        columns = (key, "copy", "answer_turn", "start", "input_ids", "labels")
+        whole = {"answer_turn": F.lit(None).cast("int"), "start": F.lit(0)}
         made = []
         if "messages" in records.columns:
-            made.append(_with_repeat(encode(render_records(turns_of_records(records, key), dialect, key)), records, key).withColumn("start", F.lit(0)))
+            made.append(encode(turns_of_records(records, key), expand).withColumn("start", F.lit(0)))
         if (pairs := _kind(records, "completion", key, "prompt", "completion")) is not None:
-            made.append(_completions(pairs, dialect, max_len, overflow, key, tokenizer).withColumn("start", F.lit(0)))
+            made.append(_completions(pairs, dialect, max_len, overflow, key, tokenizer).withColumns(whole))
         if (texts := _kind(records, "text", key, "text")) is not None:
-            made.append(_text_chunks(texts, dialect, max_len, key, tokenizer))
+            made.append(_text_chunks(texts, dialect, max_len, key, tokenizer).withColumn("answer_turn", whole["answer_turn"]))
+        none = F.array().cast("array<int>")
+        made = made or [_nothing(records, key).withColumns(whole | {"repeat": F.lit(1), "input_ids": none, "labels": none})]
         return reduce(DataFrame.unionByName, [_copied(m, key).select(*columns) for m in made])
     if objective == "cpt":
         rows = _documents(records, dialect, key)
@@ -204,26 +249,36 @@ def build_samples(records: DataFrame, dialect: Dialect, objective: str, max_len:
         rows = upsample(rows, F.col("repeat")).withColumn("sample", F.concat_ws("-", key, "copy"))
         return E.pack(rows, "sample", n, ids, max_len, seed)
     if objective == "dpo":
+        if not {"chosen", "rejected", "messages"} <= set(records.columns):
+            none = F.array().cast("array<int>")
+            return _nothing(records, key).select(key, F.lit(1).alias("copy"), *(none.alias(f"{s}_{c}") for s in ("chosen", "rejected") for c in ("ids", "labels")))
         pairs = records.where(_pairs(records))
         sides = [
-            encode(render_records(turns_of_records(pairs, key, side), dialect, key)).select(
-                key, F.col("input_ids").alias(f"{side}_ids"), F.col("labels").alias(f"{side}_labels")
+            encode(turns_of_records(pairs, key, side), False).select(
+                key, *(["repeat"] if side == "chosen" else []), F.col("input_ids").alias(f"{side}_ids"), F.col("labels").alias(f"{side}_labels")
             )
             for side in ("chosen", "rejected")
         ]
-        return _copied(_with_repeat(sides[0].join(sides[1], key), pairs, key), key)  # a pair needs both
+        return _copied(sides[0].join(sides[1], key), key)  # a pair needs both
     raise ValueError(f"no samples are known for objective {objective!r}")
 
 
-def _judged(turns: DataFrame, dialect: Dialect, max_len: int, overflow: str, key: str) -> DataFrame:
-    """(key, outcome, reason) of conversations."""
-    failed = unrenderable(turns, dialect, key).select(key, F.lit("unrenderable").alias("outcome"), "reason")
-    rendered = render_records(turns, dialect, key)
-    judged = E.sample_outcomes(E.turn_token_counts(rendered, key), max_len, overflow, key).select(key, "outcome")
+def _judged(turns: DataFrame, dialect: Dialect, max_len: int, overflow: str, key: str, expand: bool = False) -> DataFrame:
+    """(key, outcome, reason) of conversations; one that gives a sample for each answer is a sample if any of them is."""
+    failed = _rendered(turns, dialect, key).where("fault IS NOT NULL").groupBy(key).agg(F.first("fault.reason").alias("reason"))
+    rows = conversation_rows(turns, dialect, max_len, overflow, key, expand=expand)
     if overflow == "truncate":  # what is learned may lie behind the cut
-        made = E.encode_sft(rendered, max_len, overflow, key, "turn").select(key, F.lit("sample").alias("made"))
-        judged = judged.join(made, key, "left").select(key, F.coalesce("made", F.lit("skipped_untrainable")).alias("outcome"))
-    return judged.withColumn("reason", F.lit(None).cast("string")).unionByName(failed)
+        made = E.encode_sft(rows, max_len, overflow, "sample", "turn")
+    else:
+        made = E.sample_outcomes(E.turn_token_counts(rows, "sample"), max_len, overflow, "sample").where("outcome = 'sample'")
+    made = made.select(F.col("sample.key").alias(key)).distinct().withColumn("outcome", F.lit("sample"))
+    # Of the others: too long, if anything could be learned
+    learned = F.max(F.coalesce(F.col("role") == "assistant", F.lit(False)) & F.coalesce("train", F.lit(True)) | (F.col("train_on") == "all")).alias("learned")
+    every = turns.groupBy(key).agg(learned)
+    rest = F.when(F.col("learned") & F.lit(overflow == "drop"), F.lit("skipped_long")).otherwise(F.lit("skipped_untrainable"))
+    told = every.join(failed, key, "left").join(made, key, "left")
+    outcome = F.when(F.col("reason").isNotNull(), F.lit("unrenderable")).otherwise(F.coalesce("outcome", rest))
+    return told.select(key, outcome.alias("outcome"), "reason")
 
 
 def build_report(records: DataFrame, dialect: Dialect, max_len: int, overflow: str = "drop", key: str = "seq", objective: str = "sft") -> DataFrame:
@@ -245,19 +300,20 @@ def build_report(records: DataFrame, dialect: Dialect, max_len: int, overflow: s
         untrained = (c == 0) | (p >= max_len) if overflow == "truncate" else c == 0
         long_one = (p + c > max_len) & F.lit(overflow == "drop")
         own = own.when(kind == "completion", F.when(long_one, F.lit("skipped_long")).when(untrained, F.lit("skipped_untrainable")).otherwise(F.lit("sample")))
-        judged = _judged(turns_of_records(records, key), dialect, max_len, overflow, key) if turns else None
+        judged = _judged(turns_of_records(records, key), dialect, max_len, overflow, key, True) if turns else None
     elif objective == "cpt":
         own = own.when(kind == "completion", some(p + c))
         if turns:
             seen = turns_of_records(records.withColumn("train_on", F.lit("all")), key)
-            failed = unrenderable(seen, dialect, key).withColumn("outcome", F.lit("unrenderable"))
-            judged = seen.select(key).distinct().join(failed, key, "left").withColumn("outcome", F.coalesce("outcome", F.lit("sample")))
+            fault = F.min(F.when(F.col("__f").isNotNull(), F.struct("turn", F.col("__f").alias("reason")))).alias("f")
+            judged = seen.withColumn("__f", _fault(seen, dialect)).groupBy(key).agg(fault).select(key, F.col("f.reason").alias("reason"))
+            judged = judged.withColumn("outcome", F.when(F.col("reason").isNotNull(), F.lit("unrenderable")).otherwise(F.lit("sample")))
     else:
         pairs = records.where(_pairs(records))
         own = F.when(~_pairs(records), F.lit("not_preference"))
-        sides = [_judged(turns_of_records(pairs, key, side), dialect, max_len, overflow, key) for side in ("chosen", "rejected")]
+        sides = [_judged(turns_of_records(pairs, key, side), dialect, max_len, overflow, key) for side in ("chosen", "rejected") if {side, "messages"} <= set(records.columns)]
         worst = F.struct(F.array_position(F.array(*map(F.lit, ("unrenderable", "skipped_long", "skipped_untrainable", "sample"))), F.col("outcome")).alias("rank"), "outcome", "reason")
-        judged = sides[0].unionByName(sides[1]).groupBy(key).agg(F.min(worst).alias("w")).select(key, "w.outcome", "w.reason")
+        judged = reduce(DataFrame.unionByName, sides).groupBy(key).agg(F.min(worst).alias("w")).select(key, "w.outcome", "w.reason") if sides else None
     rest = F.when(kind == "trace", F.lit("skipped_untrainable")).otherwise(F.lit("unrenderable"))  # a trace without turns, or no tokens at all
     why = F.when(own.isNull() & ~F.coalesce(kind == "trace", F.lit(False)), F.concat(F.coalesce(kind, F.lit("unknown")), F.lit(" records make no samples of tokens")))
     rows = records.select(key, _times(records).alias("repeat"), own.alias("own"), rest.alias("rest"), why.alias("why"))
