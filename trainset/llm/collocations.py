@@ -11,7 +11,7 @@ passage that a third of the documents share is counted in one row.
 Only phrases seen ``least`` times matter, and so do their parts. So the dictionary is read once a length: words
 first, then by 64-bit hash the phrases whose two shorter parts may be frequent. Which may be is told by a bitmap of
 ``BITS`` bits over hashes; a false hit costs time only. The last reading counts the phrases that are left by
-their words, so that no collision of hashes touches a result.
+their words. Inside a batch words and phrases are told apart by 64-bit hashes, between batches by themselves.
 
 Scores are exact: products are 38-digit decimals, right up to 10 ** 16 occurrences.
 
@@ -41,6 +41,7 @@ TOP = 2000
 EVERY = 32  # one token in so many starts a chunk
 BITS = 1 << 27
 PENDING = 1 << 20  # distinct counts a task holds before it passes them on
+PARTS = 64  # of a language's phrases, ranked apart first
 
 _BREAKS = re.compile(rb"[.,;:!?\x0a-\x0d]+")
 _GAP = re.compile(rb"[.,;:!?\x0a-\x0d\x20\x09]")
@@ -109,16 +110,48 @@ def dictionary(docs: DataFrame, text: str, lang: str, longest: int) -> DataFrame
 # ---------------------------------------------------------------- phrases of the dictionary
 
 
-def _windows(batch: pa.RecordBatch, hashes: Hashes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of a batch's chunks; their hashes in one run with a break between chunks; where a phrase may
-    start; the chunk's frequency at each place."""
-    lists = [c.split(b" ") for c in batch.column(1).to_pylist()]
-    flat = [t for tokens in lists for t in (*tokens, BREAK)]
-    sizes = np.fromiter((len(t) + 1 for t in lists), np.int64, len(lists))
-    h = hashes.of(flat)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    own = place < np.repeat(batch.column(2).to_numpy(), sizes)
-    return flat, h, own & (h != 0), np.repeat(batch.column(3).to_numpy(), sizes)
+class Phrases:
+    """The phrases of a batch of chunks, by length.
+
+    ``tokens`` is one run with a break between chunks; ``weight`` and ``lang`` tell each place's frequency and language.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, hashes: Hashes) -> None:
+        from xxhash import xxh64_intdigest
+
+        lists = [c.split(b" ") for c in batch.column(1).to_pylist()]
+        self.tokens = [t for tokens in lists for t in (*tokens, BREAK)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) + 1
+        names = batch.column(0).to_pylist()
+        self.langs = sorted(set(names))
+        code = {x: i for i, x in enumerate(self.langs)}
+        self.lang = np.repeat(np.fromiter(map(code.__getitem__, names), np.int64, len(names)), sizes)
+        self.weight = np.repeat(batch.column(3).to_numpy(), sizes)
+        self.h = hashes.of(self.tokens)
+        starts = np.cumsum(sizes) - sizes
+        own = np.arange(len(self.h)) < np.repeat(starts + batch.column(2).to_numpy(), sizes)
+        self.starts = own & (self.h != 0)
+        # A language has hashes of its own: the first word's hash is mixed with it.
+        seeds = np.array([xxh64_intdigest(x.encode(), 1) for x in self.langs], np.uint64)
+        self.one = np.where(self.h != 0, self.h ^ seeds[self.lang], np.uint64(0))
+
+    def of_length(self, longest: int, maps: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length the hash at each place and the places of phrases that may be frequent.
+
+        ``maps`` are the bitmaps of the frequent phrases of one word, two words, and so on; a phrase may be
+        frequent if its two shorter parts may be, and if it is in its own map, where there is one.
+        """
+        level, may = self.one, self.h != 0
+        for k in range(1, longest + 1):
+            if k > 1:
+                longer = np.zeros(len(level), np.uint64)
+                longer[: len(level) - k + 1] = joined(level[: len(level) - k + 1], self.h[k - 1 :])
+                level, may = longer, np.append(may[:-1] & may[1:], False)
+            if k <= len(maps):
+                some = np.flatnonzero(may)
+                may = np.zeros(len(may), bool)
+                may[some[_may_be(maps[k - 1], level[some])]] = True
+            yield k, level, np.flatnonzero(may & self.starts)
 
 
 def _bit(h: np.ndarray) -> np.ndarray:
@@ -130,35 +163,6 @@ def _may_be(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _language(h: np.ndarray, langs: list[str], sizes: np.ndarray) -> np.ndarray:
-    from xxhash import xxh64_intdigest
-
-    own = {x: xxh64_intdigest(x.encode(), 1) for x in set(langs)}
-    return h ^ np.repeat(np.fromiter((own[x] for x in langs), np.uint64, len(langs)), sizes)
-
-
-def phrase_hashes(batch: pa.RecordBatch, hashes: Hashes, words: int, maps: list[np.ndarray]):
-    """Tokens, hash, start and weight of the phrases of so many words whose shorter parts may be frequent.
-
-    ``maps`` are the bitmaps of the frequent phrases of one word, two words, and so on.
-    """
-    flat, h, ok, weight = _windows(batch, hashes)
-    # A language has hashes of its own: the first word's hash is mixed with it.
-    sizes = np.fromiter((c.as_py().count(b" ") + 2 for c in batch.column(1)), np.int64, batch.num_rows)
-    seeded = _language(h, batch.column(0).to_pylist(), sizes)
-    one = np.where(h != 0, seeded, np.uint64(0))
-    level, may = one, (h != 0) & (_may_be(maps[0], one) if maps else True)
-    for k in range(2, words + 1):
-        longer = np.zeros(len(h), np.uint64)
-        longer[: len(h) - k + 1] = joined(level[: len(h) - k + 1], h[k - 1 :])
-        both = np.zeros(len(h), bool)
-        both[: len(h) - 1] = may[:-1] & may[1:]
-        level, may = longer, both
-        if k <= len(maps):
-            may &= _may_be(maps[k - 1], level)
-    return flat, level, np.flatnonzero(ok & may), weight
-
-
 def frequent(chunks: DataFrame, words: int, maps: list[np.ndarray], least: int) -> DataFrame:
     """(h): hashes of phrases of so many words, counted ``least`` times or more."""
 
@@ -166,10 +170,11 @@ def frequent(chunks: DataFrame, words: int, maps: list[np.ndarray], least: int)
         hashes, held, size = Hashes(_FIXED), [], 0
         for batch in batches:
             for piece in _pieces(batch):
-                _, h, at, weight = phrase_hashes(piece, hashes, words, maps)
-                held.append((h[at], weight[at]))
+                found = Phrases(piece, hashes)
+                *_, (_, h, at) = found.of_length(words, maps)
+                held.append((h[at], found.weight[at]))
                 size += len(at)
-                if size >= 4 * PENDING:
+                if size >= 8 * PENDING:
                     yield _sums(held)
                     held, size = [], 0
         if held:
@@ -179,15 +184,21 @@ def frequent(chunks: DataFrame, words: int, maps: list[np.ndarray], least: int)
     return rows.where(F.col("n") >= least).select("h")
 
 
-def _pieces(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def _pieces(batch: pa.RecordBatch, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
     for first in range(0, batch.num_rows, rows):
         yield batch.slice(first, rows)
 
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, where each comes first, and the sums of ``n``."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return ranked[first], order[first], np.add.reduceat(n[order], first) if len(first) else np.zeros(0, np.int64)
+
+
 def _sums(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    keys, inverse = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-    sums = np.zeros(len(keys), np.int64)
-    np.add.at(sums, inverse, np.concatenate([n for _, n in held]))
+    keys, _, sums = _summed(np.concatenate([h for h, _ in held]), np.concatenate([n for _, n in held]))
     return pa.RecordBatch.from_pydict({"h": pa.array(keys.view(np.int64), pa.int64()), "n": pa.array(sums, pa.int64())})
 
 
@@ -202,41 +213,43 @@ def bitmap(hashed: DataFrame) -> np.ndarray:
 
 
 def word_hashes(words: DataFrame) -> DataFrame:
-    """(h): hashes of words of languages as ``phrase_hashes`` has them."""
+    """(h): hashes of words of languages as ``Phrases`` has them."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         hashes = Hashes(_FIXED)
         for batch in batches:
-            h = hashes.of([w.encode() for w in batch.column(1).to_pylist()])
-            h = _language(h, batch.column(0).to_pylist(), np.ones(batch.num_rows, np.int64))
+            seeds = np.fromiter((xxh64_intdigest(x.encode(), 1) for x in batch.column(0).to_pylist()), np.uint64, batch.num_rows)
+            h = hashes.of([w.encode() for w in batch.column(1).to_pylist()]) ^ seeds
             yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64), pa.int64())})
 
     return words.select("lang", "phrase").mapInArrow(add, "h long")
 
 
-def count_phrases(chunks: DataFrame, lengths: tuple[int, ...], maps: list[np.ndarray], least: int) -> DataFrame:
-    """(lang, phrase, f) of the phrases of some lengths seen ``least`` times, counted by their words."""
+def count_phrases(chunks: DataFrame, lengths: tuple[int, ...], maps: list[np.ndarray]) -> DataFrame:
+    """(lang, phrase, f) of the phrases of some lengths that may be frequent, counted by their words.
+
+    A batch's occurrences are put together by 64-bit hash, batches by the words themselves.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(_FIXED), Counter()
+        hashes = Hashes(_FIXED)
         for batch in batches:
             for piece in _pieces(batch):
-                langs = piece.column(0).to_pylist()
-                sizes = np.fromiter((c.as_py().count(b" ") + 2 for c in piece.column(1)), np.int64, len(langs))
-                which = np.repeat(np.arange(len(langs)), sizes)
-                for k in lengths:
-                    flat, _, at, weight = phrase_hashes(piece, hashes, k, maps)
-                    for i, row, n in zip(at.tolist(), which[at].tolist(), weight[at].tolist()):
-                        seen[langs[row], b" ".join(flat[i : i + k])] += n
-                if len(seen) >= PENDING // 4:
-                    yield _phrases(seen)
-                    seen = Counter()
-        yield _phrases(seen)
-
-    def _phrases(seen: Counter) -> pa.RecordBatch:
-        kinds = {"lang": pa.string(), "phrase": pa.binary()}
-        columns = {name: pa.array([k[i] for k in seen], kind) for i, (name, kind) in enumerate(kinds.items())}
-        return pa.RecordBatch.from_pydict(columns | {"f": pa.array(list(seen.values()), pa.int64())})
+                found = Phrases(piece, hashes)
+                for k, h, at in found.of_length(max(lengths), maps):
+                    if k in lengths:
+                        _, first, sums = _summed(h[at], found.weight[at])
+                        places = at[first]
+                        tokens, langs = found.tokens, found.langs
+                        yield pa.RecordBatch.from_pydict(
+                            {
+                                "lang": pa.array([langs[i] for i in found.lang[places].tolist()], pa.string()),
+                                "phrase": pa.array([b" ".join(tokens[i : i + k]) for i in places.tolist()], pa.binary()),
+                                "f": pa.array(sums, pa.int64()),
+                            }
+                        )
 
     rows = chunks.mapInArrow(count, "lang string, phrase binary, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return rows.select("lang", F.decode("phrase", "UTF-8").alias("phrase"), "f")
@@ -254,12 +267,12 @@ def collocations(
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of 2 to ``longest`` words of each language."""
     chunks = materialize(dictionary(docs, text, lang, longest), "phrases-dictionary")
-    words = materialize(count_phrases(chunks, (1,), [], least), "phrases-words")
+    words = materialize(count_phrases(chunks, (1,), []), "phrases-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     maps = [bitmap(word_hashes(words.where(F.col("f") >= least)))]
     for k in range(2, longest + 1):
         maps.append(bitmap(frequent(chunks, k, list(maps), least)))
-    phrases = materialize(count_phrases(chunks, tuple(range(2, longest + 1)), maps, least).where(F.col("f") >= least), "phrases-counted")
+    phrases = materialize(count_phrases(chunks, tuple(range(2, longest + 1)), maps).where(F.col("f") >= least), "phrases-counted")
     counts = words.where(F.col("f") >= least).unionByName(phrases)
 
     # Every cut of a phrase into a first part and the rest
@@ -280,8 +293,12 @@ def collocations(
     inner = inner.select("lang", "longer", F.explode(spans).alias("phrase")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     free = scored.join(inner, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * inside))
 
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = free.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    # The first of each part, then the first of these: no task ranks more than PARTS times ``top`` phrases of a language.
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    parted = free.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    parted = parted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("rank") <= top)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")
+    ranked = parted.withColumn("rank", rank).where(F.col("rank") <= top)
     return ranked.join(F.broadcast(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

@@ -13,23 +13,25 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))  # A-Z only
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+class _Known(dict):
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        self[word] = value = xxh64_intdigest(word) or 1
+        return value
+
+
 class Hashes:
     """Hashes of words, remembered; ``fixed`` words have given hashes, no other hash is 0."""
 
     def __init__(self, fixed: dict[bytes, int] | None = None) -> None:
         self.fixed = fixed or {}
-        self.known = dict(self.fixed)
+        self.known = _Known(self.fixed)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        from xxhash import xxh64_intdigest
-
         if len(self.known) > KNOWN:
-            self.known = dict(self.fixed)
-        known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = xxh64_intdigest(w) or 1
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            self.known = _Known(self.fixed)
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
