@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trainset.llm.common import materialize
@@ -43,9 +44,9 @@ BITS = 1 << 27
 PENDING = 1 << 20  # distinct counts a task holds before it passes them on
 PARTS = 64  # of a language's phrases, ranked apart first
 
-_BREAKS = re.compile(rb"[.,;:!?\x0a-\x0d]+")
 _GAP = re.compile(rb"[.,;:!?\x0a-\x0d\x20\x09]")
 BREAK = b"."
+_MARKED = bytes(ord(BREAK) if c in b".,;:!?\x0a\x0b\x0c\x0d" else LOWER[c] for c in range(256))
 _FIXED = {BREAK: 0}
 
 
@@ -54,8 +55,8 @@ _FIXED = {BREAK: 0}
 
 def tokens_of(text: bytes) -> Iterator[list[bytes]]:
     """Words and breaks of a text, a segment of it at a time."""
-    for segment in segments(text.translate(LOWER), _GAP):
-        yield _BREAKS.sub(b" . ", segment).split()
+    for segment in segments(text.translate(_MARKED), _GAP):
+        yield segment.replace(b"..", b".").replace(b".", b" . ").split()
 
 
 def parse(text: bytes, hashes: Hashes, overlap: int) -> Iterator[tuple[bytes, int]]:
@@ -113,21 +114,23 @@ def dictionary(docs: DataFrame, text: str, lang: str, longest: int) -> DataFrame
 class Phrases:
     """The phrases of a batch of chunks, by length.
 
-    ``tokens`` is one run with a break between chunks; ``weight`` and ``lang`` tell each place's frequency and language.
+    The tokens are one run, ``words`` by ``code``, with a break between chunks; ``weight`` and ``lang`` tell each
+    place's frequency and language.
     """
 
     def __init__(self, batch: pa.RecordBatch, hashes: Hashes) -> None:
         from xxhash import xxh64_intdigest
 
-        lists = [c.split(b" ") for c in batch.column(1).to_pylist()]
-        self.tokens = [t for tokens in lists for t in (*tokens, BREAK)]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) + 1
+        lists = pc.split_pattern(pc.binary_join_element_wise(batch.column(1).cast(pa.string()), BREAK.decode(), " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        self.words, self.code = coded.dictionary, coded.indices.to_numpy()
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
         names = batch.column(0).to_pylist()
         self.langs = sorted(set(names))
-        code = {x: i for i, x in enumerate(self.langs)}
-        self.lang = np.repeat(np.fromiter(map(code.__getitem__, names), np.int64, len(names)), sizes)
+        number = {x: i for i, x in enumerate(self.langs)}
+        self.lang = np.repeat(np.fromiter(map(number.__getitem__, names), np.int64, len(names)), sizes)
         self.weight = np.repeat(batch.column(3).to_numpy(), sizes)
-        self.h = hashes.of(self.tokens)
+        self.h = hashes.of(self.words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())[self.code]
         starts = np.cumsum(sizes) - sizes
         own = np.arange(len(self.h)) < np.repeat(starts + batch.column(2).to_numpy(), sizes)
         self.starts = own & (self.h != 0)
@@ -242,17 +245,12 @@ def count_phrases(chunks: DataFrame, lengths: tuple[int, ...], maps: list[np.nda
                     if k in lengths:
                         _, first, sums = _summed(h[at], found.weight[at])
                         places = at[first]
-                        tokens, langs = found.tokens, found.langs
-                        yield pa.RecordBatch.from_pydict(
-                            {
-                                "lang": pa.array([langs[i] for i in found.lang[places].tolist()], pa.string()),
-                                "phrase": pa.array([b" ".join(tokens[i : i + k]) for i in places.tolist()], pa.binary()),
-                                "f": pa.array(sums, pa.int64()),
-                            }
-                        )
-
-    rows = chunks.mapInArrow(count, "lang string, phrase binary, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return rows.select("lang", F.decode("phrase", "UTF-8").alias("phrase"), "f")
+                        words = [found.words.take(pa.array(found.code[places + i])) for i in range(k)]
+                        langs = pa.array(found.langs, pa.string()).take(pa.array(found.lang[places]))
+                        phrase = pc.binary_join_element_wise(*words, " ") if k > 1 else words[0]
+                        yield pa.RecordBatch.from_arrays([langs, phrase, pa.array(sums, pa.int64())], names=["lang", "phrase", "f"])
+
+    return chunks.mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 # ---------------------------------------------------------------- scores
