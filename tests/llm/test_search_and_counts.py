@@ -234,3 +234,28 @@ def test_hot_keys_join_like_any_other(spark):
     facts = spark.range(9).select(F.col("id").alias("k"), (F.col("id") * 10).alias("x"))
     for least in (1, 80, 10_000):
         assert rows_of(hotkeys.join_hot(rows, facts, ["k"], least=least)) == rows_of(rows.join(facts, "k"))
+
+
+# ---------------------------------------------------------------- nearest neighbours and shards: odd rows
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1.0])
+def test_nearest_of_doubles_of_any_size(spark, size):
+    from trainset.llm import ann
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 6))
+    df = spark.createDataFrame([(i, (v * size).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.nearest(df, leaf_rows=60, recall=1.0).collect()}
+    for q in (0, 50):
+        order = sorted(((-float(unit[q] @ unit[i]), i) for i in range(60) if i != q))[:5]
+        assert [found[q, k + 1][0] for k in range(5)] == [i for _, i in order]
+        assert all(abs(found[q, k + 1][1] + s) < 1e-12 for k, (s, _) in enumerate(order))
+
+
+def test_shard_columns_of_any_case_give_way(spark):
+    from trainset.llm import shards
+
+    df = spark.createDataFrame([(1, "a", "mine", "mine")], "doc_id long, text string, Shard string, GROWN_SHARD string")
+    assert shards.with_shard(df, grown=True).columns == ["doc_id", "text", "shard", "grown_shard"]

@@ -14,7 +14,8 @@ blocks of bounded size; each block returns its best per query.
 Nearness is the cosine in double precision of the vectors as given. Defined results: a null id, and
 vectors that are null, empty, zero, hold null or non-finite components, or have another length than
 most, take no part. Rows equal in id and vector count once; rows with the query's id are its own and no
-candidates. Ties go to the lesser id. Fewer candidates than ``k``: all. Other columns are not read.
+candidates. Rows of one id with different vectors are queries of their own, whose results stand side by side under that id,
+and candidates of their own. Ties go to the lesser id. Fewer candidates than ``k``: all. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +44,13 @@ INDEX_BLOCK, QUERY_BLOCK = 4096, 2048
 SEED = 5
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """The rows times powers of two, which changes no digit, so that no square of their components leaves the doubles."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -158,6 +165,7 @@ def distinct_vectors(rows: DataFrame, ids: int) -> DataFrame:
 
 def _best(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: list[list[int]], k: int) -> list[list[tuple[int, int, float]]]:
     """For each query its ``k`` best (position, id, cosine) among ``vectors``, ties to the lesser id."""
+    queries, vectors = _scaled(queries), _scaled(vectors)
     sizes = np.linalg.norm(vectors, axis=1)
     out = []
     near = (queries @ vectors.T) / sizes

@@ -134,13 +134,13 @@ def with_shard(
 ) -> DataFrame:
     """All columns and ``shard``; with ``grown`` also ``grown_shard``, the shard after one more is added.
 
-    Columns of these names in the input give way to the new ones.
+    Columns of these names in the input, in upper or lower case, give way to the new ones.
     """
     tree = tree or default_tree(shards)
     made = {"shard": shard_of(F.col(key), tree)}
     if grown:
         made["grown_shard"] = shard_of(F.col(key), _grown(tree, shards))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in made]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
     return docs.select(*kept, *(c.alias(name) for name, c in made.items()))
 
 
