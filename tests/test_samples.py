@@ -110,3 +110,51 @@ def test_any_tokenizer_takes_every_kind(mixed):
     blocks = build_samples(mixed.where("seq < 6"), render.CHATML, "cpt", 64, tokenizer=load).collect()
     texts = [SHOWN] * 3 + ["one two " * 40] * 2 + ["a b c"] * 2 + ["w " * 300 + "d"]
     assert sorted(t for b in blocks for t in b["input_ids"]) == sorted(t for x in texts for t in words([x + END])[0][0])
+
+
+THOUGHT = "<think>\nr{0}\n</think>\n\n"
+
+
+def turn(role, text):
+    body = text if role != "assistant" else text
+    return f"<|im_start|>{role}\n{body}<|im_end|>\n"
+
+
+def reasoned(spark, rows):
+    return spark.createDataFrame(rows, f"seq long, kind string, messages {FIELDS}, repeat int, train_on string")
+
+
+def think(text, reasoning, train=None):
+    return tuple({"role": "assistant", "content": text, "reasoning": reasoning, "train": train}.get(f.name) for f in MESSAGE.fields)
+
+
+def test_each_reasoned_answer_is_a_sample(spark):
+    """History without earlier reasoning, but with that of the same turn; nothing but the answer is learned."""
+    talk = [say("user", "q1"), think("a1", "r1"), say("user", "q2"), think("a2", "r2"), think("a3", "r3"), think("a4", "r4", False), say("user", "q3"), think("a5", None)]
+    rows = [(1, "trace", talk, 2, None), (2, "trace", talk, 1, "all"), (3, "trace", talk[2:4], 1, None), (4, "trace", talk, 1, "last")]
+    made = build_samples(reasoned(spark, rows), render.CHATML, "sft", 400).collect()
+    got = {(r["seq"], r["copy"], r["answer_turn"]): (r["input_ids"], [t for t in r["labels"] if t != -100]) for r in made}
+    assert set(got) == {(1, c, a) for c in (1, 2) for a in (1, 3, 4, 7)} | {(2, 1, None), (3, 1, None)} | {(4, 1, a) for a in (1, 3, 4, 7)}
+    t1, t2, t3 = (THOUGHT.format(i) for i in (1, 2, 3))
+    history = turn("user", "q1") + turn("assistant", "a1") + turn("user", "q2")
+    assert got[1, 2, 1] == (ids(turn("user", "q1") + turn("assistant", t1 + "a1")), ids(t1 + "a1<|im_end|>"))
+    assert got[1, 1, 4] == (ids(history + turn("assistant", t2 + "a2") + turn("assistant", t3 + "a3")), ids(t3 + "a3<|im_end|>"))
+    empty = "<think>\n\n</think>\n\n"
+    whole = history + turn("assistant", "a2") + turn("assistant", "a3") + turn("assistant", "a4") + turn("user", "q3") + turn("assistant", empty + "a5")
+    assert got[1, 1, 7] == got[4, 1, 7] == (ids(whole), ids("a5<|im_end|>"))
+    assert {(r["seq"], r["answer_turn"]) for r in build_samples(reasoned(spark, rows[:1]), render.CHATML, "sft", 400, expand=False).collect()} == {(1, None)}
+
+
+def test_samples_of_answers_end_where_they_no_longer_fit(spark):
+    talk = [m for i in range(300) for m in (say("user", f"q {i}"), think(f"a {i}", f"r {i}"))]
+    df = reasoned(spark, [(1, "trace", talk, 1, None)])
+    for load in (None, loader()):
+        made = build_samples(df, render.CHATML, "sft", 200, tokenizer=load).collect()
+        turns = sorted(r["answer_turn"] for r in made)
+        assert turns == list(range(1, 2 * len(turns), 2)) and 3 < len(turns) < 30 and max(len(r["input_ids"]) for r in made) <= 200
+
+
+def test_images_alone_make_no_samples(spark):
+    df = spark.createDataFrame([(1, "image")], "seq long, kind string")
+    for objective in ("sft", "cpt", "dpo"):
+        assert build_samples(df, render.CHATML, objective, 50).collect() == []

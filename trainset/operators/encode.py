@@ -110,20 +110,21 @@ def encode_sft(rendered: DataFrame, max_len: int, overflow: str = "drop", key: s
 
 def encode_sft_with(
     rendered: DataFrame, load: Callable[[], Callable[[list[str]], list[tuple[list[int], list[int], list[int]]]]], max_len: int,
-    overflow: str = "drop", key: str = "conv_id", order: str = "turn", max_token_chars: int = 128,
+    overflow: str = "drop", key: str = "conv_id", order: str = "turn", max_token_chars: int | None = None,
 ) -> DataFrame:
     """Samples ``(key, input_ids, labels)`` with any tokenizer (see ``tokenize_with``).
 
     A conversation becomes one text with its trainable spans; a token is learned if it starts in one.
-    ``max_token_chars`` is the longest token of the vocabulary: a text of more than ``max_len`` times
-    as many characters cannot fit, so ``drop`` leaves it out, and ``truncate`` cuts it there, before it
-    is put together.
+    ``max_token_chars`` is the longest token of the vocabulary, if it is known to have one: a text of more than
+    ``max_len`` times as many characters cannot fit, so ``drop`` leaves it out, and ``truncate`` cuts it there, before it
+    is put together. By default a conversation is put together whole, as long as its record is.
     """
-    most = max_len * max_token_chars
     rows = piece_rows(rendered, key, order).withColumn("n", F.length("piece"))
     rows = with_running_total(rows, ["at", "sub", "from_turn"], F.floor(F.col("at") / BLOCK), "start", F.col("n"), [key], total="chars")
-    rows = rows.where(F.col("chars") <= most) if overflow == "drop" else rows.where(F.col("start") < most)
-    part = F.array_sort(F.collect_list(F.struct("start", "n", "trainable", "piece")))  # at most about ``most`` characters
+    if max_token_chars is not None:
+        most = max_len * max_token_chars
+        rows = rows.where(F.col("chars") <= most) if overflow == "drop" else rows.where(F.col("start") < most)
+    part = F.array_sort(F.collect_list(F.struct("start", "n", "trainable", "piece")))
     texts = rows.groupBy(key).agg(part.alias("p")).select(
         key, F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"),
         F.transform(F.filter("p", lambda x: x["trainable"]), lambda x: F.struct(x["start"].alias("a"), (x["start"] + x["n"]).alias("b"))).alias("spans"),

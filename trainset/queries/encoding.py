@@ -284,3 +284,73 @@ def record_preferences(spark, sf_dir):
         "seq", E.trainable_tokens(F.col("chosen_labels")).alias("chosen_learned"), E.trainable_tokens(F.col("rejected_labels")).alias("rejected_learned"),
         long(F.size("chosen_ids") - F.size("rejected_ids")).alias("longer"),
     )
+
+
+_MIXED = f"""WITH d AS (SELECT *, 1 + doc_id % 2 AS copies, {n_tokens('text')} + 1 AS n, {n_tokens('left(text, 60)')} AS p, {n_tokens('substr(text, 61)')} + 1 AS c,
+    '<|im_start|>user' || chr(10) || lang || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10)
+      || text || '<|im_end|>' || chr(10) AS shown FROM documents),
+  s AS (SELECT doc_id AS seq, copies, start, least(512, n - start) AS tokens, least(512, n - start) AS trainable_tokens FROM (SELECT *, unnest(range(0, n, 512)) AS start FROM d WHERE doc_id % 3 = 0)
+    UNION ALL SELECT doc_id, copies, 0, p + c, c FROM d WHERE doc_id % 3 = 1 AND p + c <= 512
+    UNION ALL SELECT doc_id, copies, 0, {n_tokens('shown')}, {n_tokens("(text || '<|im_end|>')")} FROM d WHERE doc_id % 3 = 2 AND {n_tokens('shown')} <= 512)
+"""
+
+
+def _mixed_records(spark, sf_dir):
+    """Every document as a record: a text, a prompt with its completion, or a conversation; every other one twice."""
+    from trainset.schema import MESSAGE
+
+    kind = F.pmod("doc_id", F.lit(3))
+    said = lambda role, c: F.struct(*[{"role": F.lit(role), "content": c}.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in MESSAGE.fields])
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("seq"), F.when(kind == 0, F.lit("text")).when(kind == 1, F.lit("completion")).otherwise(F.lit("trace")).alias("kind"),
+        F.when(kind == 0, F.col("text")).alias("text"), F.when(kind == 1, F.substring("text", 1, 60)).alias("prompt"), F.when(kind == 1, F.expr("substring(text, 61)")).alias("completion"),
+        F.when(kind == 2, F.array(said("user", F.col("lang")), said("assistant", F.col("text")))).alias("messages"),
+        (F.pmod("doc_id", F.lit(2)) + 1).cast("int").alias("repeat"),
+    )
+
+
+@query(
+    "mixed_record_samples",
+    _MIXED + "SELECT seq, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS copy, CAST(start AS INTEGER) AS start, CAST(tokens AS BIGINT) AS tokens, CAST(trainable_tokens AS BIGINT) AS trainable_tokens FROM s",
+)
+def mixed_record_samples(spark, sf_dir):
+    """Samples of records of three kinds, made of whole documents, in as many copies as each asks for."""
+    made = PS.build_samples(_mixed_records(spark, sf_dir), R.CHATML, "sft", 512)
+    return made.select("seq", "copy", "start", long(F.size("input_ids")).alias("tokens"), E.trainable_tokens(F.col("labels")).alias("trainable_tokens"))
+
+
+@query(
+    "mixed_record_outcomes",
+    _MIXED + """SELECT CASE WHEN seq IS NULL THEN 'skipped_long' ELSE 'sample' END AS outcome, CAST(NULL AS VARCHAR) AS reason, CAST(sum(d.copies) AS BIGINT) AS n
+    FROM d LEFT JOIN (SELECT DISTINCT seq FROM s) ON seq = doc_id GROUP BY ALL""",
+)
+def mixed_record_outcomes(spark, sf_dir):
+    return PS.build_report(_mixed_records(spark, sf_dir), R.CHATML, 512)
+
+
+_TURN_SQL = """'<|im_start|>' || c.role || chr(10) || CASE WHEN c.role = 'assistant' AND (a.u IS NULL OR c.turn > a.u)
+    THEN '<think>' || chr(10) || left(c.text, 12) || chr(10) || '</think>' || chr(10) || chr(10) ELSE '' END || c.text || '<|im_end|>' || chr(10)"""
+
+
+@query(
+    "reasoning_samples",
+    _CUT + f""", k AS (SELECT conv_id, turn, text, count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) > 1 AS expands, la,
+        max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS u, role FROM c),
+    a AS (SELECT * FROM k WHERE role = 'assistant' AND (expands OR turn = la)),
+    t AS (SELECT a.conv_id, CASE WHEN a.expands THEN a.turn END AS answer_turn, any_value('<think>' || chr(10) || left(a.text, 12) || chr(10) || '</think>' || chr(10) || chr(10) || a.text || '<|im_end|>') AS learned,
+        string_agg({_TURN_SQL}, '' ORDER BY c.turn) AS text FROM a JOIN c ON c.conv_id = a.conv_id AND c.turn <= a.turn GROUP BY a.conv_id, a.turn, a.expands)
+    SELECT conv_id, CAST(answer_turn AS INTEGER) AS answer_turn, md5(text) AS text, md5(learned) AS learned, CAST({n_tokens('text')} AS BIGINT) AS tokens, CAST({n_tokens('learned')} AS BIGINT) AS trainable_tokens
+    FROM t WHERE {n_tokens('text')} <= 700""",
+)
+def reasoning_samples(spark, sf_dir):
+    """A sample for each answer of conversations with reasoning: its history as it was seen then, and the answer with its reasoning."""
+    thought = F.when(F.col("role") == "assistant", F.substring("content", 1, 12))
+    calls = F.lit(None).cast("array<struct<id:string,name:string,arguments:string,args_is_object:boolean,type:string>>")
+    said = turns(spark, sf_dir).withColumns({"reasoning": thought, "tool_calls": calls, "train": F.lit(True), "train_on": F.lit("assistant"), "repeat": F.lit(1)})
+    rows = materialize(PS.conversation_rows(said, R.CHATML, 700, "drop", "conv_id"), "reasoning-rows")
+    texts = PS.sample_texts(rows, "sample")
+    coded = E.encode_sft(rows, 700, "drop", "sample", "turn")
+    return coded.join(texts, "sample").select(
+        F.col("sample.key").alias("conv_id"), "sample.answer_turn", F.md5("text").alias("text"), F.md5("learned").alias("learned"),
+        long(F.size("input_ids")).alias("tokens"), E.trainable_tokens(F.col("labels")).alias("trainable_tokens"),
+    )
