@@ -3,6 +3,7 @@
 from trainset.functions.tokens import token_count, token_ids, token_strings
 from trainset.operators import encode as E
 from trainset.operators import render as R
+from trainset.operators.vocabulary import BLOCK_TOKENS, UNKNOWN, build_vocabulary, encode_with_vocabulary
 from trainset.plans.samples import build_text_samples, build_turn_samples, sample_report
 from trainset.queries.common import SEED_SQL, F, long, query, table
 from trainset.queries.profiling import TOKENS_SQL
@@ -59,6 +60,33 @@ def vocabulary(spark, sf_dir):
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
+_VOCABULARY = f"""WITH t AS (SELECT doc_id, toks, generate_subscripts(toks, 1) AS pos FROM (
+  SELECT doc_id, {TOKENS_SQL.format(c='text')} AS toks FROM documents)),
+w AS (SELECT doc_id, pos, toks[pos] AS token FROM t), c AS (SELECT token, count(*) AS n FROM w GROUP BY token),
+v AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, md5(token), token) AS id FROM c) """
+
+
+@query("vocabulary_ids", _VOCABULARY + f"SELECT token, n, id FROM v UNION ALL SELECT '{UNKNOWN}', 0, 0")
+def vocabulary_ids(spark, sf_dir):
+    return build_vocabulary(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "encode_with_vocabulary",
+    _VOCABULARY + """SELECT d.doc_id, coalesce(x.tokens, 0) AS tokens, coalesce(x.checksum, 0) AS checksum, coalesce(x.highest, -1) AS highest
+    FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS tokens, CAST(sum(id * (pos - 1)) AS BIGINT) AS checksum, max(id) AS highest
+    FROM (SELECT doc_id, pos, CASE WHEN n >= 2 THEN id ELSE 0 END AS id FROM w JOIN v USING (token)) GROUP BY doc_id) x USING (doc_id)""",
+)
+def encode_documents_with_vocabulary(spark, sf_dir):
+    """Tokens seen once stay unknown; blocks are put together by sums that know their places."""
+    docs = table(spark, sf_dir, "documents")
+    coded = encode_with_vocabulary(docs, materialize(build_vocabulary(docs, min_count=2), "vocabulary"), "doc_id", hot=512)
+    start = F.col("block").cast("long") * BLOCK_TOKENS
+    placed = F.aggregate(F.transform("ids", lambda t, i: t * (start + i)), F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = coded.select("doc_id", F.size("ids").alias("n"), placed.alias("placed"), F.coalesce(F.array_max("ids"), F.lit(-1)).alias("top"))
+    return rows.groupBy("doc_id").agg(long(F.sum("n")).alias("tokens"), F.sum("placed").alias("checksum"), long(F.max("top")).alias("highest"))
+
+
 _SFT = _CUT + f""", n AS (SELECT conv_id, CAST(sum({n_tokens("('<|im_start|>' || role || chr(10))")} + {n_tokens('text')} + 8 +
    CASE WHEN role = 'assistant' AND (lu IS NULL OR turn > lu) THEN {n_tokens("('" + _THINK + "')")} ELSE 0 END) AS BIGINT) AS tokens,
    CAST(sum(CASE WHEN role = 'assistant' THEN {n_tokens('text')} + 7 ELSE 0 END) AS BIGINT) AS trainable_tokens FROM c GROUP BY conv_id)

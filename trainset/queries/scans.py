@@ -1,5 +1,7 @@
 """Sources, sinks, sampling at the source, profiles and manifests."""
 
+import pyarrow as pa
+
 from trainset.operators.mapping import Mapping
 from trainset.plans.imports import import_reasons
 from trainset.queries.cleaning import _IMPORTED
@@ -53,6 +55,37 @@ def jsonl_line_numbers(spark, sf_dir):
     )
 
 
+@query(
+    "json_array_split",
+    """SELECT source, count(*) AS records, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(doc_id % 1000) AS BIGINT) AS ids,
+       count(DISTINCT md5(text)) AS texts FROM documents GROUP BY source""",
+)
+def json_array_split(spark, sf_dir):
+    """Whole documents as ``.json`` arrays, one for each written file, cut into elements by many tasks."""
+    path = scratch_path(spark, "documents-json")
+    rows = F.to_json(F.struct("doc_id", "text", "source"))
+    lines = table(spark, sf_dir, "documents").select(F.concat(rows, F.lit(",")).alias("value"))
+    # A text file of lines becomes an array by the way it is written: "[" before, an empty object behind.
+    lines.mapInArrow(_as_array, "value string").write.text(path)
+    raw = F.col("raw")
+    back = files.read_json_array(spark, path).select(
+        F.variant_get(raw, "$.source", "string").alias("source"),
+        F.variant_get(raw, "$.text", "string").alias("text"),
+        F.variant_get(raw, "$.doc_id", "long").alias("doc_id"),
+    ).where("doc_id IS NOT NULL")
+    return back.groupBy("source").agg(
+        F.count(F.lit(1)).alias("records"), F.sum(F.length("text")).alias("chars"), F.sum(F.col("doc_id") % 1000).alias("ids"),
+        F.count_distinct(F.md5("text")).alias("texts"),
+    )
+
+
+def _as_array(batches):
+    """The lines of a partition between the brackets of an array."""
+    yield pa.record_batch({"value": ["["]})
+    yield from batches
+    yield pa.record_batch({"value": ["{}]"]})
+
+
 @query(
     "delimited_round_trip",
     """SELECT c_mktsegment, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys, max(c_name) AS last_name

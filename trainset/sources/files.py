@@ -9,6 +9,7 @@ from trainset.functions.text import is_blank, parse_json
 from trainset.operators.normalize import ensure_valid, normalize_json
 from trainset.operators.sampling import sample_rows
 from trainset.session import materialize
+from trainset.sources.split import are_arrays, array_elements, json_pieces
 
 TEXT_GLOB = "*.{txt,md,TXT,MD}"
 
@@ -67,8 +68,8 @@ def read_objects(spark: SparkSession, path: str, numbered: bool = False) -> Data
 def read_json_document(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a ``.json`` file: its array, its first list-valued key, or the object itself.
 
-    A JSON document is one value, so a file is one row until it is exploded; keep big data in
-    JSON lines or Parquet.
+    A document that is not an array is one value, so its file is one row until it is exploded;
+    :func:`read_json_array` reads arrays in parallel.
     """
     doc = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), parse_json(F.col("value")).alias("v"), F.json_object_keys("value").alias("keys")
@@ -84,6 +85,18 @@ def read_json_document(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", F.posexplode(rows).alias("pos", "raw")).unionByName(lists).where(V.is_object(F.col("raw")))
 
 
+def read_json_array(spark: SparkSession, path: str) -> DataFrame:
+    """Objects of ``.json`` files that hold one array each, however large: file, record, pos, raw.
+
+    The files are split like text and copied once; a task holds one element at a time. Files of
+    another form go through :func:`read_json_document`, all in record 0.
+    """
+    pieces = json_pieces(spark, path)
+    if not are_arrays(pieces):
+        return read_json_document(spark, path).select("file", F.lit(0).cast("long").alias("record"), "pos", "raw")
+    return array_elements(pieces).where(V.is_object(F.col("raw")))
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """CSV or TSV with a header; every column is a string."""
     return spark.read.csv(path, header=True, sep=sep, multiLine=True, quote='"', escape='"', inferSchema=False)
@@ -108,7 +121,7 @@ def read_source(
         # Only a sample needs an address per line.
         rows, order = read_objects(spark, path, numbered=max_rows is not None), ["file", "line"]
     elif name.endswith(".json"):
-        rows, order = read_json_document(spark, path), ["file", "pos"]
+        rows, order = read_json_array(spark, path), ["file", "record", "pos"]
     elif name.endswith(".csv"):
         rows, order = read_delimited(spark, path), None
     elif name.endswith(".tsv"):
