@@ -200,6 +200,31 @@ def test_drop_and_cut(spark, odd, empty, items):
     assert decontaminate.find_contamination(docs, none).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("block_words", [10**6, 60])
+def test_no_long_span_is_left(spark, odd, empty, block_words):
+    rng = random.Random(3)
+    items = [(i % 3, " ".join(f"b{i}x{j}" for j in range(20))) for i in range(6)]
+    items += [items[0]] * 300  # a hot item
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    filler = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    one, two = items[0][1].split(), items[1][1].split()
+    nested = " ".join([*one[:10], *two[2:18], *one[10:]])  # taking one span out makes another
+    texts = [f"{filler(400)} {nested}! {filler(400)}", f"{filler(300)} {items[2][1]} {filler(300)}", f"{items[3][1]} {filler(9)}", filler(50), f"{filler(400)} {' '.join(one[:12])}."]
+    more = odd.where("doc_id > 1000 OR doc_id IS NULL").limit(3)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = more.select("doc_id", "text", "lang", "source", F.lit(0).cast("long").alias("n_chars")).unionAll(docs)
+    clean = decontaminate.remove_contamination(docs, benchmark, n_chars="n_chars", block_words=block_words)
+    assert clean.columns == docs.columns
+    got = {r.doc_id: (r.text, r.n_chars) for r in clean.where("doc_id BETWEEN 0 AND 4").collect()}
+    assert sorted(got) == [0, 1, 3, 4] and got[3][0] == texts[3] and got[4][0] == texts[4]
+    assert len(got[0][0].split()) == 801 and "b0x" not in got[0][0] and len(got[1][0].split()) == 600
+    assert all(n == len(t) for t, n in got.values())
+    left = decontaminate.find_contamination(clean, benchmark).select("spans").collect()
+    assert all(end - first < 13 for r in left for first, end in zip(r.spans[::2], r.spans[1::2]))
+    assert clean.count() == docs.count() - 1
+    assert decontaminate.remove_contamination(empty, benchmark).count() == 0
+
+
 # ---------------------------------------------------------------- tokens
 
 

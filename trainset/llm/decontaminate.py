@@ -10,17 +10,19 @@ Words are the runs of letters, digits and non-ASCII characters after lower-casin
 Defined results: a null or empty text has no words, no hits and is not contaminated. Items without
 words or with null text are never found; a null item id is written as an empty id; repeated item ids
 count once. Repeated documents are judged one by one. Columns other than those named are not read by
-``find_contamination``; ``drop_contaminated`` and ``cut_spans`` keep every column of the table as it is.
+``find_contamination``; ``drop_contaminated``, ``cut_spans`` and ``remove_contamination`` keep every column of the table as it is.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from trainset.llm.common import materialize, packed, utf8
 
@@ -151,37 +153,53 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str, window: int, block_words: int) -> Iterator[Automaton]:
-    """Automata over all items, each of a bounded number of words."""
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, window: int, block_words: int) -> list[Broadcast]:
+    """The distinct items in blocks of a bounded number of words.
+
+    A block is sent as its texts, less than 1 MB at the default size; the tasks build the automaton.
+    """
+    spark = benchmark.sparkSession
     items = benchmark.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")
-    )
+    ).distinct()
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-size // (4 * block_words)) or 1
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
+    items = materialize(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), "benchmark-items")
+    shared = []
     for number in range(blocks):
-        rows = items.where(block == number).collect()  # about 4 * block_words characters
-        yield Automaton(sorted((r["item"], words_of(r["text"].encode())) for r in rows), window)
+        rows = items.where(F.col("block") == number).collect()  # about 4 * block_words characters
+        shared.append(spark.sparkContext.broadcast((uuid.uuid4().hex, window, sorted((r["item"], r["text"]) for r in rows))))
+    return shared
+
+
+_BUILT: dict[str, Automaton] = {}
+
+
+def _automaton(block: tuple[str, int, list[tuple[str, str]]]) -> Automaton:
+    """The block's automaton, built once in a Python worker, which keeps only the last one."""
+    name, window, rows = block
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Automaton([(item, words_of(text.encode())) for item, text in rows], window)
+    return _BUILT[name]
 
 
-def _searched(docs: DataFrame, text: str, automata: Iterator[Automaton], keep_row: bool) -> DataFrame:
+def _searched(docs: DataFrame, text: str, blocks: list[Broadcast], keep_row: bool) -> DataFrame:
     """``docs`` (a column, and a struct or string that holds the text) with ``found``: words, spans, items.
 
-    With several automata the documents pass through one after the other and are written in between,
+    With several blocks the documents pass through one after the other and are written in between,
     so that a Python worker holds one automaton at a time.
     """
-    spark = docs.sparkSession
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
     result = StructField("found", StructType.fromDDL("n_words long, spans array<int>, items array<string>"))
     names, fields = docs.columns, docs.schema.fields
     out = docs
-    for number, automaton in enumerate(automata):
+    for number, block in enumerate(blocks):
         if number:
             out = materialize(out, "contamination")
-        shared = spark.sparkContext.broadcast(automaton)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, first=number == 0) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
+        def search(batches: Iterator[pa.RecordBatch], block=block, first=number == 0) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(block.value)
             for batch in batches:
                 cells = []
                 before = None if first else batch.column(len(names)).to_pylist()
@@ -217,10 +235,10 @@ def find_contamination(
 
     ``contaminated``: at least one hit word, and at least one in ``coverage`` words is hit.
     """
-    automata = _blocks(benchmark, item_id, item_text, window, block_words)
+    blocks = _blocks(benchmark, item_id, item_text, window, block_words)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     hit = _hit()
-    return _searched(texts, "text", automata, keep_row=False).select(
+    return _searched(texts, "text", blocks, keep_row=False).select(
         "doc_id",
         F.col("found.n_words").alias("n_words"),
         hit.alias("n_hit"),
@@ -237,8 +255,8 @@ def drop_contaminated(
     window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """The documents that are not contaminated, whole and with all their columns."""
-    automata = _blocks(benchmark, item_id, item_text, window, block_words)
-    found = _searched(packed(docs), text, automata, keep_row=True)
+    blocks = _blocks(benchmark, item_id, item_text, window, block_words)
+    found = _searched(packed(docs), text, blocks, keep_row=True)
     hit = _hit()
     return found.where((hit == 0) | (hit * coverage < F.col("found.n_words"))).select("row.*")
 
@@ -251,22 +269,59 @@ def cut_spans(
 
     Documents of which more than ``max_coverage`` of the words are hit are dropped.
     """
-    automata = _blocks(benchmark, item_id, item_text, window, block_words)
-    rows = packed(docs)
-    found = _searched(rows, text, automata, keep_row=True)
+    blocks = _blocks(benchmark, item_id, item_text, window, block_words)
+    found = _searched(packed(docs), text, blocks, keep_row=True)
     hit = _hit()
     kept = found.where((hit == 0) | (hit <= F.lit(max_coverage) * F.col("found.n_words")))
+    return _cut(kept, text, max_span, None).select("row.*")
+
+
+def remove_contamination(
+    docs: DataFrame, benchmark: DataFrame, *, text: str = "text", n_chars: str | None = None, item_id: str = "item_id",
+    item_text: str = "text", window: int = WINDOW, coverage: int = COVERAGE, max_span: int = WINDOW, block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """What may be trained on: contaminated documents go, the others lose their spans of ``max_span`` hit words or more.
+
+    All columns stay; ``n_chars`` names a column that takes the new length of a text that was cut. The words
+    on both sides of a cut may form a new span, so texts that were cut are searched again until none is left:
+    no kept text holds such a span. Every round works on the texts cut in the one before.
+    """
+    blocks = _blocks(benchmark, item_id, item_text, window, block_words)
+    hit = _hit()
+    found = _searched(packed(docs), text, blocks, keep_row=True)
+    todo = found.where((hit == 0) | (hit * coverage < F.col("found.n_words")))
+    clean: DataFrame | None = None
+    while True:
+        cut = materialize(_cut(todo, text, max_span, n_chars), "cut-texts")
+        done = cut.where(~F.col("cut")).select("row")
+        clean = done if clean is None else clean.unionAll(done)
+        again = cut.where("cut").select("row")
+        if again.isEmpty():
+            return clean.select("row.*")
+        todo = _searched(again, text, blocks, keep_row=True)
+
+
+def _cut(found: DataFrame, text: str, least: int, n_chars: str | None) -> DataFrame:
+    """(row, cut): rows without their spans of ``least`` words or more, and whether there was one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column(0)
             columns, at = row.flatten(), row.type.get_field_index(text)
             spans = [x["spans"] for x in batch.column(1).to_pylist()]
-            texts = [_without(t, s, max_span) if s else t for t, s in zip(columns[at].to_pylist(), spans)]
+            long = [any(end - first >= least for first, end in zip(s[::2], s[1::2])) for s in spans]
+            texts = columns[at].to_pylist()
+            for i in (i for i, some in enumerate(long) if some):
+                texts[i] = _without(texts[i], spans[i], least)
+            if n_chars is not None and any(long):
+                size = row.type.get_field_index(n_chars)
+                counts = [len(t) if some else n for t, n, some in zip(texts, columns[size].to_pylist(), long)]
+                columns[size] = pa.array(counts, columns[size].type)
             columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=list(row.type))], names=["row"])
+            rows = pa.StructArray.from_arrays(columns, fields=list(row.type))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(long, pa.bool_())], names=["row", "cut"])
 
-    return kept.mapInArrow(cut, rows.schema).select("row.*")
+    return found.mapInArrow(cut, StructType([found.schema["row"], StructField("cut", BooleanType())]))
 
 
 def _without(text: str, spans: list[int], least: int) -> str:
