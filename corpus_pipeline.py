@@ -25,8 +25,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which at least one word in 20 comes from benchmark items go."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents of which at least one word in 20 comes from benchmark items go; the others lose spans of 13 such words or more."""
+    return decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"), n_chars="n_chars" if "n_chars" in docs.columns else None)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
