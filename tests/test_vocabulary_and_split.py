@@ -77,7 +77,7 @@ def test_split_arrays_equal_whole_ones(spark, tmp_path, indent):
     assert [json.loads(r.j) for r in rows] == [v for v in values if isinstance(v, dict)]
 
 
-@pytest.mark.parametrize("text,n", [("[]", 0), ("[{}]", 1), (' [1, "}"]', 0), ('[{"a": {"b": []}},\n{"a": 2}]', 2), ('{"rows": [{"a": 1}, {"a": 2}]}', 2), ("", 0)])
+@pytest.mark.parametrize("text,n", [("[]", 0), ("[{}]", 1), (' [1, "}"]', 0), ('[{"a": {"b": []}},\n{"a": 2}]', 2), ('{"rows": [{"a": 1}, {"a": 2}]}', 2), ("", 0), ("\ufeff[{}, {}]", 2)])
 def test_small_and_odd_documents(spark, tmp_path, text, n):
-    (tmp_path / "d.json").write_text(text)
+    (tmp_path / "d.json").write_text(text, encoding="utf-8")
     assert files.read_source(spark, str(tmp_path / "d.json")).count() == n
