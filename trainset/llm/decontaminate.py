@@ -284,9 +284,12 @@ def remove_contamination(
 
     All columns stay; ``n_chars`` names a column that takes the new length of a text that was cut. The words
     on both sides of a cut may form a new span, so texts that were cut are searched again until none is left:
-    no kept text holds such a span. Every round works on the texts cut in the one before.
+    no kept text holds such a span. With one block of items a task does that row by row, in one pass; with
+    several, a text must meet them all before it is cut, and every round works on the texts cut in the one before.
     """
     blocks = _blocks(benchmark, item_id, item_text, window, block_words)
+    if len(blocks) == 1:
+        return _cleaned(packed(docs), text, blocks[0], coverage, max_span, n_chars).select("row.*")
     hit = _hit()
     found = _searched(packed(docs), text, blocks, keep_row=True)
     todo = found.where((hit == 0) | (hit * coverage < F.col("found.n_words")))
@@ -301,33 +304,67 @@ def remove_contamination(
         todo = _searched(again, text, blocks, keep_row=True)
 
 
+def _cleaned(rows: DataFrame, text: str, block: Broadcast, coverage: int, least: int, n_chars: str | None) -> DataFrame:
+    """``rows`` (a struct ``row``) that are not contaminated, their texts cut until no span of ``least`` words is left."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(block.value)
+        for batch in batches:
+            row = batch.column(0)
+            keep, new = [], {}
+            for i, value in enumerate(utf8(row.field(text))):
+                words = words_of(value)
+                spans = joined(automaton.search(words)[0])
+                hit = sum(end - first for first, end in spans)
+                keep.append(hit == 0 or hit * coverage < len(words))
+                if keep[-1] and _has_long(spans, least):
+                    new[i] = value.decode()
+                    while _has_long(spans, least):
+                        new[i] = _without(new[i], spans, least)
+                        spans = joined(automaton.search(words_of(new[i].encode()))[0])
+            yield pa.RecordBatch.from_arrays([_replaced(row, text, new, n_chars)], names=["row"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(clean, rows.schema)
+
+
+def _has_long(spans: list[tuple[int, int]], least: int) -> bool:
+    return any(end - first >= least for first, end in spans)
+
+
+def _replaced(row: pa.StructArray, text: str, new: dict[int, str], n_chars: str | None) -> pa.StructArray:
+    """``row`` with the new texts of some of its rows, and their lengths."""
+    if not new:
+        return row
+    columns = row.flatten()
+    for name, change in ((text, new), (n_chars, {i: len(t) for i, t in new.items()})):
+        if name is not None:
+            at = row.type.get_field_index(name)
+            values = columns[at].to_pylist()
+            for i, value in change.items():
+                values[i] = value
+            columns[at] = pa.array(values, columns[at].type)
+    return pa.StructArray.from_arrays(columns, fields=list(row.type))
+
+
 def _cut(found: DataFrame, text: str, least: int, n_chars: str | None) -> DataFrame:
     """(row, cut): rows without their spans of ``least`` words or more, and whether there was one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column(0)
-            columns, at = row.flatten(), row.type.get_field_index(text)
-            spans = [x["spans"] for x in batch.column(1).to_pylist()]
-            long = [any(end - first >= least for first, end in zip(s[::2], s[1::2])) for s in spans]
-            texts = columns[at].to_pylist()
-            for i in (i for i, some in enumerate(long) if some):
-                texts[i] = _without(texts[i], spans[i], least)
-            if n_chars is not None and any(long):
-                size = row.type.get_field_index(n_chars)
-                counts = [len(t) if some else n for t, n, some in zip(texts, columns[size].to_pylist(), long)]
-                columns[size] = pa.array(counts, columns[size].type)
-            columns[at] = pa.array(texts, columns[at].type)
-            rows = pa.StructArray.from_arrays(columns, fields=list(row.type))
-            yield pa.RecordBatch.from_arrays([rows, pa.array(long, pa.bool_())], names=["row", "cut"])
+            texts = row.field(text)
+            spans = [list(zip(x["spans"][::2], x["spans"][1::2])) for x in batch.column(1).to_pylist()]
+            new = {i: _without(texts[i].as_py(), s, least) for i, s in enumerate(spans) if _has_long(s, least)}
+            was_cut = pa.array([i in new for i in range(len(spans))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([_replaced(row, text, new, n_chars), was_cut], names=["row", "cut"])
 
     return found.mapInArrow(cut, StructType([found.schema["row"], StructField("cut", BooleanType())]))
 
 
-def _without(text: str, spans: list[int], least: int) -> str:
+def _without(text: str, spans: list[tuple[int, int]], least: int) -> str:
     words = [m.span() for m in _WORD.finditer(text)]
     out, start = [], 0
-    for first, end in zip(spans[::2], spans[1::2]):
+    for first, end in spans:
         if end - first >= least:
             out.append(text[start : words[first][0]])
             start = words[end - 1][1]
