@@ -242,3 +242,16 @@ def test_preference_lists(spark):
     df = spark.createDataFrame(rows, f"seq long, prompt string, chosen {msg}, rejected {msg}")
     r = convert_table(df, Mapping(layout="preference", chosen="chosen", rejected="rejected", prompt="prompt")).first()
     assert [m.content for m in r.messages] == ["q"] and r.chosen[0].content == "good" and r.rejected[0].content == "bad" and r.valid
+
+
+def test_detection_reads_json_text_of_any_column(spark):
+    chat = '[{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]'
+    odd = spark.createDataFrame([(f"[{i}] a note", chat if i else "[broken", "en") for i in range(30)], "text string, `pay.load` string, lang string")
+    m, why = detect_mapping(odd)
+    assert (m.layout, m.messages, m.role_key) == ("sharegpt", "pay.load", "from") and "pay.load" in why
+    both = odd.withColumn("conversations", F.lit('[{"role": "user", "content": "q"}]'))
+    assert detect_mapping(both)[0].messages == "conversations"  # the usual name first
+    few = odd.withColumn("pay.load", F.when(F.col("lang") == "xx", F.col("`pay.load`")).otherwise(F.lit("[1, 2]")))
+    assert detect_mapping(few)[0].text == "text"
+    nulls = spark.createDataFrame([(None, None)], "text string, payload string")
+    assert detect_mapping(nulls)[0].text == "text"

@@ -18,6 +18,7 @@ def content(i, field="content"):
        UNION ALL SELECT 'orders', 'unknown', '', count(*) FROM orders
        UNION ALL SELECT 'pairs', 'prompt_completion', 'question', count(*) FROM part
        UNION ALL SELECT 'chats', 'sharegpt', 'dialog', count(*) FROM documents
+       UNION ALL SELECT 'exports', 'messages', 'payload', count(*) FROM documents
        UNION ALL SELECT 'preferences', 'preference', 'chosen', count(*) FROM benchmark""",
 )
 def detect_layouts(spark, sf_dir):
@@ -28,6 +29,7 @@ def detect_layouts(spark, sf_dir):
         "orders": table(spark, sf_dir, "orders"),
         "pairs": table(spark, sf_dir, "part").select(F.col("p_name").alias("question"), F.col("p_type").alias("answer")),
         "chats": docs.select(F.to_json(F.array(turn("human", F.col("lang")), turn("gpt", F.col("text")))).alias("dialog")),
+        "exports": docs.select("source", F.to_json(F.array(*(F.struct(F.lit(who).alias("role"), F.col(c).alias("content")) for who, c in (("user", "lang"), ("assistant", "text"))))).alias("payload")),
         "preferences": table(spark, sf_dir, "benchmark").select(F.col("text").alias("chosen"), F.col("text").alias("rejected")),
     }
     out = None
