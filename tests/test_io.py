@@ -104,3 +104,22 @@ def test_metric_streams(spark, tmp_path):
     assert last["a"] == pytest.approx(3.8) and last["b"] == pytest.approx(1.2)
     stale = ingest.run_to_files(SM.stale_jobs_stream(stream(), 30 * 60 * 1000), spark, "t-stale").collect()
     assert [r.job_id for r in stale] == ["a"]
+
+
+def test_manifest_of_nothing_and_the_last_of_a_name(spark, tmp_path):
+    from trainset.operators.mapping import Mapping
+    from trainset.plans.imports import import_table
+    from trainset.operators.traces import record_summary
+    from trainset.sources.profile import append_manifest, load_manifest, manifest_row, with_statistics
+
+    mapping, path = Mapping(layout="text", text="text"), str(tmp_path / "manifests")
+    rows = [(1, "one two"), (2, "one two"), (3, None), (4, "three")]
+    for data in (rows[:1], rows, []):
+        judged = import_table(spark.createDataFrame(data, "seq long, text string"), mapping, source="s")
+        full = with_statistics(manifest_row(judged, "none" if not data else "a", "x", None, mapping), record_summary(judged.where("reason IS NULL")))
+        append_manifest(full, path)
+    last = load_manifest(spark, path, "a").first()
+    assert (last["read"], last["records"], last["stats"]["records"], last["stats"]["chars_max"]) == (4, 2, 2.0, 7.0)
+    assert [(c["field"], c["value"], c["n"]) for c in last["common"]] == [("meta_source", "s", 2)]
+    none = load_manifest(spark, path, "none").first()
+    assert none["stats"]["records"] == 0.0 and none["common"] == [] and load_manifest(spark, path, "b").count() == 0

@@ -172,13 +172,13 @@ def record_summary(records: DataFrame) -> DataFrame:
         F.coalesce(F.exists("messages", filled), F.lit(False)).alias("has_reasoning"),
         F.coalesce(F.exists("messages", lambda m: F.size(m["tool_calls"]) > 0), F.lit(False)).alias("has_tool_calls"),
         F.coalesce(F.try_element_at("messages", F.lit(1))["role"] == "system", F.lit(False)).alias("has_system"),
-        "meta_source",
-        "meta_license",
-        "meta_lang",
-        "meta_synthetic",
+        *(F.col(c) if c in records.columns else F.lit(None).cast(t).alias(c) for c, t in _META_TYPES.items()),
     )
 
 
+_META_TYPES = {"meta_source": "string", "meta_license": "string", "meta_lang": "string", "meta_synthetic": "boolean"}
+
+
 def suitable_objectives(records: DataFrame) -> DataFrame:
     """One row: the objectives these records can feed, as a comma-separated list."""
     row = records.agg(

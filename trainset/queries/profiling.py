@@ -38,26 +38,30 @@ def metrics_sql(pairs: dict[str, str], rest: str) -> str:
     return " UNION ALL ".join(f"SELECT '{k}' AS metric, CAST({v} AS DOUBLE) AS value FROM {rest}" for k, v in pairs.items())
 
 
-_DOC_STATS = {
+DOC_STATS = {
     "records": "count(*)", "kind_trace": "0", "kind_text": "count(*)", "kind_completion": "0", "kind_image": "0", "answer_chars_mean": "0",
     "share_with_reasoning": "0", "share_with_tool_calls": "0", "share_with_system_prompt": "0", "synthetic": "0",
     "duplicates": f"count(*) - count(DISTINCT trim(text, {WS}))",
 }
 
 
+def text_summary(records, *more):
+    """Flat text records as ``dataset_stats`` reads them, with ``more`` of their columns."""
+    none = F.lit(None)
+    return records.select(
+        "kind", "fp", "chars", none.cast("long").alias("assistant_turns"), none.cast("long").alias("answer_chars"),
+        *[F.lit(False).alias(c) for c in ("has_reasoning", "has_tool_calls", "has_system", "meta_synthetic")], *more,
+    )
+
+
 @query(
     "dataset_stats_documents",
     "WITH p AS (" + pct_sql("chars", "SELECT length(text) AS chars FROM documents") + ") "
-    + " UNION ALL ".join(f"SELECT '{k}' AS metric, CAST(max(v) AS DOUBLE) AS value FROM (SELECT {v} AS v FROM documents)" for k, v in _DOC_STATS.items())
+    + " UNION ALL ".join(f"SELECT '{k}' AS metric, CAST(max(v) AS DOUBLE) AS value FROM (SELECT {v} AS v FROM documents)" for k, v in DOC_STATS.items())
     + "".join(f" UNION ALL SELECT 'chars_{a}', CAST({a} AS DOUBLE) FROM p" for a in S.RANKS),
 )
 def dataset_stats_documents(spark, sf_dir):
-    none = F.lit(None)
-    rows = text_records(spark, sf_dir).select(
-        "kind", "fp", "chars", none.cast("long").alias("assistant_turns"), none.cast("long").alias("answer_chars"),
-        *[F.lit(False).alias(c) for c in ("has_reasoning", "has_tool_calls", "has_system", "meta_synthetic")],
-    )
-    return S.dataset_stats(rows)
+    return S.dataset_stats(text_summary(text_records(spark, sf_dir)))
 
 
 _CONV = f"""WITH t AS (SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (role = 'assistant') AS a,

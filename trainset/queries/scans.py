@@ -6,9 +6,10 @@ from trainset.operators.mapping import Mapping
 from trainset.plans.imports import import_reasons
 from trainset.queries.cleaning import _IMPORTED
 from trainset.queries.common import SEED_SQL, F, long, query, table, text_records
-from trainset.session import scratch_path
+from trainset.queries.profiling import DOC_STATS, pct_sql, text_summary
+from trainset.session import materialize, scratch_path
 from trainset.sources import files
-from trainset.sources.profile import manifest_row, profile_columns
+from trainset.sources.profile import append_manifest, load_manifest, manifest_row, profile_columns, with_statistics
 
 
 @query("scan_with_limit", "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 100")
@@ -148,3 +149,31 @@ def import_manifest(spark, sf_dir):
     judged = import_reasons(text_records(spark, sf_dir), min_chars=50, max_chars=20000)
     mapping = Mapping(layout="text", text="text")
     return manifest_row(judged, "documents", "local:documents.parquet", "unknown", mapping)
+
+
+_TOP_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS field, {c} AS name, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}) AS rk FROM kept WHERE {c} <> '' GROUP BY {c}" for c in ("lang", "source")
+)
+
+
+@query(
+    "import_manifest_statistics",
+    _IMPORTED.replace("source, text", "source, lang, text") + ", kept AS (SELECT * FROM marked WHERE reason IS NULL), p AS (" + pct_sql("chars", "SELECT chars FROM kept") + f"), t AS ({_TOP_SQL}) "
+    + " UNION ALL ".join(f"SELECT 'stats' AS part, '{k}' AS name, CAST(max(v) AS DOUBLE) AS value FROM (SELECT {v} AS v FROM kept)" for k, v in DOC_STATS.items())
+    + "".join(f" UNION ALL SELECT 'stats', 'chars_{a}', CAST({a} AS DOUBLE) FROM p" for a in ("min", "p50", "p90", "p99", "max"))
+    + " UNION ALL SELECT field, name, CAST(n AS DOUBLE) FROM t WHERE rk <= 5 UNION ALL SELECT 'counts', 'records', count(*) FROM kept",
+)
+def import_manifest_statistics(spark, sf_dir):
+    """Statistics of an import as its manifest holds them, written twice and loaded again."""
+    judged = import_reasons(text_records(spark, sf_dir), min_chars=50, max_chars=20000)
+    judged = materialize(text_summary(judged, "lang", "source", "reason"), "judged")  # narrow: several reports read it
+    row = manifest_row(judged, "documents", "local:documents.parquet", "unknown", Mapping(layout="text", text="text"))
+    row = materialize(with_statistics(row, judged.where("reason IS NULL"), ("lang", "source")), "manifest")
+    path = scratch_path(spark, "manifests")
+    for _ in range(2):  # an append that is tried again
+        append_manifest(row, path)
+    loaded = load_manifest(spark, path, "documents")
+    stats = loaded.select(F.lit("stats").alias("part"), F.explode("stats").alias("name", "value"))
+    common = loaded.select(F.inline("common")).select(F.col("field").alias("part"), F.col("value").alias("name"), F.col("n").cast("double").alias("value"))
+    counts = loaded.select(F.lit("counts").alias("part"), F.lit("records").alias("name"), F.col("records").cast("double").alias("value"))
+    return stats.unionByName(common).unionByName(counts)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from trainset.functions.text import shorten_counted
 from trainset.operators.mapping import CAPTION_COLUMNS, Mapping, detect_mapping
+from trainset.operators.stats import dataset_stats, top_values
 
 SHOW_CHARS, SHOW_ITEMS, SHOW_ROWS = 300, 6, 3
 
@@ -77,9 +80,28 @@ def manifest_row(
     )
 
 
+def with_statistics(manifest: DataFrame, kept: DataFrame, common: Sequence[str] = ("meta_source", "meta_license", "meta_lang"), k: int = 5) -> DataFrame:
+    """The manifest with its time (``created``), ``stats`` and ``common`` of the kept records.
+
+    ``kept`` has the columns that ``dataset_stats`` reads, as ``record_summary`` gives them, and those named in
+    ``common``. ``stats`` maps a fixed set of metrics to numbers, ``common`` lists the ``k`` most frequent values
+    of each column; both are bounded, whatever was imported. Without kept records ``common`` is empty.
+    """
+    stats = dataset_stats(kept).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))))
+    top = F.array_sort(F.collect_list(F.struct("field", (-F.col("n")).alias("least"), "value", "n")))  # the frequent first
+    top = F.transform(top, lambda v: F.struct(v["field"].alias("field"), v["value"].alias("value"), v["n"].alias("n")))
+    values = top_values(kept, common, k).agg(top) if common else None
+    none = F.array().cast("array<struct<field:string,value:string,n:bigint>>")
+    return manifest.select(
+        "*", F.current_timestamp().alias("created"), stats.scalar().alias("stats"), (none if values is None else values.scalar()).alias("common")
+    )
+
+
 def append_manifest(manifest: DataFrame, path: str) -> None:
+    """Add the manifest of an import to the table of all imports; earlier ones stay."""
     manifest.write.mode("append").parquet(path)
 
 
 def load_manifest(spark, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("name") == name)
+    """The last manifest of that name, by ``created``; no row if there is none. A retried append changes nothing here."""
+    return spark.read.parquet(path).where(F.col("name") == name).orderBy(F.desc("created")).limit(1)
