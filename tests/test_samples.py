@@ -158,3 +158,33 @@ def test_images_alone_make_no_samples(spark):
     df = spark.createDataFrame([(1, "image")], "seq long, kind string")
     for objective in ("sft", "cpt", "dpo"):
         assert build_samples(df, render.CHATML, objective, 50).collect() == []
+
+
+def test_token_report(spark, mixed):
+    from trainset.plans.samples import token_report
+
+    records = mixed.where("seq IN (1, 2, 3, 4, 5, 9)").drop("chosen", "rejected")
+    got = {(r["part"], r["name"]): r["value"] for r in token_report(records, render.CHATML, 200, candidates=(200, 512)).collect()}
+    shown, text = len(ids(SHOWN)), len(ids("one two " * 40)) + 1
+    sizes = sorted([shown] * 3 + [text] * 2 + [len(ids("a b c")) + 1] * 2 + [len(ids("w " * 300)) + 2])
+    assert got["tokens", "samples"] == 8 and got["tokens", "total"] == sum(sizes) and got["tokens", "max"] == sizes[-1] and got["tokens", "min"] == sizes[0]
+    assert got["tokens", "over_max_len"] == 1 and got["coverage", "200"] == 0.875 and got["coverage", "512"] == 0.875
+    learned = [len(ids("two three<|im_end|>"))] * 3 + [text] * 2 + [len(ids(" c")) + 1] * 2 + [2]
+    assert got["tokens", "trainable_mean"] == round(sum(learned) / 8)
+    assert got["failure", "user turn without text"] == 1
+    none = {r["name"]: r["value"] for r in token_report(records.limit(0), render.CHATML).collect()}
+    assert none["samples"] == 0 and "p50" not in none
+    images = records.where("seq = 5").select("seq", "kind", "repeat")
+    assert {r["name"]: r["value"] for r in token_report(images, render.CHATML).collect()}["samples"] == 0
+
+
+def test_token_report_counts_each_reasoned_answer(spark):
+    from trainset.plans.samples import token_report
+
+    think = lambda text, thought: tuple({"role": "assistant", "content": text, "reasoning": thought}.get(f.name) for f in MESSAGE.fields)
+    talk = [say("user", "q one"), think("a b", "so"), say("user", "and then"), think("c", "well"), say("user", "end"), think("d e", "done")]
+    records = spark.createDataFrame([(1, "trace", talk, 2)], f"seq long, kind string, messages {FIELDS}, repeat int")
+    made = [(len(r["input_ids"]), sum(x != -100 for x in r["labels"])) for r in build_samples(records, render.CHATML, "sft", 10**6).collect()]
+    got = {r["name"]: r["value"] for r in token_report(records, render.CHATML).collect()}
+    assert len(made) == 6 and got["samples"] == 6 and got["total"] == sum(n for n, _ in made)
+    assert got["trainable_mean"] == round(sum(m for _, m in made) / 6)

@@ -322,13 +322,9 @@ def expand_samples(rendered: DataFrame, now: Column, then: Column, answer: Colum
     """
     o = F.col(order)
     kept = [c for c in rendered.columns if c not in (key, order, "at", "pieces", "now", "then", "answer")]
-    rows = rendered.where("expands").withColumns({"__now": now, "__then": then, "__own": answer})
-    rows = with_running_totals(rows, ["at", order], F.floor(F.col("at") / BLOCK), {"now_before": F.col("__now"), "then_before": F.col("__then")}, [key])
-    users = rows.where("role = 'user'").select(key, F.col(order).alias("user_before"), (F.col("then_before") - F.col("now_before")).alias("saved"))
-    start = F.col("now_before") + F.coalesce("saved", F.lit(0))
-    fits = (start + F.col("__own") <= max_len) if overflow == "drop" else (start < max_len)
-    asked = rows.where("answers").join(users, [key, "user_before"], "left").where(fits)
-    asked = asked.select(key, o.alias("answer_turn"), F.col("user_before").alias("__user"))
+    rows, asked = _answers(rendered, now, then, answer, key, order)
+    fits = (F.col("__start") + F.col("__own") <= max_len) if overflow == "drop" else (F.col("__start") < max_len)
+    asked = asked.where(fits).select(key, o.alias("answer_turn"), F.col("user_before").alias("__user"))
     silent = lambda form: F.transform(form, lambda p: p.withField("trainable", F.lit(False)))
     seen = rows.where(F.col("then_before") < max_len)  # at most max_len rows of a conversation: a turn has a token at least
     shown = seen.join(asked, key).where(F.col("at") <= F.col("answer_turn"))
@@ -336,6 +332,20 @@ def expand_samples(rendered: DataFrame, now: Column, then: Column, answer: Colum
     return shown.select(key, "answer_turn", order, "at", form.alias("pieces"), *[c for c in kept if c not in ("text", "trainable_chars", "expands", "answers", "user_before", "role", "pos")])
 
 
+def _answers(rendered: DataFrame, now: Column, then: Column, answer: Column, key: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """The turns with running totals of their forms, and the learned answers with the tokens before them (``__start``)."""
+    rows = rendered.where("expands").withColumns({"__now": now, "__then": then, "__own": answer})
+    rows = with_running_totals(rows, ["at", order], F.floor(F.col("at") / BLOCK), {"now_before": F.col("__now"), "then_before": F.col("__then")}, [key])
+    users = rows.where("role = 'user'").select(key, F.col(order).alias("user_before"), (F.col("then_before") - F.col("now_before")).alias("saved"))
+    asked = rows.where("answers").join(users, [key, "user_before"], "left")
+    return rows, asked.withColumn("__start", F.col("now_before") + F.coalesce("saved", F.lit(0)))
+
+
+def answer_lengths(rendered: DataFrame, now: Column, then: Column, answer: Column, key: str = "seq", order: str = "turn") -> DataFrame:
+    """The answers that ``expand_samples`` would make samples of at any length, with the ``tokens`` of each; nothing is copied."""
+    return _answers(rendered, now, then, answer, key, order)[1].withColumn("tokens", F.col("__start") + F.col("__own"))
+
+
 def piece_rows(rendered: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """Pieces in output order: key, at, sub, note order, piece, trainable."""
     return rendered.select(key, "at", F.col(order).alias("from_turn"), F.inline("pieces"))

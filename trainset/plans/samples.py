@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trainset.functions.text import rstrip
 from trainset.functions.tokens import special_id, token_count, token_ids
 from trainset.operators import encode as E
-from trainset.operators.render import Dialect, expand_samples, piece_rows, preamble, render_error, render_turns
+from trainset.operators.render import Dialect, answer_lengths, expand_samples, piece_rows, preamble, render_error, render_turns
 from trainset.operators.sampling import upsample
+from trainset.operators.stats import CANDIDATE_LENGTHS, coverage, token_stats, unpivot_metrics
 from trainset.operators.traces import content_text, conversation
 from trainset.schema import MESSAGE, TOOL
 from trainset.session import materialize
@@ -325,6 +326,55 @@ def build_report(records: DataFrame, dialect: Dialect, max_len: int, overflow: s
     return told.groupBy("outcome", "reason").agg(F.sum("repeat").cast("long").alias("n"))
 
 
+def _lengths(records: DataFrame, dialect: Dialect, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """(repeat, tokens, trainable_tokens) of all samples under no limit of length, and (reason, repeat) of what cannot be shown."""
+    columns = ("repeat", "tokens", "trainable_tokens")
+    made, failed = [], None
+    if "messages" in records.columns:
+        drops = dialect.drops_history_reasoning and dialect.reasoning == "native"
+        written = materialize(_rendered(turns_of_records(records, key), dialect, key, forms=drops), "rendered")
+        failed = written.where("fault IS NOT NULL").groupBy(key, "repeat").agg(F.first("fault.reason").alias("reason")).select("reason", "repeat")
+        shown = written.where("fault IS NULL").drop("fault")
+        if drops:
+            learned = F.aggregate("answer", F.lit(0).cast("long"), lambda a, p: a + F.when(p["trainable"], token_count(p["piece"])).otherwise(F.lit(0)))
+            made.append(answer_lengths(shown, *map(_tokens, ("now", "then", "answer")), key).withColumn("trainable_tokens", learned).select(*columns))
+            shown = shown.where(~F.col("expands"))
+        whole = E.turn_token_counts(shown.select(F.struct(key, "repeat").alias("sample"), "pieces"), "sample")
+        made.append(whole.select("sample.repeat", "tokens", "trainable_tokens"))
+    if (pairs := _kind(records, "completion", key, "prompt", "completion")) is not None:
+        prompt = token_count(F.col("prompt")) + int(dialect.document_bos)
+        answer = token_count(F.col("completion")) + int(dialect.document_end is not None)
+        made.append(pairs.select("repeat", (prompt + answer).alias("tokens"), answer.alias("trainable_tokens")))
+    if (texts := _kind(records, "text", key, "text")) is not None:
+        size = token_count(F.col("text")) + E.marker_count(dialect)
+        made.append(texts.select("repeat", size.alias("tokens"), size.alias("trainable_tokens")))
+    made = made or [_nothing(records, key).select(*(F.lit(0).alias(c) for c in columns))]
+    as_long = [F.col(c).cast("long") for c in columns]
+    return reduce(DataFrame.unionAll, [m.select(*as_long) for m in made]).where("trainable_tokens > 0"), failed
+
+
+def token_report(records: DataFrame, dialect: Dialect, max_len: int | None = None, key: str = "seq", candidates=CANDIDATE_LENGTHS, k: int = 5) -> DataFrame:
+    """(part, name, value): what the samples of a table measure if rendered as training renders them.
+
+    ``tokens``: number, total, mean and percentiles of their tokens, the mean of the trainable ones and, with ``max_len``,
+    how many are longer; ``coverage``: the share that fits each candidate length; ``failure``: the ``k`` most frequent reasons why
+    records cannot be rendered, ties by reason. Records count ``repeat`` times. All records are measured, by counts: no
+    sample is assembled. Tokens are those of the built-in tokenizer. A table without samples has the number 0 and no percentiles.
+    """
+    lengths, failed = _lengths(records, dialect, key)
+    rows = materialize(upsample(lengths, F.col("repeat")).select("tokens", "trainable_tokens"), "sample-lengths")
+    size = rows.agg(F.count(F.lit(1)).alias("samples"), F.bround(F.avg("trainable_tokens")).alias("trainable_mean"))
+    stats = token_stats(rows, max_len=max_len).withColumnRenamed("n", "counted")
+    named = lambda df, part: df.select(F.lit(part).alias("part"), F.col("metric").alias("name"), "value")
+    out = named(unpivot_metrics(size), "tokens").unionAll(named(unpivot_metrics(stats.drop("counted")), "tokens"))
+    fits = coverage(rows, candidates=candidates).select(F.lit("coverage").alias("part"), F.col("max_len").cast("string").alias("name"), F.col("share").cast("double").alias("value"))
+    out = out.unionAll(fits)
+    if failed is not None:
+        reasons = failed.groupBy("reason").agg(F.sum("repeat").alias("n")).orderBy(F.desc("n"), "reason").limit(k)
+        out = out.unionAll(reasons.select(F.lit("failure").alias("part"), F.col("reason").alias("name"), F.col("n").cast("double").alias("value")))
+    return out.where("value IS NOT NULL")
+
+
 def sample_texts(rendered: DataFrame, key: str = "seq", order: str = "turn") -> DataFrame:
     """(key, text, learned): a rendered conversation, and what of it is learned; for conversations of bounded size."""
     parts = F.array_sort(F.collect_list(F.struct("at", "sub", "from_turn", "piece", "trainable")))

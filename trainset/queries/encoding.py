@@ -6,7 +6,7 @@ from trainset.operators import render as R
 from trainset.operators.vocabulary import BLOCK_TOKENS, UNKNOWN, build_vocabulary, encode_with_vocabulary
 from trainset.plans.samples import build_text_samples, build_turn_samples, sample_report
 from trainset.queries.common import SEED_SQL, F, long, query, table
-from trainset.queries.profiling import TOKENS_SQL
+from trainset.queries.profiling import TOKENS_SQL, pct_sql
 from trainset.session import materialize
 from trainset.queries.rendering import _CUT, _THINK, turns
 from trainset.plans import samples as PS
@@ -356,6 +356,28 @@ def mixed_record_outcomes(spark, sf_dir):
     return PS.build_report(_mixed_records(spark, sf_dir), R.CHATML, 512)
 
 
+_LENGTHS = f"""SELECT unnest(range(0, copies)) AS copy, * FROM (SELECT copies, doc_id % 3 AS kind, doc_id % 7 AS rest, CASE doc_id % 3 WHEN 0 THEN n WHEN 1 THEN p + c ELSE {n_tokens('shown')} END AS tokens,
+    CASE doc_id % 3 WHEN 0 THEN n WHEN 1 THEN c ELSE {n_tokens("(text || '<|im_end|>')")} END AS learned FROM d) WHERE kind <> 2 OR rest <> 0"""
+
+
+@query(
+    "mixed_token_report",
+    _MIXED + f""", l AS ({_LENGTHS}), q AS ({pct_sql('tokens', 'SELECT tokens FROM l')})
+    SELECT 'tokens' AS part, 'samples' AS name, CAST(count(*) AS DOUBLE) AS value FROM l UNION ALL SELECT 'tokens', 'trainable_mean', round_even(avg(learned), 0) FROM l
+    UNION ALL SELECT 'tokens', 'mean', round_even(total / n, 0) FROM q UNION ALL SELECT 'tokens', 'over_max_len', count(*) FILTER (tokens > 512) FROM l
+    UNION ALL SELECT 'tokens', 'share_over_max_len', round(count(*) FILTER (tokens > 512) / count(*), 4) FROM l"""
+    + "".join(f" UNION ALL SELECT 'tokens', '{c}', {c} FROM q" for c in ("total", "min", "p50", "p90", "p99", "max"))
+    + "".join(f" UNION ALL SELECT 'coverage', '{n}', round(count(*) FILTER (tokens <= {n}) / count(*), 4) FROM l" for n in (512, 1024, 2048, 4096, 8192, 16384))
+    + " UNION ALL SELECT 'failure', 'user turn without text', sum(copies) FROM d WHERE doc_id % 3 = 2 AND doc_id % 7 = 0 HAVING count(*) > 0",
+)
+def mixed_token_report(spark, sf_dir):
+    """Token lengths of samples of three kinds, made of whole documents; some conversations ask nothing and cannot be shown."""
+    silent = F.transform("messages", lambda m: m.withField("content", F.when(m["role"] == "user", F.lit(" ")).otherwise(m["content"])))
+    records = _mixed_records(spark, sf_dir)
+    records = records.withColumn("messages", F.when(F.pmod("seq", F.lit(7)) == 0, silent).otherwise(F.col("messages")))
+    return PS.token_report(records, R.CHATML, 512)
+
+
 _TURN_SQL = """'<|im_start|>' || c.role || chr(10) || CASE WHEN c.role = 'assistant' AND (a.u IS NULL OR c.turn > a.u)
     THEN '<think>' || chr(10) || left(c.text, 12) || chr(10) || '</think>' || chr(10) || chr(10) ELSE '' END || c.text || '<|im_end|>' || chr(10)"""
 
