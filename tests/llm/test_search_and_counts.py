@@ -136,6 +136,33 @@ def test_negatives_of_odd_rows(spark):
     assert negatives.mine(df.limit(0)).collect() == []
 
 
+def test_negatives_of_vectors_whose_squares_pass_64_bits(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=5) * 10.0 ** rng.integers(-1, 4)).tolist(), int(rng.integers(0, 3))) for i in range(240)]
+    for i in range(0, 240, 9):  # one component of so much: squares pass 64 bits, products with most others do not
+        rows[i][1][i % 5] = float((-1) ** i * 10 ** rng.integers(7, 13))
+    whole = {i: ((label + 1) % 10 if i % 7 == 0 else label, [math.floor(256 * x) for x in v]) for i, v, label in rows}
+    assert any(sum(x * x for x in v) >= 2**63 for _, v in whole.values())
+    long = lambda s: s if -(2**63) <= s < 2**63 else None
+    want = []
+    for a in range(0, 240, 60):
+        label, v = whole[a]
+        scored = sorted((-sum(x * y for x, y in zip(v, w)), i, other == label) for i, (other, w) in whole.items() if i != a)
+        for s, p, _ in [x for x in scored if x[2]][:5]:
+            fits = [(-t, i) for t, i, same in scored if not same and 30 * -s <= 100 * -t <= 90 * -s]
+            want += [(a, p, k + 1, i, long(-s), long(t)) for k, (t, i) in enumerate(fits[:10])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert len(want) > 20 and any(r[5] is not None and sum(x * x for x in whole[r[3]][1]) >= 2**63 for r in want)
+    assert rows_of(negatives.mine(df, anchors=60)) == sorted(want, key=repr)
+    assert rows_of(negatives.mine(df, anchors=60, row_block=30, anchor_block=2)) == sorted(want, key=repr)
+
+
+def test_score_keys_keep_the_order_of_integers():
+    values = sorted({sign * (1 << b) + d for sign in (-1, 1) for b in range(0, 136, 5) for d in (-1, 0, 1)})
+    keys = [negatives.score_key(v) for v in values]
+    assert keys == sorted(keys) and [negatives.key_score(k) for k in keys] == values
+
+
 def test_negatives_sql_equals_the_operator(spark):
     duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
     assert sorted(duckdb.sql(negatives.oracle()).fetchall(), key=repr) == rows_of(negatives.mine(spark.read.parquet(f"{SF}/embeddings.parquet")))
