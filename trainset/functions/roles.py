@@ -17,7 +17,8 @@ def _literal_map(values: dict[str, str]) -> Column:
 
 def canonical_role(role: Column) -> Column:
     """One of system/user/assistant/tool, or NULL for an unknown name."""
-    return F.try_element_at(_literal_map(ROLE_ALIASES), F.lower(strip(role)))
+    names = _literal_map(ROLE_ALIASES)
+    return F.coalesce(F.try_element_at(names, role), F.try_element_at(names, F.lower(strip(role))))
 
 
 def mapped_role(role: Column, role_map: dict[str, str]) -> Column:

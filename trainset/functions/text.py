@@ -120,10 +120,8 @@ def parse_json(c: Column) -> Column:
     inside = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
     member = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
     return let(
-        inside,
-        lambda v: F.when(
-            F.try_variant_get(v, "$[1]", "variant").isNull() & member.isNotNull(), F.try_variant_get(v, "$[0]", "variant")
-        ),
+        F.try_variant_get(inside, "$", "array<variant>"),
+        lambda values: F.when((F.size(values) == 1) & member.isNotNull(), F.get(values, F.lit(0))),
     )
 
 

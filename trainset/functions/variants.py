@@ -11,9 +11,22 @@ def get(v: Column, *names: str) -> Column:
     return found[0] if len(found) == 1 else F.coalesce(*found)
 
 
+def fields(v: Column, *names: str) -> Column:
+    """``struct<name: variant, …>`` of an OBJECT value in one reading; NULL for other values, as are absent fields.
+
+    A path that leads nowhere costs Spark an exception, so rules that ask for many optional fields read them together.
+    """
+    return F.try_variant_get(v, "$", "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
+
+
+def first(x: Column, *names: str) -> Column:
+    """Like :func:`get`, of the struct that :func:`fields` has read."""
+    return x[names[0]] if len(names) == 1 else F.coalesce(*[x[n] for n in names])
+
+
 def type_of(v: Column) -> Column:
     """STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, VOID, ARRAY or OBJECT (NULL if absent)."""
-    return F.regexp_extract(F.schema_of_variant(v), r"^([A-Z]+)", 1)
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
 
 
 def has_type(v: Column, *names: str) -> Column:
