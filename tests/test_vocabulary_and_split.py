@@ -3,11 +3,13 @@
 import json
 import random
 from collections import Counter
+from functools import partial
 from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
 
+from trainset.operators import vocabulary as vocabulary_module
 from trainset.operators.vocabulary import build_vocabulary, encode_with_vocabulary
 from trainset.sources import files
 from trainset.sources.split import json_pieces
@@ -47,6 +49,47 @@ def test_vocabulary_of_nothing(spark):
         encode_with_vocabulary(df, vocabulary, "k", block_tokens=10**6)
 
 
+def shuffled_rows(plan):
+    """Rows written by the exchanges of a plan that has run."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return shuffled_rows(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return shuffled_rows(plan.plan())
+    metrics, children = plan.metrics(), plan.children()
+    own = metrics.apply("shuffleRecordsWritten").value() if metrics.contains("shuffleRecordsWritten") else 0
+    return own + sum(shuffled_rows(children.apply(i)) for i in range(children.size()))
+
+
+def test_coding_moves_distinct_tokens(spark):
+    """A token met in many places goes through the join on tokens once a group, not once an occurrence."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(500)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, body string").coalesce(1)
+    words = F.split("body", " ")
+    vocabulary = spark.createDataFrame([(w, n) for n, w in enumerate(["<unk>", *(f"w{i}" for i in range(39))])], "token string, id long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        coded = encode_with_vocabulary(df, vocabulary, "k", "body", hot=0, tokens=words)
+        rows = coded.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = {f"w{i}": i + 1 for i in range(39)}
+    assert {(r.k, r.block): r.ids for r in rows} == {(k, 0): [want.get(w, 0) for w in t.split(" ")] for k, t in enumerate(texts)}
+    assert shuffled_rows(coded._jdf.queryExecution().executedPlan()) < 1000  # of 20,000 tokens
+
+
+def test_coding_in_many_groups_with_null_tokens_and_shared_keys(spark, monkeypatch):
+    monkeypatch.setattr(vocabulary_module, "_grouped", partial(vocabulary_module._grouped, most=50))
+    df = spark.createDataFrame([(1, ["a", None, "b"]), (1, ["c", "a"]), (2, []), (None, ["b"] * 70), (None, ["z"])], "k long, w array<string>")
+    vocabulary = spark.createDataFrame([("<unk>", 0), ("a", 1), ("b", 2), ("c", 3)], "token string, id long")
+    for hot in (0, 2, 9):
+        coded = encode_with_vocabulary(df, vocabulary, "k", block_tokens=30, hot=hot, tokens=F.col("w"))
+        got = {(r.k, r.block): r.ids for r in coded.collect()}
+        assert got == {(1, 0): [1, 3, 0, 1, 2], (2, 0): [], (None, 0): [0] + [2] * 30, (None, 1): [2] * 30, (None, 2): [2] * 10}
+
+
 def odd_value(rng, depth=0):
     strings = ['}{"', '\\', 'a\\"}', "]},{[", "", "ä \n", '\\\\"']
     kind = rng.randrange(6 if depth < 3 else 4)

@@ -6,9 +6,13 @@ md5(token). They are gapless and no two tokens share one, so they can index an e
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from trainset.functions.tokens import token_strings
 from trainset.operators.ordered import hash_bucket, range_bucket, with_running_total
@@ -17,6 +21,7 @@ from trainset.session import materialize
 UNKNOWN = "<unk>"
 HOT_TOKENS = 4096  # rows of the broadcast part of a vocabulary
 BLOCK_TOKENS = 4096  # ids in one row of coded text
+GROUP_TOKENS = 1 << 20  # tokens that share a list of distinct ones
 _POSITION_BITS = 13  # a position in a block (below 8192) ...
 _ID_BITS = 40  # ... and an id share one long
 
@@ -59,9 +64,11 @@ def encode_with_vocabulary(
 ) -> DataFrame:
     """(key, block, ids): each text's ids in rows of ``block_tokens``; a text without tokens gives one empty row.
 
-    ``key`` must be unique and not null. Tokens outside the vocabulary become ``unknown``. Tokens with an id
-    below ``hot`` meet a broadcast table of at most ``hot`` rows; what is left holds no token of more than
-    one in ``hot`` of all, so its join on the token has no hot key. No row or group holds more than one block.
+    ``key`` should be unique; blocks of texts that share one are put together by position. Tokens outside the
+    vocabulary become ``unknown``. Texts are tokenized once and written in groups of at most GROUP_TOKENS tokens (one
+    block at least), each token as its place in the group's list of distinct tokens. Only these lists meet the
+    vocabulary, so a token is moved once a group, however often it occurs there. Tokens with an id below ``hot`` meet a
+    broadcast table of at most ``hot`` rows, the others are joined on the token.
     """
     if not 0 < block_tokens <= 2**_POSITION_BITS:
         raise ValueError(f"block_tokens must lie between 1 and {2**_POSITION_BITS}")
@@ -71,17 +78,55 @@ def encode_with_vocabulary(
     blocks = listed.select("key", F.posexplode(starts).alias("block", "start"), "words").select(
         "key", "block", F.slice("words", F.col("start") + 1, block_tokens).alias("words")
     )
-    at = blocks.select("key", "block", F.posexplode_outer("words").alias("pos", "token"))
+    kind = blocks.schema["key"].dataType
+    coded = T.StructType().add("group", "long").add("key", kind).add("block", "integer")
+    coded = coded.add("codes", T.ArrayType(T.IntegerType())).add("first", "integer").add("fresh", T.ArrayType(T.StringType()))
+    groups = materialize(blocks.mapInArrow(_grouped, coded), "token-groups")
+
+    asked = groups.select("group", "first", F.posexplode("fresh").alias("at", "token"))
+    asked = asked.select("group", (F.col("first") + F.col("at")).alias("place"), "token")
     lookup = vocabulary.select("token", "id")
-    common = F.broadcast(lookup.where(F.col("id") < hot))
-    known = at.join(common, "token", "left")
-    place = F.shiftleft(F.col("pos").cast("long"), _ID_BITS)
-    # An empty block has no position: its null cell is skipped by the collect, the row stays.
-    done = known.where(F.col("id").isNotNull() | F.col("pos").isNull()).select("key", "block", place.bitwiseOR(F.col("id")).alias("cell"))
-    rare = known.where(F.col("id").isNull() & F.col("pos").isNotNull()).drop("id")
-    met = rare.join(lookup.where(F.col("id") >= hot), "token", "left").select(
-        "key", "block", place.bitwiseOR(F.coalesce("id", F.lit(unknown).cast("long"))).alias("cell")
-    )
-    cells = F.sort_array(F.collect_list("cell"))
-    ids = F.transform(cells, lambda c: c.bitwiseAND(2**_ID_BITS - 1))
-    return done.unionByName(met).groupBy("key", "block").agg(ids.alias("ids")).withColumnRenamed("key", key)
+    known = asked.join(F.broadcast(lookup.where(F.col("id") < hot)), "token", "left")
+    rare = known.where(F.col("id").isNull()).drop("id").join(lookup.where(F.col("id") >= hot), "token", "left")
+    met = rare.select("group", "place", F.coalesce("id", F.lit(unknown).cast("long")).alias("id"))
+    found = known.where(F.col("id").isNotNull()).select("group", "place", "id").unionByName(met)
+    answer = T.StructType().add("key", kind).add("block", "integer").add("ids", T.ArrayType(T.LongType()))
+    held = groups.select(F.col("group").alias("held"), "key", "block", "codes").groupBy("held")
+    rows = held.cogroup(found.groupBy("group")).applyInArrow(_decoded, answer)
+
+    repeated = groups.where("block = 0").groupBy("key").count().where("count > 1")
+    if not repeated.isEmpty():
+        placed = F.transform("ids", lambda t, i: F.shiftleft(i.cast("long"), _ID_BITS).bitwiseOR(t))
+        cells = F.sort_array(F.flatten(F.collect_list(placed)))
+        rows = rows.groupBy("key", "block").agg(F.transform(cells, lambda c: c.bitwiseAND(2**_ID_BITS - 1)).alias("ids"))
+    return rows.withColumnRenamed("key", key)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], most: int = GROUP_TOKENS) -> Iterator[pa.RecordBatch]:
+    """Blocks (key, block, words) with their group, their words' places in its list of distinct tokens, and the
+    part of that list, from place ``first`` on, which they are the first to hold."""
+    group = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column(2)).to_numpy().astype(np.int64))
+        start = before = 0
+        while start < batch.num_rows:
+            stop = max(int(np.searchsorted(ends, before + most, "right")), start + 1)
+            rows = batch.slice(start, stop - start)
+            coded = rows.column(2).flatten().dictionary_encode(null_encoding="encode")
+            bounds = np.append(0, ends[start:stop] - before)
+            seen = np.maximum.accumulate(np.append(0, coded.indices.to_numpy() + 1))[bounds]
+            codes = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), coded.indices)
+            fresh = pa.ListArray.from_arrays(pa.array(seen, pa.int32()), coded.dictionary)
+            columns = [pa.repeat(pa.scalar(group, pa.int64()), len(codes)), rows.column(0), rows.column(1), codes, pa.array(seen[:-1], pa.int32()), fresh]
+            yield pa.RecordBatch.from_arrays(columns, names=["group", "key", "block", "codes", "first", "fresh"])
+            group, start, before = group + 1, stop, int(ends[stop - 1])
+
+
+def _decoded(blocks: pa.Table, found: pa.Table) -> pa.Table:
+    """(key, block, ids) of a group's blocks, by the (place, id) of its tokens."""
+    ids = np.zeros(found.num_rows, np.int64)
+    ids[found.column("place").to_numpy()] = found.column("id").to_numpy()
+    codes = blocks.column("codes").combine_chunks()
+    bounds = pa.array(np.append(0, np.cumsum(pc.list_value_length(codes).to_numpy())), pa.int32())
+    coded = pa.ListArray.from_arrays(bounds, pa.array(ids[codes.flatten().to_numpy()]))
+    return pa.table([blocks.column("key"), blocks.column("block"), coded], names=["key", "block", "ids"])
