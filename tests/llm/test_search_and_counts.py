@@ -84,6 +84,45 @@ def test_parse_counts_each_phrase_once_and_cuts_by_content(monkeypatch):
     assert len(set(a) & set(b)) > 0.9 * len(set(a))
 
 
+def test_parse_by_marks_cuts_by_content():
+    rng = np.random.default_rng(6)
+    words = [b"%d" % 7 ** int(i) for i in rng.zipf(1.4, 3000) % 40] + [b"\xc3\xa4", collocations.BREAK, b"x"]
+    marks = collocations.Marks()
+    each = {w: int(marks.of([w])[0]) for w in words}
+    assert marks.of(words).tolist() == [each[w] for w in words] and len(set(each.values())) == len(each)
+    chunks = list(collocations.parse(b" ".join(words), marks, 2))
+    assert len(chunks) > 30 and sum(own for _, own in chunks) == len(words)
+    assert b" ".join(w for chunk, own in chunks for w in chunk.split()[:own]) == b" ".join(words)
+
+
+def test_words_of_many_batches_are_counted_in_one_row_a_task(spark):
+    """Batches of one row: a task holds its counts and passes each word on once."""
+    rows = [("en", b"the same words", 3, 1)] * 30 + [("de", b"the same", 2, 5)]
+    chunks = spark.createDataFrame(rows, "lang string, chunk binary, own int, n long").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        counted = collocations.count_phrases(chunks, (1,), [])
+        found = sorted(tuple(r) for r in counted.collect())
+        plan = counted._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found == [("de", "same", 5), ("de", "the", 5), ("en", "same", 30), ("en", "the", 30), ("en", "words", 30)]
+    assert rows_out_of(plan, "MapInArrow") == 5
+
+
+def rows_out_of(plan, node):
+    """Rows that the nodes of this name gave in a plan that has run."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return rows_out_of(plan.executedPlan(), node)
+    if name.endswith("QueryStage"):
+        return rows_out_of(plan.plan(), node)
+    children = plan.children()
+    own = plan.metrics().apply("pythonNumRowsReceived").value() if name == node else 0
+    return own + sum(rows_out_of(children.apply(i), node) for i in range(children.size()))
+
+
 # ---------------------------------------------------------------- hard negatives
 
 

@@ -1,7 +1,7 @@
 """Phrase collocations by prefix-free parsing.
 
 A text is a run of words and breaks (a break stands for any run of separators; phrases do not cross it). A
-parse cuts the run where two neighbouring tokens' hash is a multiple of ``EVERY``: where a chunk ends depends
+parse cuts the run where two neighbouring tokens' mark is a multiple of ``EVERY``: where a chunk ends depends
 on what is there, so equal passages give equal chunks wherever they stand. Each chunk goes on
 for ``longest`` - 1 tokens into the next, and a phrase belongs to the chunk in whose own part it starts: it is
 counted once and never lost. The dictionary holds each distinct chunk of a language with its frequency in the
@@ -11,7 +11,7 @@ passage that a third of the documents share is counted in one row.
 Only phrases seen ``least`` times matter, and so do their parts. So the dictionary is read once a length: words
 first, then by 64-bit hash the phrases whose two shorter parts may be frequent. Which may be is told by a bitmap of
 ``BITS`` bits over hashes; a false hit costs time only. The last reading counts the phrases that are left by
-their words. Inside a batch words and phrases are told apart by 64-bit hashes, between batches by themselves.
+their words. Inside a task's held counts words and phrases are told apart by 64-bit hashes, then by themselves.
 
 Scores are exact: products are 38-digit decimals, right up to 10 ** 16 occurrences.
 
@@ -47,7 +47,6 @@ PARTS = 64  # of a language's phrases, ranked apart first
 _GAP = re.compile(rb"[.,;:!?\x0a-\x0d\x20\x09]")
 BREAK = b"."
 _MARKED = bytes(ord(BREAK) if c in b".,;:!?\x0a\x0b\x0c\x0d" else LOWER[c] for c in range(256))
-_FIXED = {BREAK: 0}
 
 
 # ---------------------------------------------------------------- the parse
@@ -59,7 +58,7 @@ def tokens_of(text: bytes) -> Iterator[list[bytes]]:
         yield segment.replace(b"..", b".").replace(b".", b" . ").split()
 
 
-def parse(text: bytes, hashes: Hashes, overlap: int) -> Iterator[tuple[bytes, int]]:
+def parse(text: bytes, hashes: Hashes | Marks, overlap: int) -> Iterator[tuple[bytes, int]]:
     """Chunks of a text, words joined by spaces, with the number of tokens in their own part."""
     kept: list[bytes] = []
     for more in tokens_of(text):
@@ -75,6 +74,21 @@ def parse(text: bytes, hashes: Hashes, overlap: int) -> Iterator[tuple[bytes, in
         yield b" ".join(kept), len(kept)
 
 
+class Marks:
+    """Marks of words for the parse: their length, first and last 8 bytes, mixed. Equal words have equal marks."""
+
+    _KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        line = b" ".join(words) + b" " + bytes(8)
+        ends = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        starts = np.append(0, ends[:-1] + 1)
+        size = ends - starts
+        eight = np.ndarray(len(line) - 7, "<u8", line, strides=(1,))
+        kept = self._KEPT[np.minimum(size, 8)]
+        return joined(joined(eight[starts] & kept, eight[np.maximum(ends - 8, starts)] & kept), size.astype(np.uint64))
+
+
 def _starts(h: np.ndarray) -> np.ndarray:
     """Positions, the first left out, at which a chunk starts."""
     return np.flatnonzero(joined(h[1:-1], h[2:]) % np.uint64(EVERY) == 0) + 1 if len(h) > 2 else np.zeros(0, np.int64)
@@ -84,10 +98,10 @@ def dictionary(docs: DataFrame, text: str, lang: str, longest: int) -> DataFrame
     """(lang, chunk, own, n): distinct chunks, the tokens of their own part, and how often they occur in the parse."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(_FIXED), Counter()
+        marks, seen = Marks(), Counter()
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for chunk, own in parse(value.as_py() or b"", hashes, longest - 1):
+                for chunk, own in parse(value.as_py() or b"", marks, longest - 1):
                     seen[name, chunk, own] += 1
                     if len(seen) >= PENDING // 16:
                         yield _pairs(seen)
@@ -118,7 +132,7 @@ class Phrases:
     place's frequency and language.
     """
 
-    def __init__(self, batch: pa.RecordBatch, hashes: Hashes) -> None:
+    def __init__(self, batch: pa.RecordBatch) -> None:
         from xxhash import xxh64_intdigest
 
         lists = pc.split_pattern(pc.binary_join_element_wise(batch.column(1).cast(pa.string()), BREAK.decode(), " "), " ")
@@ -130,7 +144,7 @@ class Phrases:
         number = {x: i for i, x in enumerate(self.langs)}
         self.lang = np.repeat(np.fromiter(map(number.__getitem__, names), np.int64, len(names)), sizes)
         self.weight = np.repeat(batch.column(3).to_numpy(), sizes)
-        self.h = hashes.of(self.words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())[self.code]
+        self.h = _hashes(self.words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())[self.code]
         starts = np.cumsum(sizes) - sizes
         own = np.arange(len(self.h)) < np.repeat(starts + batch.column(2).to_numpy(), sizes)
         self.starts = own & (self.h != 0)
@@ -157,6 +171,17 @@ class Phrases:
             yield k, level, np.flatnonzero(may & self.starts)
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of distinct words, 0 for a break only. Few of them come again soon, so none are remembered."""
+    from xxhash import xxh64_intdigest
+
+    h = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    h[h == 0] = 1
+    if BREAK in words:
+        h[words.index(BREAK)] = 0
+    return h
+
+
 def _bit(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - (BITS.bit_length() - 1))).astype(np.int64)
 
@@ -170,10 +195,10 @@ def frequent(chunks: DataFrame, words: int, maps: list[np.ndarray], least: int)
     """(h): hashes of phrases of so many words, counted ``least`` times or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = Hashes(_FIXED), [], 0
+        held, size = [], 0
         for batch in batches:
             for piece in _pieces(batch):
-                found = Phrases(piece, hashes)
+                found = Phrases(piece)
                 *_, (_, h, at) = found.of_length(words, maps)
                 held.append((h[at], found.weight[at]))
                 size += len(at)
@@ -193,8 +218,8 @@ def _pieces(batch: pa.RecordBatch, rows: int = 10_000) -> Iterator[pa.RecordBatc
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, where each comes first, and the sums of ``n``."""
-    order = np.argsort(keys, kind="stable")
+    """Distinct keys, a place of each, and the sums of ``n``."""
+    order = np.argsort(keys)
     ranked = keys[order]
     first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(keys) else np.zeros(0, np.int64)
     return ranked[first], order[first], np.add.reduceat(n[order], first) if len(first) else np.zeros(0, np.int64)
@@ -221,10 +246,9 @@ def word_hashes(words: DataFrame) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        hashes = Hashes(_FIXED)
         for batch in batches:
             seeds = np.fromiter((xxh64_intdigest(x.encode(), 1) for x in batch.column(0).to_pylist()), np.uint64, batch.num_rows)
-            h = hashes.of([w.encode() for w in batch.column(1).to_pylist()]) ^ seeds
+            h = _hashes([w.encode() for w in batch.column(1).to_pylist()]) ^ seeds
             yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64), pa.int64())})
 
     return words.select("lang", "phrase").mapInArrow(add, "h long")
@@ -233,22 +257,35 @@ def word_hashes(words: DataFrame) -> DataFrame:
 def count_phrases(chunks: DataFrame, lengths: tuple[int, ...], maps: list[np.ndarray]) -> DataFrame:
     """(lang, phrase, f) of the phrases of some lengths that may be frequent, counted by their words.
 
-    A batch's occurrences are put together by 64-bit hash, batches by the words themselves.
+    Occurrences are put together by 64-bit hash while up to PENDING counts of batches are held, then by the words
+    themselves.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes(_FIXED)
+        held, size = [], 0
         for batch in batches:
             for piece in _pieces(batch):
-                found = Phrases(piece, hashes)
+                found = Phrases(piece)
                 for k, h, at in found.of_length(max(lengths), maps):
                     if k in lengths:
-                        _, first, sums = _summed(h[at], found.weight[at])
+                        keys, first, sums = _summed(h[at], found.weight[at])
                         places = at[first]
                         words = [found.words.take(pa.array(found.code[places + i])) for i in range(k)]
                         langs = pa.array(found.langs, pa.string()).take(pa.array(found.lang[places]))
                         phrase = pc.binary_join_element_wise(*words, " ") if k > 1 else words[0]
-                        yield pa.RecordBatch.from_arrays([langs, phrase, pa.array(sums, pa.int64())], names=["lang", "phrase", "f"])
+                        held.append((keys, langs, phrase, sums))
+                        size += len(keys)
+                if size >= PENDING:
+                    yield merged(held)
+                    held, size = [], 0
+        if held:
+            yield merged(held)
+
+    def merged(held: list[tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]]) -> pa.RecordBatch:
+        keys, langs, phrases, sums = zip(*held)
+        _, first, sums = _summed(np.concatenate(keys), np.concatenate(sums))
+        at = pa.array(first)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(langs).take(at), pa.concat_arrays(phrases).take(at), pa.array(sums, pa.int64())], names=["lang", "phrase", "f"])
 
     return chunks.mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
