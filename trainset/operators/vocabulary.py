@@ -21,7 +21,7 @@ from trainset.session import materialize
 UNKNOWN = "<unk>"
 HOT_TOKENS = 4096  # rows of the broadcast part of a vocabulary
 BLOCK_TOKENS = 4096  # ids in one row of coded text
-GROUP_TOKENS = 1 << 20  # tokens that share a list of distinct ones
+GROUP_TOKENS = 1 << 22  # tokens that share a list of distinct ones
 _POSITION_BITS = 13  # a position in a block (below 8192) ...
 _ID_BITS = 40  # ... and an id share one long
 
@@ -87,12 +87,11 @@ def encode_with_vocabulary(
     asked = asked.select("group", (F.col("first") + F.col("at")).alias("place"), "token")
     lookup = vocabulary.select("token", "id")
     known = asked.join(F.broadcast(lookup.where(F.col("id") < hot)), "token", "left")
-    rare = known.where(F.col("id").isNull()).drop("id").join(lookup.where(F.col("id") >= hot), "token", "left")
-    met = rare.select("group", "place", F.coalesce("id", F.lit(unknown).cast("long")).alias("id"))
-    found = known.where(F.col("id").isNotNull()).select("group", "place", "id").unionByName(met)
+    met = known.where(F.col("id").isNull()).drop("id").join(lookup.where(F.col("id") >= hot), "token")
+    found = known.where(F.col("id").isNotNull()).unionByName(met).select("group", "place", "id")
     answer = T.StructType().add("key", kind).add("block", "integer").add("ids", T.ArrayType(T.LongType()))
     held = groups.select(F.col("group").alias("held"), "key", "block", "codes").groupBy("held")
-    rows = held.cogroup(found.groupBy("group")).applyInArrow(_decoded, answer)
+    rows = held.cogroup(found.groupBy("group")).applyInArrow(lambda left, right: _decoded(left, right, unknown), answer)
 
     repeated = groups.where("block = 0").groupBy("key").count().where("count > 1")
     if not repeated.isEmpty():
@@ -122,11 +121,11 @@ def _grouped(batches: Iterator[pa.RecordBatch], most: int = GROUP_TOKENS) -> Ite
             group, start, before = group + 1, stop, int(ends[stop - 1])
 
 
-def _decoded(blocks: pa.Table, found: pa.Table) -> pa.Table:
-    """(key, block, ids) of a group's blocks, by the (place, id) of its tokens."""
-    ids = np.zeros(found.num_rows, np.int64)
-    ids[found.column("place").to_numpy()] = found.column("id").to_numpy()
+def _decoded(blocks: pa.Table, found: pa.Table, unknown: int) -> pa.Table:
+    """(key, block, ids) of a group's blocks, by the (place, id) of its tokens in the vocabulary."""
     codes = blocks.column("codes").combine_chunks()
+    ids = np.full(int(codes.flatten().to_numpy().max(initial=-1)) + 1, unknown, np.int64)
+    ids[found.column("place").to_numpy()] = found.column("id").to_numpy()
     bounds = pa.array(np.append(0, np.cumsum(pc.list_value_length(codes).to_numpy())), pa.int32())
     coded = pa.ListArray.from_arrays(bounds, pa.array(ids[codes.flatten().to_numpy()]))
     return pa.table([blocks.column("key"), blocks.column("block"), coded], names=["key", "block", "ids"])
